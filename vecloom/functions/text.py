@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,13 +66,24 @@ def csv_quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-@lru_cache(maxsize=None)
-def english_stop_words() -> tuple[str, ...]:
-    """Spark's English stop words that a token can equal."""
-    from pyspark.ml.feature import StopWordsRemover
+# The entries of Spark's English stop list that a token can equal. Written
+# out so that the list is also available where no session runs.
+ENGLISH_STOP_WORDS = tuple(
+    """
+me my myself we our ours ourselves you your yours yourself yourselves he him his himself
+she her hers herself it its itself they them their theirs themselves what which who whom
+this that these those am is are was were be been being have has had having do does did
+doing an the and but if or because as until while of at by for with about against
+between into through during before after above below to from up down in out on off over
+under again further then once here there when where why how all any both each few more
+most other some such no nor not only own same so than too very can will just don should
+now cannot could ought would
+""".split()
+)
 
-    words = StopWordsRemover.loadDefaultStopWords("english")
-    return tuple(sorted({w for w in words if len(w) > 1 and w.replace("_", "a").isalnum()}))
+
+def english_stop_words() -> tuple[str, ...]:
+    return ENGLISH_STOP_WORDS
 
 
 def tokens(text: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+_local_dirs: dict[str, str] = {}
+
 
 def build_session(
     app_name: str = "vecloom",
@@ -53,9 +54,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="vecloom-", dir=os.environ.get("TMPDIR"))
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="vecloom-")
+    return _local_dirs[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
