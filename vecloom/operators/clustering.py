@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
@@ -25,61 +24,175 @@ STARTS = 10
 K_MIN = 2
 K_MAX = 10
 
-FIT_PARALLELISM = 8
+MAX_ITER = 300
+START_SAMPLE = 2048
 MAX_CENTRE_VALUES = 8_000_000
+EXACT_SILHOUETTE_ROWS = 200_000
 
 
-def _ml_vectors(df: DataFrame, column: str = "embedding") -> DataFrame:
-    return df.filter(F.col(column).isNotNull()).select(
-        "item_id", array_to_vector(as_double(F.col(column))).alias("features")
+@dataclass(frozen=True)
+class Model:
+    """Centres of one fit, its number of clusters, start seed and inertia."""
+
+    k: int
+    seed: int
+    centres: np.ndarray
+    cost: float = np.inf
+
+    def labelled(self) -> list[tuple[int, list[float]]]:
+        return [(i, [float(x) for x in c]) for i, c in enumerate(self.centres)]
+
+
+def _starting_sample(vectors: DataFrame, seed: int) -> np.ndarray:
+    """At most ``START_SAMPLE`` vectors in a seeded order, for choosing first centres."""
+    order = F.xxhash64("item_id", F.lit(seed))
+    picked = vectors.orderBy(order, "item_id").limit(START_SAMPLE).select("v").collect()
+    return np.array([r["v"] for r in picked], dtype=np.float64)
+
+
+def _spread_start(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on the sample: each next centre drawn by squared distance to the others."""
+    draw = np.random.default_rng([seed, k])
+    centres = [sample[draw.integers(len(sample))]]
+    near = ((sample - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < min(k, len(sample)):
+        total = near.sum()
+        weight = near / total if total > 0 else None
+        centres.append(sample[draw.choice(len(sample), p=weight)])
+        near = np.minimum(near, ((sample - centres[-1]) ** 2).sum(axis=1))
+    return np.array(centres)
+
+
+def _nearest_slices(x: np.ndarray, centres: np.ndarray, bounds: Sequence[int]) -> np.ndarray:
+    """For each model (a slice of ``centres``) the stacked number of the nearest centre."""
+    gap = (centres**2).sum(axis=1)[None, :] - 2.0 * (x @ centres.T)
+    return np.stack(
+        [gap[:, lo:hi].argmin(axis=1) + lo for lo, hi in zip(bounds[:-1], bounds[1:])], axis=1
     )
 
 
-def fit_all(
-    features: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_iter: int = 100
-) -> dict[int, KMeansModel]:
-    """The cheapest model of each k over all starts; equal costs keep the lowest seed.
+def _lloyd_pass(vectors: DataFrame, models: Sequence[Model]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, vector sums and costs per stacked centre, all models in one scan.
 
-    Fits are independent Spark jobs over one persisted table and run side by side, so
-    the short last stage of one does not leave the cluster idle.
+    A task returns one row per centre; the vector sums are added by Spark's summarizer.
+    Only model-sized results reach the driver.
     """
-    jobs = [(k, seed) for k in ks for seed in seeds]
-
-    def fit(job: tuple[int, int]) -> tuple[int, float, int, KMeansModel]:
-        k, seed = job
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-4).fit(features)
-        return k, model.summary.trainingCost, seed, model
+    centres = np.concatenate([m.centres for m in models])
+    bounds = np.cumsum([0] + [len(m.centres) for m in models]).tolist()
+    width = centres.shape[1]
+    shared = vectors.sparkSession.sparkContext.broadcast((centres, bounds))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, edges = shared.value
+        size, total = np.zeros(len(at)), np.zeros((len(at), width))
+        cost = np.zeros(len(at))
+        for batch in batches:
+            block = _matrix(batch.column(0), width)
+            for start in range(0, len(block), 4096):
+                x = block[start : start + 4096]
+                pick = _nearest_slices(x, at, edges)
+                one_hot = np.zeros((len(x), len(at)))
+                np.put_along_axis(one_hot, pick, 1.0, axis=1)
+                size += one_hot.sum(axis=0)
+                total += one_hot.T @ x
+                for m in range(pick.shape[1]):
+                    miss = ((x - at[pick[:, m]]) ** 2).sum(axis=1)
+                    cost += np.bincount(pick[:, m], miss, len(at))
+        used = np.flatnonzero(size)
+        flat = np.concatenate([size[used, None], cost[used, None], total[used]], axis=1)
+        offsets = np.arange(0, flat.size + 1, width + 2, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))],
+            ["centre", "sums"],
+        )
 
-    with ThreadPool(min(FIT_PARALLELISM, len(jobs))) as pool:
-        fitted = pool.map(inheritable_thread_target(features.sparkSession)(fit), jobs, chunksize=1)
-    best: dict[int, tuple[float, int, KMeansModel]] = {}
-    for k, cost, seed, model in fitted:
-        if k not in best or (cost, seed) < best[k][:2]:
-            best[k] = (cost, seed, model)
-    return {k: model for k, (_, _, model) in best.items()}
+    rows = (
+        vectors.select("v")
+        .mapInArrow(assign, "centre int, sums array<double>")
+        .groupBy("centre")
+        .agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
+        .collect()
+    )
+    shared.destroy()
+    table = np.zeros((len(centres), width + 2))
+    for row in rows:
+        table[row["centre"]] = row["sums"].toArray()
+    return table[:, 0], table[:, 2:], table[:, 1]
 
 
-def fit_kmeans(
-    df: DataFrame, k: int, seed: int = SEED, starts: int = STARTS, column: str = "embedding"
-) -> KMeansModel:
-    """Euclidean k-means, best of ``starts`` runs by inertia."""
-    features = _ml_vectors(df, column).persist(StorageLevel.MEMORY_AND_DISK)
+def fit_all(
+    df: DataFrame,
+    ks: Sequence[int],
+    seed: int = SEED,
+    starts: int = STARTS,
+    column: str = "embedding",
+    max_iter: int = MAX_ITER,
+    tol: float = 1e-4,
+) -> dict[int, Model]:
+    """The cheapest Euclidean k-means model of each k over all starts.
+
+    Every k and every start is refined in the same scan of the vectors, so the data is
+    read as often as the slowest single fit needs, not once per fit and iteration.
+    Models that no longer move leave the scan. Equal costs keep the lowest seed.
+    """
+    vectors = (
+        df.filter(F.col(column).isNotNull())
+        .select("item_id", as_double(F.col(column)).alias("v"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     try:
-        return fit_all(features, [k], range(seed, seed + starts))[k]
+        sample = _starting_sample(vectors, seed)
+        if not len(sample):
+            return {}
+        threshold = tol * float(sample.var(axis=0).mean())
+        moving = [
+            Model(k, s, _spread_start(sample, k, s)) for k in ks for s in range(seed, seed + starts)
+        ]
+        if sum(m.centres.size for m in moving) > MAX_CENTRE_VALUES:
+            raise ValueError("too many centre values for one pass; use fewer starts or ks")
+        settled: list[Model] = []
+        for _ in range(max_iter):
+            size, total, _ = _lloyd_pass(vectors, moving)
+            at, still = 0, []
+            for model in moving:
+                part = slice(at, at + len(model.centres))
+                at = part.stop
+                n = size[part, None]
+                # A centre that lost all its items stays where it is.
+                centres = np.where(n > 0, total[part] / np.maximum(n, 1), model.centres)
+                shift = float(((centres - model.centres) ** 2).sum())
+                (settled if shift <= threshold else still).append(Model(model.k, model.seed, centres))
+            moving = still
+            if not moving:
+                break
+        final = settled + moving
+        cost = _lloyd_pass(vectors, final)[2]
     finally:
-        features.unpersist()
+        vectors.unpersist()
+    best: dict[int, Model] = {}
+    at = 0
+    for model in final:
+        part = slice(at, at + len(model.centres))
+        at = part.stop
+        priced = Model(model.k, model.seed, model.centres, float(cost[part].sum()))
+        held = best.get(model.k)
+        if held is None or (priced.cost, priced.seed) < (held.cost, held.seed):
+            best[model.k] = priced
+    return best
 
 
-def model_centres(model: KMeansModel) -> list[tuple[int, list[float]]]:
-    return [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+def fit_kmeans(
+    df: DataFrame, k: int, seed: int = SEED, starts: int = STARTS, column: str = "embedding"
+) -> Model:
+    """Euclidean k-means, best of ``starts`` runs by inertia."""
+    return fit_all(df, [k], seed, starts, column)[k]
 
 
 def kmeans_clusters(
     df: DataFrame, k: int, seed: int = SEED, starts: int = STARTS, column: str = "embedding"
 ) -> DataFrame:
     """Fit and label: ``df`` with a ``cluster`` column, NULL where there is no vector."""
-    model = fit_kmeans(df, k, seed, starts, column)
-    return assign_nearest(df, model_centres(model), column)
+    return assign_nearest(df, fit_kmeans(df, k, seed, starts, column).labelled(), column)
 
 
 def label_means(df: DataFrame, label: str = "cluster", column: str = "embedding") -> DataFrame:
@@ -134,44 +247,58 @@ def assign_nearest(
     column: str = "embedding",
     into: str = "cluster",
 ) -> DataFrame:
-    """Add the label and squared distance of the nearest centre.
+    """Add the label and squared distance of the nearest centre (``distance``)."""
+    return assign_many(df, {into: centres}, column).withColumn(
+        "distance", F.get("distances", F.lit(0))
+    ).drop("distances")
+
+
+def assign_many(
+    df: DataFrame,
+    models: Mapping[str, Sequence[tuple[int, Sequence[float]]]],
+    column: str = "embedding",
+) -> DataFrame:
+    """Add one label column per model and the array of their squared ``distances``.
 
-    The centres are a bounded model broadcast once; each Arrow batch is one matrix
-    product. Distances of the winner are recomputed by difference, so that they do not
-    suffer from cancellation.
+    The models are bounded and broadcast once; each Arrow batch is one matrix product
+    for all of them. Distances of the winners are recomputed by difference, so that
+    they do not suffer from cancellation. Equal distances take the lowest label.
     """
-    _check_centres(centres)
-    ordered = sorted(centres)
-    labels = np.array([label for label, _ in ordered], dtype=np.int32)
-    matrix = np.array([c for _, c in ordered], dtype=np.float64)
-    shared = df.sparkSession.sparkContext.broadcast((labels, matrix))
+    names = list(models)
+    ordered = [sorted(models[name]) for name in names]
+    _check_centres([c for model in ordered for c in model])
+    labels = np.array([label for model in ordered for label, _ in model], dtype=np.int32)
+    matrix = np.array([c for model in ordered for _, c in model], dtype=np.float64)
+    bounds = np.cumsum([0] + [len(model) for model in ordered]).tolist()
+    shared = df.sparkSession.sparkContext.broadcast((labels, matrix, bounds))
+    kept = [f for f in df.schema.fields if f.name not in (*names, "distances")]
     schema = T.StructType(
-        [f for f in df.schema.fields if f.name not in (into, "distance")]
-        + [T.StructField(into, T.IntegerType()), T.StructField("distance", T.DoubleType())]
+        kept
+        + [T.StructField(name, T.IntegerType()) for name in names]
+        + [T.StructField("distances", T.ArrayType(T.DoubleType()))]
     )
-    names = [f.name for f in schema.fields[:-2]]
 
     def label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names_of, centre = shared.value
+        label_of, centre, edges = shared.value
         for batch in batches:
-            column_values = batch.column(batch.schema.get_field_index(column))
-            present = np.asarray(column_values.is_valid())
-            x = _matrix(column_values.drop_null(), centre.shape[1])
-            near = np.full(len(present), -1)
-            dist = np.full(len(present), np.nan)
-            if len(x):
-                gap = ((x[:, None, :] - centre[None, :, :]) ** 2).sum(axis=2) if (
-                    x.size * len(centre) <= 4_000_000
-                ) else _squared_by_product(x, centre)
-                pick = gap.argmin(axis=1)
-                near[present] = pick
-                dist[present] = ((x - centre[pick]) ** 2).sum(axis=1)
-            found = pa.array(
-                np.where(near >= 0, names_of[np.maximum(near, 0)], 0), pa.int32(), mask=near < 0
+            vectors = batch.column(batch.schema.get_field_index(column))
+            present = np.asarray(vectors.is_valid())
+            x = _matrix(vectors.drop_null(), centre.shape[1])
+            pick = _nearest_slices(x, centre, edges)
+            found = np.zeros((len(present), len(names)), dtype=np.int32)
+            far = np.zeros((len(present), len(names)))
+            found[present] = label_of[pick]
+            for m in range(len(names)):
+                far[present, m] = ((x - centre[pick[:, m]]) ** 2).sum(axis=1)
+            offsets = np.arange(0, far.size + 1, len(names), dtype=np.int32)
+            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            columns += [pa.array(found[:, m], mask=~present) for m in range(len(names))]
+            columns.append(
+                pa.ListArray.from_arrays(
+                    pa.array(offsets), pa.array(far.ravel(), mask=np.repeat(~present, len(names)))
+                )
             )
-            far = pa.array(dist, pa.float64(), mask=near < 0)
-            kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays(kept + [found, far], names + [into, "distance"])
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
     return df.mapInArrow(label_batches, schema)
 
@@ -231,51 +358,68 @@ def cluster_cohesion(df: DataFrame, label: str = "cluster", column: str = "embed
     )
 
 
-def silhouette_fast(df: DataFrame, label: str = "cluster", column: str = "embedding") -> DataFrame:
-    """Per item: squared-Euclidean silhouette, linear in the number of items.
+def _label_moments(rows: DataFrame, labels: Sequence[str]) -> list:
+    """Per labelling and cluster: size, mean vector, mean squared distance to the mean."""
+    each = F.explode(
+        F.array(*[F.struct(F.lit(c).alias("labelling"), F.col(c).alias("cluster")) for c in labels])
+    )
+    v = array_to_vector("v")
+    return (
+        rows.withColumn("l", each)
+        .groupBy("l.labelling", "l.cluster")
+        .agg(Summarizer.metrics("count", "mean", "variance").summary(v).alias("s"))
+        .select("labelling", "cluster", "s.count", "s.mean", "s.variance")
+        .collect()
+    )
+
 
-    The mean squared distance to a cluster follows from the cluster's size, vector sum
-    and sum of squared norms; those are a bounded model, and items are read once more.
+def silhouette_fast(
+    df: DataFrame, labels: Sequence[str] = ("cluster",), column: str = "embedding"
+) -> DataFrame:
+    """Per item and labelling: squared-Euclidean silhouette, linear in the items.
+
+    The mean squared distance to a cluster follows from the cluster's size, mean and
+    spread; those are a bounded model, and the items are read once more to be scored.
     """
-    cells = df.select(label, F.posexplode(as_double(F.col(column))).alias("dim", "value"))
-    moments = cells.groupBy(label, "dim").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mu"), F.var_pop("value").alias("var")
+    rows = df.filter(F.col(column).isNotNull()).select(
+        "item_id", as_double(F.col(column)).alias("v"), *[F.col(c).cast("int").alias(c) for c in labels]
     )
-    packed = (
-        moments.groupBy(label)
-        .agg(
-            F.max("n").alias("n"),
-            F.sum("var").alias("spread"),
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("dim", "mu"))), lambda r: r["mu"]
-            ).alias("mu"),
+    moments = _label_moments(rows, labels)
+    _check_centres([(r["cluster"], r["mean"]) for r in moments])
+    model = {}
+    for name in labels:
+        own = sorted((r for r in moments if r["labelling"] == name), key=lambda r: r["cluster"])
+        n = np.array([r["count"] for r in own], dtype=np.float64)
+        sample_variance = np.array([r["variance"].toArray().sum() for r in own])
+        model[name] = (
+            np.array([r["cluster"] for r in own]),
+            n,
+            np.array([r["mean"].toArray() for r in own]),
+            sample_variance * (n - 1) / n,
         )
-        .collect()
-    )
-    _check_centres([(r[label], r["mu"]) for r in packed])
-    clusters = sorted((r[label], r["n"], r["spread"], list(r["mu"])) for r in packed)
-    shared = df.sparkSession.sparkContext.broadcast(clusters)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    names = list(labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        labels = np.array([c[0] for c in model])
-        sizes = np.array([c[1] for c in model], dtype=np.float64)
-        spread = np.array([c[2] for c in model])
-        mu = np.array([c[3] for c in model])
         for batch in batches:
-            x = _matrix(batch.column(2), mu.shape[1])
-            own = np.searchsorted(labels, np.asarray(batch.column(1)))
-            mean = np.maximum(_squared_by_product(x, mu), 0.0) + spread
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(_silhouette(mean, sizes, own))],
-                ["item_id", label, "silhouette"],
-            )
+            for name in names:
+                clusters, sizes, mu, spread = shared.value[name]
+                x = _matrix(batch.column(1), mu.shape[1])
+                own = batch.column(batch.schema.get_field_index(name))
+                at = np.searchsorted(clusters, np.asarray(own))
+                mean = np.maximum(_squared_by_product(x, mu), 0.0) + spread
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array([name] * len(x), pa.string()),
+                        own,
+                        pa.array(_silhouette(mean, sizes, at)),
+                    ],
+                    ["item_id", "labelling", "cluster", "silhouette"],
+                )
 
-    rows = df.filter(F.col(label).isNotNull() & F.col(column).isNotNull()).select(
-        "item_id", label, column
-    )
     return rows.mapInArrow(
-        score, f"item_id long, {label} {df.schema[label].dataType.simpleString()}, silhouette double"
+        score, "item_id long, labelling string, cluster int, silhouette double"
     )
 
 
@@ -329,8 +473,6 @@ def silhouette_exact(
 
 
 def _by_item():
-    from pyspark.sql import Window
-
     return Window.partitionBy("item_id", "labelling")
 
 
@@ -348,43 +490,33 @@ def select_k(
     df: DataFrame,
     k_min: int = K_MIN,
     k_max: int = K_MAX,
-    metric: str = "euclidean",
+    metric: str = "auto",
     seed: int = SEED,
     starts: int = STARTS,
     column: str = "embedding",
 ) -> DataFrame:
     """Silhouette of the best model of every k, with the chosen k marked.
 
-    ``euclidean`` is exact and compares all items; ``sq_euclidean`` is linear in them
-    and meant for large tables. The range is clamped so that k < number of items.
+    ``euclidean`` compares every item with all others; ``sq_euclidean`` is linear in
+    the items. ``auto`` takes the first up to ``EXACT_SILHOUETTE_ROWS`` items and the
+    second beyond. The range is clamped so that k < number of items.
     """
-    if metric not in ("euclidean", "sq_euclidean"):
+    if metric not in ("auto", "euclidean", "sq_euclidean"):
         raise ValueError(f"unknown metric {metric!r}")
-    spark: SparkSession = df.sparkSession
-    features = _ml_vectors(df, column).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = features.count()
-        ks = list(range(k_min, min(k_max, n - 1) + 1))
-        if not ks:
-            return spark.createDataFrame([], "k int, silhouette double, is_best boolean")
-        models = fit_all(features, ks, range(seed, seed + starts))
-    finally:
-        features.unpersist()
-
-    labelled = df.filter(F.col(column).isNotNull()).select("item_id", column)
-    for k in ks:
-        labelled = assign_nearest(labelled, model_centres(models[k]), column, f"k{k}").drop("distance")
-    if metric == "euclidean":
-        scores = silhouette_exact(labelled, [f"k{k}" for k in ks], column)
-        curve = scores.groupBy("labelling").agg(F.avg("silhouette").alias("silhouette"))
-        curve = curve.select(
-            F.substring("labelling", 2, 9).cast("int").alias("k"), "silhouette"
-        )
-    else:
-        curve = None
-        for k in ks:
-            one = silhouette_fast(labelled, f"k{k}", column).agg(
-                F.lit(k).alias("k"), F.avg("silhouette").alias("silhouette")
-            )
-            curve = one if curve is None else curve.unionByName(one)
+    vectors = df.filter(F.col(column).isNotNull()).select("item_id", column)
+    n = vectors.count()
+    ks = list(range(k_min, min(k_max, n - 1) + 1))
+    if not ks:
+        return df.sparkSession.createDataFrame([], "k int, silhouette double, is_best boolean")
+    if metric == "auto":
+        metric = "euclidean" if n <= EXACT_SILHOUETTE_ROWS else "sq_euclidean"
+    models = fit_all(vectors, ks, seed, starts, column)
+    labelled = assign_many(vectors, {f"k{k}": models[k].labelled() for k in ks}, column)
+    score = silhouette_exact if metric == "euclidean" else silhouette_fast
+    curve = (
+        score(labelled, [f"k{k}" for k in ks], column)
+        .groupBy("labelling")
+        .agg(F.avg("silhouette").alias("silhouette"))
+        .select(F.substring("labelling", 2, 9).cast("int").alias("k"), "silhouette")
+    )
     return best_k(curve)

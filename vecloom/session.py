@@ -65,13 +65,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result survives the loss of any executor, starts a new lineage and carries
-    exact file sizes, which the optimiser uses to choose join strategies.
+    exact file sizes, which the optimiser uses to choose join strategies. A loop may
+    pass two paths in turn, so that it overwrites only what is no longer read.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path = path or new_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
