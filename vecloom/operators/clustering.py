@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.storagelevel import StorageLevel
 
 from vecloom.functions.vector import as_double, squared_distance
 from vecloom.operators.relational import top_n_per_group
-from vecloom.operators.tiles import distance_sums
+from vecloom.operators.tiles import distance_sums, matrix_of
 
 # Seed, number of starts and range of k.
 SEED = 42
@@ -71,8 +71,10 @@ def _nearest_slices(x: np.ndarray, centres: np.ndarray, bounds: Sequence[int]) -
     )
 
 
-def _lloyd_pass(vectors: DataFrame, models: Sequence[Model]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes, vector sums and costs per stacked centre, all models in one scan.
+def _lloyd_pass(
+    vectors: DataFrame, models: Sequence[Model], with_cost: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, vector sums and (on request) costs per stacked centre, in one scan.
 
     A task returns one row per centre; the vector sums are added by Spark's summarizer.
     Only model-sized results reach the driver.
@@ -95,7 +97,7 @@ def _lloyd_pass(vectors: DataFrame, models: Sequence[Model]) -> tuple[np.ndarray
                 np.put_along_axis(one_hot, pick, 1.0, axis=1)
                 size += one_hot.sum(axis=0)
                 total += one_hot.T @ x
-                for m in range(pick.shape[1]):
+                for m in range(pick.shape[1] if with_cost else 0):
                     miss = ((x - at[pick[:, m]]) ** 2).sum(axis=1)
                     cost += np.bincount(pick[:, m], miss, len(at))
         used = np.flatnonzero(size)
@@ -110,13 +112,12 @@ def _lloyd_pass(vectors: DataFrame, models: Sequence[Model]) -> tuple[np.ndarray
         vectors.select("v")
         .mapInArrow(assign, "centre int, sums array<double>")
         .groupBy("centre")
-        .agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
-        .collect()
+        .agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+        .toArrow()
     )
     shared.destroy()
     table = np.zeros((len(centres), width + 2))
-    for row in rows:
-        table[row["centre"]] = row["sums"].toArray()
+    table[np.asarray(rows.column("centre"))] = matrix_of(rows, "sums")
     return table[:, 0], table[:, 2:], table[:, 1]
 
 
@@ -166,7 +167,7 @@ def fit_all(
             if not moving:
                 break
         final = settled + moving
-        cost = _lloyd_pass(vectors, final)[2]
+        cost = _lloyd_pass(vectors, final, with_cost=True)[2]
     finally:
         vectors.unpersist()
     best: dict[int, Model] = {}
