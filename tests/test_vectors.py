@@ -92,14 +92,14 @@ def test_cosine_is_null_for_zero_vectors(spark):
     assert got[0] == pytest.approx(1.0) and got[1] is None
 
 
-@pytest.mark.parametrize("cuts", [2, 5, 64])
-def test_exact_quantiles(spark, cuts):
+@pytest.mark.parametrize("accuracy", [4, 20, 2000])
+def test_exact_quantiles(spark, accuracy):
     draw = np.random.default_rng(1)
     a, b = np.round(draw.normal(size=101), 1), np.array([5.0] * 40 + [1.0] * 11)
     rows = [(0, float(x)) for x in a] + [(1, float(x)) for x in b]
     got = {
         r.dim: [r.q0, r.q1, r.q2]
-        for r in Z.exact_quantiles(spark.createDataFrame(rows, "dim int, value double"), cuts=cuts).collect()
+        for r in Z.exact_quantiles(spark.createDataFrame(rows, "dim int, value double"), accuracy=accuracy).collect()
     }
     assert got[0] == pytest.approx(np.quantile(a, [0.25, 0.5, 0.75]).tolist())
     assert got[1] == pytest.approx(np.quantile(b, [0.25, 0.5, 0.75]).tolist())

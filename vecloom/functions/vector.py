@@ -19,9 +19,15 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """Unit vector; NULL for a zero vector."""
+    """Unit vector; NULL for a zero vector.
+
+    The norm is repeated as an array beside the vector: inside a lambda it would be
+    computed again for every element.
+    """
     length = F.nullif(norm(v), F.lit(0.0))
-    return F.when(length.isNotNull(), F.transform(v, lambda x: x / length))
+    return F.when(
+        length.isNotNull(), F.zip_with(v, F.array_repeat(length, F.size(v)), lambda x, n: x / n)
+    )
 
 
 def cosine(a: Column, b: Column) -> Column:

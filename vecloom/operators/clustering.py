@@ -6,15 +6,16 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from vecloom.functions.vector import as_double, squared_distance
+from vecloom.functions.vector import as_double, squared_distance, unit
 from vecloom.operators.relational import top_n_per_group
 from vecloom.operators.tiles import distance_sums, matrix_of
 
@@ -26,6 +27,7 @@ K_MAX = 10
 
 MAX_ITER = 300
 START_SAMPLE = 2048
+MAX_CENTRES = 8192
 MAX_CENTRE_VALUES = 8_000_000
 EXACT_SILHOUETTE_ROWS = 200_000
 
@@ -63,6 +65,47 @@ def _spread_start(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.array(centres)
 
 
+def _refined_starts(
+    spark: SparkSession, sample: np.ndarray, jobs: Sequence[tuple[int, int]], threshold: float
+) -> list[Model]:
+    """First centres of every (k, seed), settled on the sample (Bradley & Fayyad 1998).
+
+    The bounded sample is broadcast and the starts are refined in parallel tasks. The
+    full table then needs few passes, because its centres are already near.
+    """
+    shared = spark.sparkContext.broadcast(sample)
+
+    def refine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        points = shared.value
+        for frame in frames:
+            for k, seed in zip(frame["k"].tolist(), frame["seed"].tolist()):
+                centres = _spread_start(points, k, seed)
+                for _ in range(MAX_ITER):
+                    pick = _squared_by_product(points, centres).argmin(axis=1)
+                    one_hot = np.eye(len(centres))[pick]
+                    size = one_hot.sum(axis=0)[:, None]
+                    moved = np.where(size > 0, one_hot.T @ points / np.maximum(size, 1), centres)
+                    shift = ((moved - centres) ** 2).sum()
+                    centres = moved
+                    if shift <= threshold:
+                        break
+                yield pd.DataFrame({"k": [k], "seed": [seed], "centres": [centres.ravel().tolist()]})
+
+    tasks = min(len(jobs), spark.sparkContext.defaultParallelism)
+    rows = (
+        spark.createDataFrame(jobs, "k int, seed int")
+        .repartition(tasks)
+        .mapInPandas(refine, "k int, seed int, centres array<double>")
+        .collect()
+    )
+    shared.destroy()
+    width = sample.shape[1]
+    return [
+        Model(r["k"], r["seed"], np.array(r["centres"]).reshape(-1, width))
+        for r in sorted(rows, key=lambda r: (r["k"], r["seed"]))
+    ]
+
+
 def _nearest_slices(x: np.ndarray, centres: np.ndarray, bounds: Sequence[int]) -> np.ndarray:
     """For each model (a slice of ``centres``) the stacked number of the nearest centre."""
     gap = (centres**2).sum(axis=1)[None, :] - 2.0 * (x @ centres.T)
@@ -146,11 +189,10 @@ def fit_all(
         if not len(sample):
             return {}
         threshold = tol * float(sample.var(axis=0).mean())
-        moving = [
-            Model(k, s, _spread_start(sample, k, s)) for k in ks for s in range(seed, seed + starts)
-        ]
-        if sum(m.centres.size for m in moving) > MAX_CENTRE_VALUES:
+        jobs = [(k, s) for k in ks for s in range(seed, seed + starts)]
+        if sum(k for k, _ in jobs) * sample.shape[1] > MAX_CENTRE_VALUES:
             raise ValueError("too many centre values for one pass; use fewer starts or ks")
+        moving = _refined_starts(df.sparkSession, sample, jobs, threshold)
         settled: list[Model] = []
         for _ in range(max_iter):
             size, total, _ = _lloyd_pass(vectors, moving)
@@ -196,26 +238,40 @@ def kmeans_clusters(
     return assign_nearest(df, fit_kmeans(df, k, seed, starts, column).labelled(), column)
 
 
-def label_means(df: DataFrame, label: str = "cluster", column: str = "embedding") -> DataFrame:
-    """(label, dim, value): the mean vector of each label in long form."""
+def _summary(df: DataFrame, label: str, vector: Column, *metrics: str) -> DataFrame:
+    """Vector statistics per label: whole vectors are combined, nothing is exploded."""
     return (
-        df.select(label, F.posexplode(as_double(F.col(column))).alias("dim", "value"))
-        .groupBy(label, "dim")
-        .agg(F.avg("value").alias("value"))
+        df.select(label, array_to_vector(vector).alias("v"))
+        .groupBy(label)
+        .agg(Summarizer.metrics("count", *metrics).summary(F.col("v")).alias("s"))
+        .select(
+            label,
+            F.col("s.count").alias("count"),
+            *[vector_to_array(f"s.{m}").alias(m) for m in metrics],
+        )
     )
 
 
+def label_means(df: DataFrame, label: str = "cluster", column: str = "embedding") -> DataFrame:
+    """(label, dim, value): the mean vector of each label in long form."""
+    present = df.filter(F.col(column).isNotNull())
+    means = _summary(present, label, as_double(F.col(column)), "mean")
+    return means.select(label, F.posexplode("mean").alias("dim", "value"))
+
+
 def collect_centres(means: DataFrame, label: str = "cluster") -> list[tuple[int, list[float]]]:
-    """Long-form centres as a list; refuses more numbers than a model may hold."""
+    """Long-form centres as a list; refuses more centres than a model may hold."""
     packed = means.groupBy(label).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda r: r["value"]
         ).alias("centre")
     )
-    rows = packed.select(label, F.size("centre").alias("d")).agg(F.sum("d").alias("s")).first()
-    if (rows["s"] or 0) > MAX_CENTRE_VALUES:
-        raise ValueError(f"{rows['s']} centre values exceed {MAX_CENTRE_VALUES}")
-    return [(r[label], list(r["centre"])) for r in packed.orderBy(label).collect()]
+    rows = packed.limit(MAX_CENTRES + 1).collect()
+    if len(rows) > MAX_CENTRES:
+        raise ValueError(f"more than {MAX_CENTRES} centres")
+    centres = sorted((r[label], list(r["centre"])) for r in rows)
+    _check_centres(centres)
+    return centres
 
 
 def nearest_centre(vector: Column, centres: Sequence[tuple[int, Sequence[float]]]) -> Column:
@@ -322,40 +378,29 @@ def _check_centres(centres: Sequence[tuple[int, Sequence[float]]]) -> None:
 def inertia(df: DataFrame, label: str = "cluster", column: str = "embedding") -> DataFrame:
     """Per label: size and sum of squared distances to the label's mean.
 
-    Computed dimension-wise as Σx² − (Σx)²/n around a shift common to the dimension, so
-    the rows are read once and never joined back to their centre.
+    One pass: the sum is the total variance times the degrees of freedom, so rows are
+    never joined back to their centre.
     """
-    cells = df.select(label, F.posexplode(as_double(F.col(column))).alias("dim", "value"))
-    spread = cells.groupBy(label, "dim").agg(
-        F.count("value").alias("n"), F.var_pop("value").alias("var")
-    )
-    return spread.groupBy(label).agg(
-        F.max("n").alias("count"), F.sum(F.col("var") * F.col("n")).alias("inertia")
-    )
+    present = df.filter(F.col(column).isNotNull())
+    spread = _summary(present, label, as_double(F.col(column)), "variance")
+    total = F.aggregate("variance", F.lit(0.0), lambda s, x: s + x)
+    return spread.select(label, "count", (total * (F.col("count") - 1)).alias("inertia"))
 
 
 def cluster_cohesion(df: DataFrame, label: str = "cluster", column: str = "embedding") -> DataFrame:
     """Mean cosine over all pairs inside a cluster, without forming the pairs.
 
-    On unit vectors the pair sum is (‖Σu‖² − m) / 2, so one pass over the dimensions
-    suffices. Zero vectors take no part; a single vector has no pair and gives NULL.
+    On unit vectors the pair sum is (‖Σu‖² − m) / 2, so one pass suffices. Zero vectors
+    take no part; a single vector has no pair and gives NULL.
     """
-    v = as_double(F.col(column))
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    units = df.select(label, v.alias("v"), length.alias("length")).filter(F.col("length") > 0)
-    sums = (
-        units.select(label, "length", F.posexplode("v").alias("dim", "value"))
-        .groupBy(label, "dim")
-        .agg(F.sum(F.col("value") / F.col("length")).alias("s"), F.count(F.lit(1)).alias("m"))
-    )
-    total = sums.groupBy(label).agg(
-        F.max("m").alias("count"), F.sum(F.col("s") * F.col("s")).alias("square")
-    )
+    units = df.withColumn("__u", unit(as_double(F.col(column)))).filter(F.col("__u").isNotNull())
+    sums = _summary(units, label, F.col("__u"), "sum")
+    square = F.aggregate("sum", F.lit(0.0), lambda s, x: s + x * x)
     pairs = F.col("count") * (F.col("count") - 1)
-    return total.select(
+    return sums.select(
         label,
         "count",
-        ((F.col("square") - F.col("count")) / F.nullif(pairs, F.lit(0).cast("long"))).alias("cohesion"),
+        ((square - F.col("count")) / F.nullif(pairs, F.lit(0).cast("long"))).alias("cohesion"),
     )
 
 

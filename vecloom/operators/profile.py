@@ -164,7 +164,7 @@ def term_statistics(
     words = content_tokens(F.col(text), stop)
     docs = df.filter(~is_blank(F.col(text))).select("cluster", words.alias("words"))
     terms = docs.select(
-        "cluster", F.array_sort(F.concat("words", bigrams(F.col("words")))).alias("terms")
+        "cluster", F.sort_array(F.concat("words", bigrams(F.col("words")))).alias("terms")
     )
     marked = F.transform(
         "terms",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.sources.readers import read_table
+from vecloom.sources.readers import read_table, spread
 
 
 def first_line(text: str = "text"):
@@ -27,7 +27,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("item_id"), F.lit(True).alias("labelled")
     )
-    docs = documents_as_items(read_table(spark, sf_dir, "documents"))
+    docs = spread(documents_as_items(read_table(spark, sf_dir, "documents")), "item_id")
     return docs.join(labels, "item_id", "left").select(
         *docs.columns, F.when(F.col("labelled"), F.col("review")).alias("structured_summary")
     )
@@ -38,8 +38,11 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("item_id"), F.col("label").alias("cluster"), "embedding"
     )
-    docs = documents_as_items(read_table(spark, sf_dir, "documents")).withColumnRenamed(
-        "review", "summary"
+    docs = spread(
+        documents_as_items(read_table(spark, sf_dir, "documents")).withColumnRenamed(
+            "review", "summary"
+        ),
+        "item_id",
     )
     return vectors.join(docs, "item_id")
 

@@ -91,3 +91,14 @@ def read_json_records(
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Distribute a narrow scan by key; a scan with enough splits is left alone.
+
+    A table of few files gives fewer tasks than there are cores, and costly text work
+    after the scan would run on a few of them. Project before spreading, so that only
+    the needed columns move.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
