@@ -7,7 +7,7 @@ become rows. A hot cluster is just many blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +76,9 @@ def distance_sums(
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     )
-    slot = {(name, other): i for i, (name, other, _) in enumerate(sizes)}
+    # Slots of one labelling are neighbours, in the order of its cluster numbers.
+    known = {c: np.array([o for name, o, _ in sizes if name == c]) for c in labels}
+    first_slot = {c: [name for name, _, _ in sizes].index(c) for c in labels if len(known[c])}
     total = sum(n for name, _, n in sizes if name == labels[0])
     blocks = block_count(total, block_rows)
     tiles = block_pairs(rows.withColumn("block", hash_block(F.col("item_id"), blocks)), blocks)
@@ -85,9 +87,10 @@ def distance_sums(
 
     def membership(table: pa.Table) -> np.ndarray:
         one_hot = np.zeros((table.num_rows, width))
+        row = np.arange(table.num_rows)
         for name in names:
-            for row, other in enumerate(table.column(name).to_pylist()):
-                one_hot[row, slot[(name, other)]] = 1.0
+            at = np.searchsorted(known[name], np.asarray(table.column(name)))
+            one_hot[row, first_slot[name] + at] = 1.0
         return one_hot
 
     def sums(table: pa.Table) -> pa.Table:
@@ -143,7 +146,3 @@ def distance_sums(
         ),
     )
     return named.join(owners, ["item_id", "labelling"])
-
-
-def batches_to_table(batches: Iterator[pa.RecordBatch]) -> pa.Table:
-    return pa.Table.from_batches(list(batches))

@@ -643,7 +643,7 @@ def stream_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def layout_affinities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.affinities(item_vectors(spark, sf_dir))
+    return L.affinities(item_vectors(spark, sf_dir)).select("source", "target", _rounded("p", 9))
 
 
 @query

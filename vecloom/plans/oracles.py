@@ -184,6 +184,39 @@ FROM cells GROUP BY dim"""
 _REQUEST = X.REQUEST_TEMPLATE.split("%s")
 
 
+# Bandwidths by the same number of halvings, for all items at once: one recursion step
+# per halving over the sorted neighbour distances of an item.
+_AFFINITIES = """near AS (
+  SELECT * FROM (
+    SELECT a.item_id, b.item_id AS other, 2 - 2 * s.sim AS d2, row_number() OVER (PARTITION BY a.item_id
+      ORDER BY round(s.sim, 9) DESC, b.title DESC, b.item_id) AS rank
+    FROM vecs a JOIN vecs b ON a.item_id <> b.item_id,
+         LATERAL (SELECT list_cosine_similarity(a.v, b.v) AS sim) s) WHERE rank <= 90),
+lists AS (
+  SELECT item_id, list(d2 - low ORDER BY rank) AS d, ln(least(30, count(*))) AS target
+  FROM (SELECT *, min(d2) OVER (PARTITION BY item_id) AS low FROM near) GROUP BY item_id),
+search(item_id, d, target, lo, hi, beta, step) AS (
+  SELECT item_id, d, target, 0.0::DOUBLE, 'inf'::DOUBLE, 1.0::DOUBLE, 0 FROM lists
+  UNION ALL
+  SELECT item_id, d, target, CASE WHEN wide THEN beta ELSE lo END, CASE WHEN wide THEN hi ELSE beta END,
+    CASE WHEN wide AND isinf(hi) THEN beta * 2
+         WHEN wide THEN (beta + hi) / 2 ELSE (lo + beta) / 2 END, step + 1
+  FROM (
+    SELECT *, ln(total) + beta * weighted / total > target AS wide FROM (
+      SELECT *, list_sum(list_transform(d, lambda x: exp(-x * beta))) AS total,
+        list_sum(list_transform(d, lambda x: x * exp(-x * beta))) AS weighted
+      FROM search WHERE step < 60))),
+betas AS (
+  SELECT item_id, beta, list_sum(list_transform(d, lambda x: exp(-x * beta))) AS total
+  FROM search WHERE step = 60),
+directed AS (
+  SELECT n.item_id, n.other, exp(-(n.d2 - low) * beta) / total AS p
+  FROM (SELECT *, min(d2) OVER (PARTITION BY item_id) AS low FROM near) n JOIN betas USING (item_id)),
+pairs AS (
+  SELECT least(item_id, other) AS low, greatest(item_id, other) AS high, sum(p) AS p,
+    max(item_id < other) AS up FROM directed GROUP BY 1, 2)"""
+
+
 def all_oracles() -> dict[str, str]:
     sql: dict[str, str] = {}
 
@@ -437,4 +470,11 @@ SELECT 1 AS pass, count(*) AS n_rows FROM pending UNION ALL SELECT 2, 0"""
 SELECT f.item_id, f.title, c.cluster
 FROM fresh f, centres c, LATERAL (SELECT list_distance(f.v, c.c) AS d) s
 QUALIFY row_number() OVER (PARTITION BY f.item_id ORDER BY s.d, c.cluster) = 1"""
+    sql["layout_affinities"] = (
+        "WITH RECURSIVE "
+        + ",\n".join((VECTORS, _AFFINITIES))
+        + """
+SELECT CASE WHEN up THEN low ELSE high END AS source, CASE WHEN up THEN high ELSE low END AS target,
+  round(p / (SELECT count(*) FROM lists), 9) AS p FROM pairs"""
+    )
     return sql
