@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from vecloom.functions.vector import as_double, squared_distance, unit
+from vecloom.functions.vector import as_double, constant, squared_distance, unit
 from vecloom.operators.relational import top_n_per_group
 from vecloom.operators.tiles import distance_sums, matrix_of
 
@@ -277,14 +277,14 @@ def collect_centres(means: DataFrame, label: str = "cluster") -> list[tuple[int,
 def nearest_centre(vector: Column, centres: Sequence[tuple[int, Sequence[float]]]) -> Column:
     """Struct (dist, label) of the nearest centre; equal distances take the lowest label.
 
-    A pure expression over literal centres: no shuffle and no aggregation, so the same
-    column works on batch and streaming tables.
+    A pure expression over literal centres for short vectors and few centres;
+    ``assign_nearest`` does the same with matrix products.
     """
     table = F.array(
         *[
             F.struct(
                 F.lit(int(label)).alias("label"),
-                F.array(*[F.lit(float(x)) for x in centre]).alias("v"),
+                constant(centre).alias("v"),
             )
             for label, centre in sorted(centres)
         ]

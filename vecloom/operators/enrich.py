@@ -133,4 +133,4 @@ def apply_results(df: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFra
 
 def new_to_embed(df: DataFrame, embedded: DataFrame) -> DataFrame:
     """Summarised items whose title has no vector yet, one row per title."""
-    return first_per_title(not_yet_done(with_title(with_summary(df)), embedded))
+    return first_per_title(with_title(with_summary(df)), not_in=embedded)

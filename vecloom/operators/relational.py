@@ -32,13 +32,18 @@ def not_yet_done(df: DataFrame, done: DataFrame, on: str = "title") -> DataFrame
     return df.filter(F.col(on).isNotNull()).join(keys, on, "left_anti")
 
 
-def first_per_title(df: DataFrame, order: str = "item_id") -> DataFrame:
-    """One row per title: the first in row order.
+def first_per_title(
+    df: DataFrame, not_in: DataFrame | None = None, order: str = "item_id"
+) -> DataFrame:
+    """One row per title, the first in row order, for titles absent from ``not_in``.
 
-    Only the key and the smallest order value are grouped (combined map-side), so a
-    title that holds a large share of the rows shuffles one small row per task.
+    Only the title and its smallest order value are grouped (combined map-side) and
+    compared with ``not_in``; a title that holds a large share of the rows is one small
+    row by then. The full rows are fetched last, by their unique order value.
     """
     firsts = df.groupBy("title").agg(F.min(order).alias(order))
+    if not_in is not None:
+        firsts = not_yet_done(firsts, not_in)
     return df.join(firsts.select(order), order, "left_semi")
 
 

@@ -9,7 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.functions.vector import as_double
+from vecloom.functions.vector import as_double, constant
 
 QUARTILES = (0.25, 0.5, 0.75)
 ACCURACY = 2000
@@ -138,11 +138,9 @@ def standardise(df: DataFrame, column: str = "embedding") -> DataFrame:
     scaling itself is a shuffle-free expression over literals.
     """
     moments = dimension_moments(df, column).orderBy("dim").collect()
-    mu = F.array(*[F.lit(float(r["mean"])) for r in moments])
+    mu = constant(r["mean"] for r in moments)
     # From the sample variance to the population deviation.
-    sigma = F.array(
-        *[F.lit((float(r["variance"]) * (r["count"] - 1) / r["count"]) ** 0.5) for r in moments]
-    )
+    sigma = constant((r["variance"] * (r["count"] - 1) / r["count"]) ** 0.5 for r in moments)
     scaled = F.zip_with(
         F.zip_with(as_double(F.col(column)), mu, lambda x, m: x - m),
         sigma,

@@ -352,7 +352,7 @@ def combine_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = labelled_ids(spark, sf_dir)
     existing = vectors.join(known, "item_id", "left_semi").select("item_id", "title", "embedding")
     rest = vectors.join(known, "item_id", "left_anti")
-    new = R.first_per_title(R.not_yet_done(R.with_title(rest), existing)).select(*existing.columns)
+    new = R.first_per_title(R.with_title(rest), not_in=existing).select(*existing.columns)
     return R.combine_vectors(existing, new).select(
         "item_id",
         "title",

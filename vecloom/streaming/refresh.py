@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vecloom.functions.text import MIN_REVIEW_CHARS, has_review, is_blank
-from vecloom.functions.vector import as_double
-from vecloom.operators.clustering import nearest_centre
+from vecloom.operators.clustering import assign_nearest
 
 Embed = Callable[[DataFrame], DataFrame]
 
@@ -31,12 +30,10 @@ def assign_new(
     fresh = items.filter(has_review(F.col("review"), min_chars) & ~is_blank(F.col("title"))).join(
         done.select("item_id"), "item_id", "left_anti"
     )
-    near = nearest_centre(as_double(F.col("embedding")), centres)
+    embedded = embed(fresh).select("item_id", "title", "embedding")
     return (
-        embed(fresh)
-        .withColumn("__near", near)
-        .filter(F.col("__near").isNotNull())
-        .select("item_id", "title", F.col("__near.label").alias("cluster"))
+        assign_nearest(embedded.filter(F.col("embedding").isNotNull()), centres)
+        .select("item_id", "title", "cluster")
     )
 
 
