@@ -10,7 +10,6 @@ from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vecloom.functions.text import (
     EMBED_PREFIX,
@@ -120,12 +119,3 @@ def fit_vectoriser(
 def embed_documents(df: DataFrame, text: str = "embed_text", dimensions: int = 256) -> DataFrame:
     """Fit the offline vectoriser on ``df`` and embed every row with it."""
     return fit_vectoriser(df, text, dimensions).transform(df, text)
-
-
-EMBEDDED_SCHEMA = T.StructType(
-    [
-        T.StructField("item_id", T.LongType()),
-        T.StructField("embedding", T.ArrayType(T.FloatType())),
-        T.StructField("error", T.StringType()),
-    ]
-)

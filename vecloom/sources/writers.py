@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +56,3 @@ def cluster_info_json(info: DataFrame) -> DataFrame:
     return info.agg(
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("json")
     )
-
-
-def json_lines(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(F.to_json(F.struct(*columns)).alias("value"))
