@@ -19,13 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.packed import WHITE, arrow_rows, id_and_text, rows_of
+from vecloom.llm.packed import WHITE, arrow_rows, as_bytes, id_and_text, replace_text, rows_of
 from vecloom.session import new_path
 
 MIN_DOCS = 10
 BATCHES = 4
 FANOUT = 2
 KEY = ["hi", "lo"]
+GONE, GONE_ID = "_gone_lines", "_gone_lines_id"
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
 _RESULT = pa.schema(
@@ -62,19 +63,36 @@ def _line_hashes(min_chars: int):
     return hashes
 
 
+def without_lines(text: bytes, gone: list | None) -> tuple[list[bytes], int]:
+    """(lines that stay, number of lines before)."""
+    lines = text.split(b"\n")
+    if not gone:
+        return lines, len(lines)
+    keys = {(g["hi"], g["lo"]) for g in gone}
+    return [line for line in lines if _hash(line_key(line)) not in keys], len(lines)
+
+
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for row, text, gone in rows_of([batch]):
-            lines = (text or b"").split(b"\n")
-            kept = lines
-            if gone:
-                gone = {(g["hi"], g["lo"]) for g in gone}
-                kept = [line for line in lines if _hash(line_key(line)) not in gone]
-            out.append((row, len(lines), len(lines) - len(kept), b"\n".join(kept).decode("utf-8", "replace")))
+        for doc_id, text, gone in rows_of([batch]):
+            kept, before = without_lines(text or b"", gone)
+            out.append((doc_id, before, before - len(kept), b"\n".join(kept).decode("utf-8", "replace")))
         yield arrow_rows(_RESULT, out)
 
 
+def _drop_in_rows(text_col: str):
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = batch.column(GONE).to_pylist()
+            texts = [
+                b"\n".join(without_lines(text, g)[0]) for text, g in zip(as_bytes(batch.column(text_col)), gone, strict=True)
+            ]
+            yield replace_text(batch, text_col, texts, drop=[GONE, GONE_ID])
+
+    return drop
+
+
 class LineRuns:
     """Runs of (hi, lo, docs) by level, and the settled keys, in one shared folder."""
 
@@ -136,25 +154,11 @@ class LineRuns:
         return self.settled_keys().select(*KEY)
 
 
-def line_dedup(
-    documents: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    min_docs: int = MIN_DOCS,
-    min_chars: int = 1,
-    batches: int = BATCHES,
-    fanout: int = FANOUT,
+def repeated_lines(
+    docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = 1, batches: int = BATCHES, fanout: int = FANOUT
 ) -> DataFrame:
-    """Per row: doc_id, n_lines (before), n_dropped and kept (text of the other lines).
-
-    A text is split at \\n; a null or empty text is one empty line. Lines whose key has at
-    least ``min_chars`` code points and occurs in at least ``min_docs`` documents go from
-    every document. Rows that share an id are one document in the count and keep their own
-    rows; rows with a null id count together as one document and lose nothing. Other
-    columns are not read. An empty table gives an empty result.
-    """
-    spark = documents.sparkSession
-    docs = id_and_text(documents, id_col, text_col)
+    """(doc_id, gone): of each document that has any, the hashes of its lines that go."""
+    spark = docs.sparkSession
     staged = new_path(spark, "lines")
     docs.mapInArrow(_line_hashes(min_chars), "doc_id long, hi long, lo long").withColumn(
         "batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
@@ -163,13 +167,39 @@ def line_dedup(
     runs = LineRuns(spark, min_docs=min_docs, fanout=fanout)
     for number in range(batches):
         runs.add(lines.filter(F.col("batch") == number).drop("batch"))
-    gone = (
+    return (
         lines.join(runs.finish(), KEY, "left_semi")
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct(*KEY)).alias("gone"))
     )
+
+
+def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per row: doc_id, n_lines (before), n_dropped and kept (text of the other lines).
+
+    A text is split at \\n; a null or empty text is one empty line. Lines whose key has at
+    least ``min_chars`` code points and occurs in at least ``min_docs`` documents go from
+    every document. Rows that share an id are one document in the count and keep their own
+    rows; rows with a null id count together as one document and lose nothing. Other
+    columns are not read. An empty table gives an empty result.
+    """
+    docs = id_and_text(documents, id_col, text_col)
     return (
-        docs.join(gone.hint("shuffle_hash"), "doc_id", "left")
+        docs.join(repeated_lines(docs, **options).hint("shuffle_hash"), "doc_id", "left")
         .select("doc_id", "text", "gone")
         .mapInArrow(_drop, "doc_id long, n_lines long, n_dropped long, kept string")
     )
+
+
+def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``documents``, all columns, with their texts cleared of repeated lines.
+
+    As ``line_dedup``; a null text becomes an empty one, and a text that loses all its lines stays
+    as an empty one.
+    """
+    gone = repeated_lines(id_and_text(documents, id_col, text_col), **options).withColumnsRenamed(
+        {"doc_id": GONE_ID, "gone": GONE}
+    )
+    return documents.join(
+        gone.hint("shuffle_hash"), F.col(f"`{id_col}`").cast("long") == F.col(GONE_ID), "left"
+    ).mapInArrow(_drop_in_rows(text_col), documents.schema)

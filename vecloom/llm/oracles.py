@@ -29,21 +29,66 @@ FROM keyed k LEFT JOIN counted c USING (key)
 GROUP BY doc_id
 """
 
+_ORACLES["op1_url_filter"] = r"""
+WITH seen AS (
+    SELECT page_id, url,
+           TIMESTAMP '2023-01-01' + to_seconds((('0x' || md5(url)[1:7])::BIGINT % 63072000)::BIGINT) AS fetched_at,
+           nullif(rtrim(lower(regexp_replace(regexp_replace(
+               regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)', 1), '^.*@', ''), '(:[0-9]*)?$', '')), '.'), '') AS host,
+           lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)', 2)) AS path
+    FROM pages
+), digests AS (
+    SELECT host, md5(host || '#' || i) AS d
+    FROM (SELECT DISTINCT host FROM seen WHERE host IS NOT NULL), (SELECT unnest(range(6)) AS i)
+), log AS (
+    SELECT CASE WHEN d[9] < '8' THEN 'abuse' ELSE 'adult' END AS list,
+           CASE WHEN d[10] <= '9' THEN host WHEN d[10] <= 'c' THEN regexp_replace(host, '^[^.]*\.', '') ELSE host || '/en' END AS key,
+           CASE WHEN d[8] <= '7' THEN 2 WHEN d[8] <= 'a' THEN 1 ELSE 0 END AS strictness,
+           TIMESTAMP '2023-01-01' + to_hours((('0x' || d[1:6])::BIGINT % 17520)::BIGINT) AS listed_at
+    FROM digests WHERE d[7] < '8'
+), dated AS (
+    SELECT list, key, listed_at, max(strictness) AS strictness FROM log GROUP BY ALL
+), intervals AS (
+    SELECT *, lead(listed_at) OVER (PARTITION BY list, key ORDER BY listed_at) AS valid_to FROM dated
+), keys AS (
+    SELECT page_id, url, fetched_at, array_to_string(str_split(host, '.')[i:], '.') AS domain,
+           list_filter(str_split(path, '/'), x -> x <> '') AS segments
+    FROM seen, (SELECT unnest(range(1, 20)) AS i) WHERE i <= len(str_split(host, '.'))
+), prefixed AS (
+    SELECT page_id, url, fetched_at,
+           domain || CASE WHEN n = 0 THEN '' ELSE '/' || array_to_string(segments[1:n], '/') END AS key
+    FROM keys, (SELECT unnest(range(0, 3)) AS n) WHERE n <= len(segments)
+), active AS (
+    SELECT p.page_id, p.url, p.fetched_at, i.list, i.key, i.listed_at AS valid_from,
+           CASE WHEN strictness = 2 THEN 'block' ELSE 'allow' END AS action
+    FROM prefixed p JOIN intervals i ON p.key = i.key AND i.strictness > 0
+        AND p.fetched_at >= i.listed_at AND (i.valid_to IS NULL OR p.fetched_at < i.valid_to)
+), ranked AS (
+    SELECT *, row_number() OVER (
+        PARTITION BY page_id, url, fetched_at ORDER BY length(key) DESC, action = 'allow', list, key) AS place
+    FROM active
+)
+SELECT s.page_id, s.url, s.fetched_at, s.host, coalesce(r.action, 'allow') <> 'block' AS kept,
+       r.list, r.key, r.action, r.valid_from
+FROM seen s LEFT JOIN ranked r
+    ON r.place = 1 AND s.page_id = r.page_id AND s.url = r.url AND s.fetched_at = r.fetched_at
+"""
+
 _ORACLES["op3_substring_dedup"] = rf"""
-WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-windows AS (
-    SELECT doc_id, unnest(range(1, len(w) - 11)) AS pos, w FROM words WHERE len(w) >= 13
-), keyed AS (
-    SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 12], ' ')) AS key FROM windows
+WITH words AS (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos, len(w) AS n
+    FROM (SELECT doc_id, {_WORDS} AS w FROM documents)
+), windows AS (
+    SELECT doc_id, pos, md5(string_agg(word, ' ') OVER (
+               PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)) AS key, n
+    FROM words
 ), later AS (
-    SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY key) < doc_id AS hit FROM keyed
-), gone AS (
-    SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM later WHERE hit
-), each_word AS (
-    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words
+    SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY key) < doc_id AS hit FROM windows WHERE pos <= n - 12
 ), marked AS (
-    SELECT e.doc_id, e.word, e.pos, g.pos IS NOT NULL AS removed
-    FROM each_word e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos
+    SELECT w.doc_id, w.word, w.pos,
+           coalesce(bool_or(l.hit) OVER (
+               PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS removed
+    FROM words w LEFT JOIN later l ON w.doc_id = l.doc_id AND w.pos = l.pos
 ), per_doc AS (
     SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE removed) AS n_removed,
            string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT removed) AS kept
@@ -53,3 +98,17 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
 """
+
+_ORACLES["op10_hamming_search"] = """
+WITH codes AS (
+    SELECT DISTINCT vec_id AS id, list_transform(embedding, x -> x > 0) AS code FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) = 64
+), pairs AS (
+    SELECT q.id AS query_id, r.id AS neighbour_id,
+           list_sum(list_transform(list_zip(q.code, r.code), p -> (p[1] <> p[2])::INT))::INT AS distance
+    FROM codes q JOIN codes r ON q.id % 20 = 0 AND q.id <> r.id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INT AS rank FROM pairs
+)
+SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10
+"""

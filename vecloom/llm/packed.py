@@ -8,6 +8,7 @@ rows as any others; a key costs eight bytes in the shuffle, not a row.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,47 @@ def joined(buffers: Iterable[bytes], kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(buffers), kind)
 
 
+def replace_text(batch: pa.RecordBatch, text_col: str, texts: list[bytes], drop: Iterable[str] = ()) -> pa.RecordBatch:
+    """The batch with new texts in its text column, all others as they are but for those to drop."""
+    names = [name for name in batch.schema.names if name not in set(drop)]
+    arrays = [
+        pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()) if n == text_col else batch.column(n)
+        for n in names
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def as_bytes(column: pa.Array) -> list[bytes]:
+    return [b"" if t is None else t if isinstance(t, bytes) else t.encode("utf-8") for t in column.to_pylist()]
+
+
 def arrow_rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+@contextmanager
+def shuffles_end_with_their_job(spark: SparkSession):
+    """Inside, Spark deletes a job's shuffle files when the job has written its table.
+
+    Only for jobs that end in a written table; nothing reads their shuffles afterwards.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Counts as one byte each, with those of 255 and more appended in full."""
+    big = values >= 255
+    return np.where(big, 255, values).astype(np.uint8).tobytes() + values[big].astype(np.int64).tobytes()
+
+
+def widen(buffer: bytes, n: int) -> np.ndarray:
+    values = np.frombuffer(buffer, np.uint8, n).astype(np.int64)
+    values[values == 255] = np.frombuffer(buffer, np.int64, offset=n)
+    return values
