@@ -71,7 +71,7 @@ def test_stages_in_turn(spark, folder):
     before, left = rows, stages["decontamination"](spark, left, folder)
     rows = left.collect()
     items = [tokens_of(r.text.encode()) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
-    bad = lambda t: any(5 * sum(x[2] for x in brute_tiles(i, tokens_of(t.encode()), 5)) >= 3 * len(i) for i in items)
+    bad = lambda t: any(2 * sum(x[2] for x in brute_tiles(i, tokens_of(t.encode()), 5)) >= len(i) for i in items)
     assert sorted(rows, key=key) == sorted([r for r in before if not bad(r.text)], key=key)
     assert len(before) - len(rows) == 5
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from vecloom.llm.packed import arrow_rows, as_bytes, id_and_text, rows_of
 
 MIN_MATCH = 5
-COVERAGE = 0.6
+COVERAGE = 0.5
 #: Bound of the benchmark tokens that one broadcast holds.
 BLOCK_TOKENS = 500_000
 

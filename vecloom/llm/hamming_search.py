@@ -78,42 +78,55 @@ def hamming_top_k(
         .select(F.col("s.segment").alias("segment"), F.col("s.value").alias("value"), "code", "ids"),
         "segment-index",
     )
-    open_queries = cut_lineage(asked, "queries")
+    # reach: the k-th distance verified so far; nothing farther can be an answer.
+    # need: how many neighbours there are to find, k unless the table is smaller.
+    own = entries.groupBy(F.col("id").alias("query_id")).agg(F.count(F.lit(1)).alias("own"))
+    others = F.lit(entries.count()) - F.coalesce("own", F.lit(0).cast("long"))
+    asked = asked.join(own, "query_id", "left").withColumn("need", F.least(F.lit(k), others)).drop("own")
+    open_queries = cut_lineage(asked.filter("need > 0").withColumn("reach", F.lit(BITS)), "queries")
+    query = ["query_id", "query_code"]
+    order = Window.partitionBy(*query).orderBy("distance", "neighbour_id")
     best = None
     done = []
     for radius in range(width + 1):
-        masks = [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
+        # One literal text, folded to an array once: a literal per mask would swell the plan.
+        masks = ",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), radius))
         probes = (
             open_queries.withColumn("s", F.explode(_segments(F.col("query_code"), segments)))
-            .withColumn("mask", F.explode(F.lit(masks)))
+            .withColumn("mask", F.explode(F.split(F.lit(masks), ",").cast("array<long>")))
             .select(
-                "query_id",
-                "query_code",
+                *query,
+                "reach",
                 F.col("s.segment").alias("segment"),
                 F.col("s.value").bitwiseXOR(F.col("mask")).alias("value"),
             )
         )
         found = (
             probes.join(index, ["segment", "value"])
-            .select("query_id", "query_code", "code", "ids", _distance("query_code", "code").alias("distance"))
-            .distinct()
-        )
-        found = found.select("query_id", "query_code", "distance", F.explode("ids").alias("neighbour_id")).filter(
-            "neighbour_id != query_id"
+            .withColumn("distance", _distance("query_code", "code"))
+            .filter(F.col("distance") <= F.col("reach"))
+            .select(*query, "distance", F.explode("ids").alias("neighbour_id"))
+            .filter("neighbour_id != query_id")
         )
         if best is not None:
-            found = found.union(best.join(open_queries.select("query_id", "query_code"), ["query_id", "query_code"], "left_semi").select(found.columns))
-        order = Window.partitionBy("query_id", "query_code").orderBy("distance", "neighbour_id")
+            found = found.union(best.join(open_queries, query, "left_semi").select(found.columns))
         best = cut_lineage(
             found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "best"
         )
         covered = segments * (radius + 1) - 1
-        finished = best.filter((F.col("rank") == k) & (F.col("distance") <= covered)).select("query_id", "query_code")
-        last = covered >= BITS
-        done.append(best if last else best.join(finished, ["query_id", "query_code"], "left_semi"))
-        if last:
+        last = (
+            best.join(open_queries.select(*query, "need"), query)
+            .filter(F.col("rank") == F.col("need"))
+            .select(*query, F.col("distance").alias("reach"))
+        )
+        if covered >= BITS:
+            done.append(best)
             break
-        open_queries = cut_lineage(open_queries.join(finished, ["query_id", "query_code"], "left_anti"), "queries")
+        done.append(best.join(last.filter(F.col("reach") <= covered), query, "left_semi"))
+        reached = open_queries.drop("reach").join(last, query, "left").fillna(BITS, ["reach"])
+        open_queries = cut_lineage(reached.filter(F.col("reach") > covered), "queries")
         if not open_queries.limit(1).count():
             break
-    return reduce(DataFrame.union, done).select("query_id", "rank", "neighbour_id", F.col("distance").cast("int").alias("distance"))
+    return reduce(DataFrame.union, done).select(
+        "query_id", "rank", "neighbour_id", F.col("distance").cast("int").alias("distance")
+    )

@@ -52,7 +52,7 @@ WITH seen AS (
     SELECT *, lead(listed_at) OVER (PARTITION BY list, key ORDER BY listed_at) AS valid_to FROM dated
 ), keys AS (
     SELECT page_id, url, fetched_at, array_to_string(str_split(host, '.')[i:], '.') AS domain,
-           list_filter(str_split(path, '/'), x -> x <> '') AS segments
+           list_filter(str_split(path, '/'), lambda x: x <> '') AS segments
     FROM seen, (SELECT unnest(range(1, 20)) AS i) WHERE i <= len(str_split(host, '.'))
 ), prefixed AS (
     SELECT page_id, url, fetched_at,
@@ -101,11 +101,11 @@ FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
 
 _ORACLES["op10_hamming_search"] = """
 WITH codes AS (
-    SELECT DISTINCT vec_id AS id, list_transform(embedding, x -> x > 0) AS code FROM embeddings
+    SELECT DISTINCT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS code FROM embeddings
     WHERE vec_id IS NOT NULL AND len(embedding) = 64
 ), pairs AS (
     SELECT q.id AS query_id, r.id AS neighbour_id,
-           list_sum(list_transform(list_zip(q.code, r.code), p -> (p[1] <> p[2])::INT))::INT AS distance
+           list_sum(list_transform(list_zip(q.code, r.code), lambda p: (p[1] <> p[2])::INT))::INT AS distance
     FROM codes q JOIN codes r ON q.id % 20 = 0 AND q.id <> r.id
 ), ranked AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INT AS rank FROM pairs
