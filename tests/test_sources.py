@@ -44,6 +44,20 @@ def test_tolerant_reader_falls_back_to_first_and_last_column(spark, tmp_path):
     assert (row.title, row.review_text) == ("A", "text")
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_every_file_counts_by_its_own_header(spark, tmp_path, multi_line):
+    folder = tmp_path / "with space"
+    folder.mkdir()
+    (folder / "a.csv").write_text("title,review\nA,ra\nA2,ra2\n")
+    (folder / "b.csv").write_text('review,"title"\nrb,B\n')
+    (folder / "c.csv").write_text("\ufeffTITLE,x, Review_Text\nC,1,rc\nshort\n")
+    rows = readers.read_reviews(spark, str(folder), multi_line=multi_line).collect()
+    assert sorted((r.title, r.review_text) for r in rows) == [("A", "ra"), ("A2", "ra2"), ("B", "rb"), ("C", "rc")]
+    (folder / "d.csv").write_text("only\nx\n")
+    with pytest.raises(S.ColumnResolutionError):
+        readers.read_reviews(spark, str(folder))
+
+
 def test_tolerant_reader_limit(spark, tmp_path):
     (tmp_path / "r.csv").write_text("title,review\n" + "".join(f"t{i},r{i}\n" for i in range(20)))
     assert readers.read_reviews(spark, str(tmp_path / "r.csv"), limit=7).count() == 7

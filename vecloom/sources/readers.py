@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import os
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from vecloom.functions.text import strip
 from vecloom.schema import SUMMARISED_SCHEMA, ColumnResolutionError
 
 CORRUPT = "_corrupt_row"
+#: Different header lines that the files of one table may have.
+MAX_HEADERS = 100
 
 
 def read_header_csv(
@@ -36,22 +41,30 @@ def read_matrix_csv(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).csv(path, header=False, mode="FAILFAST")
 
 
-def _header_names(spark: SparkSession, path: str) -> list[str]:
-    probe = spark.read.options(
-        header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True
+def _files_by_header(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) for every header line that occurs in the files of a table."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        "value",
     )
-    return probe.csv(path).columns
-
+    first = lines.groupBy("file").agg(F.min(F.struct("at", "value")).alias("line"))
+    groups = (
+        first.groupBy(F.col("line.value").alias("header"))
+        .agg(F.sort_array(F.collect_list("file")).alias("files"))
+        .limit(MAX_HEADERS + 1)
+        .collect()
+    )
+    if len(groups) > MAX_HEADERS:
+        raise ColumnResolutionError(f"more than {MAX_HEADERS} different headers below {path}")
+    found = []
+    for row in sorted(groups, key=lambda r: r["files"]):
+        names = next(csv.reader([row["header"].removeprefix("\ufeff")], skipinitialspace=True), [])
+        found.append((names, [unquote(f) for f in row["files"]]))
+    return found
 
-def read_reviews(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Title and review of a review CSV in whatever shape it comes.
 
-    The title is the column named ``title`` and the review the one named ``review`` or
-    ``review_text`` in any case; without them the first and the last column are taken.
-    Undecodable bytes become replacement characters, leading blanks are skipped, rows
-    that end before the last needed column are dropped, longer rows are kept.
-    """
-    names = _header_names(spark, path)
+def _review_positions(names: list[str]) -> tuple[int, int]:
     lowered = [n.strip().lower() for n in names]
     title_at = lowered.index("title") if "title" in lowered else None
     review_at = next((i for i, n in enumerate(lowered) if n in ("review", "review_text")), None)
@@ -59,14 +72,43 @@ def read_reviews(spark: SparkSession, path: str, limit: int | None = None) -> Da
         title_at, review_at = 0, len(names) - 1
     if title_at == review_at:
         raise ColumnResolutionError("a review table needs at least two columns")
+    return title_at, review_at
+
+
+def read_reviews(
+    spark: SparkSession, path: str, limit: int | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Title and review of a review CSV in whatever shape it comes.
 
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+    The title is the column named ``title`` and the review the one named ``review`` or
+    ``review_text`` in any case; without them the first and the last column are taken. Every
+    file counts by its own header line, so files of a table may order or name their
+    columns differently. Undecodable bytes become replacement characters, leading blanks are
+    skipped, rows that end before the last needed column are dropped, longer rows are kept.
+
+    With ``multi_line`` a quoted field may hold line breaks, and a file is read by one task;
+    without it, large files are split.
+    """
+    parts = [
+        _read_review_files(spark, files, len(names), *_review_positions(names), multi_line)
+        for names, files in _files_by_header(spark, path)
+    ]
+    if not parts:
+        return spark.createDataFrame([], "title string, review_text string")
+    reviews = reduce(DataFrame.unionByName, parts)
+    return reviews.limit(limit) if limit else reviews
+
+
+def _read_review_files(
+    spark: SparkSession, files: list[str], width: int, title_at: int, review_at: int, multi_line: bool
+) -> DataFrame:
+    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(width)]
     schema = T.StructType(fields + [T.StructField(CORRUPT, T.StringType())])
     rows = spark.read.schema(schema).csv(
-        path,
+        files,
         header=True,
         enforceSchema=True,
-        multiLine=True,
+        multiLine=multi_line,
         quote='"',
         escape='"',
         ignoreLeadingWhiteSpace=True,
@@ -75,11 +117,10 @@ def read_reviews(spark: SparkSession, path: str, limit: int | None = None) -> Da
     )
     last_needed = F.col(f"c{max(title_at, review_at)}")
     short = F.col(CORRUPT).isNotNull() & last_needed.isNull()
-    reviews = rows.filter(~short).select(
+    return rows.filter(~short).select(
         F.coalesce(strip(F.col(f"c{title_at}")), F.lit("")).alias("title"),
         F.coalesce(strip(F.col(f"c{review_at}")), F.lit("")).alias("review_text"),
     )
-    return reviews.limit(limit) if limit else reviews
 
 
 def read_json_records(
