@@ -143,10 +143,11 @@ def test_audit_reports_lost_keys(spark):
 def test_failed_rows_do_not_stop_others(spark):
     df = spark.createDataFrame([(i, f"t{i}", "r" * i) for i in range(6)], "item_id long, title string, review string")
 
-    def model(title, review):
-        if len(review) == 3:
-            raise RuntimeError("no")
-        return None if len(review) == 0 else f" {title} "
+    def model(reviews):
+        return [
+            RuntimeError("no") if len(review) == 3 else None if len(review) == 0 else f" {title} "
+            for title, review in reviews
+        ]
 
     results = J.summarise_with(df, model)
     stored, rejects = J.apply_results(df.withColumn("structured_summary", F.lit(None).cast("string")), results)
@@ -158,6 +159,19 @@ def test_failed_rows_do_not_stop_others(spark):
     assert tuple(status) == (6, 4, 1, 1)
 
 
+def test_a_failed_request_fails_its_own_rows(spark):
+    df = spark.createDataFrame([(i, f"t{i}", "r") for i in range(6)], "item_id long, title string, review string").coalesce(1)
+
+    def model(reviews):
+        if ("t2", "r") in reviews:
+            raise RuntimeError("down")
+        return ["ok"] * (len(reviews) if ("t4", "r") not in reviews else 1)
+
+    rows = J.summarise_with(df, model, request_rows=2).collect()
+    assert {r.item_id: r.structured_summary for r in rows} == {0: "ok", 1: "ok", 2: None, 3: None, 4: None, 5: None}
+    assert {r.error.split(":")[0] for r in rows if r.error} == {"RuntimeError", "ValueError"}
+
+
 def test_aspect_summary_picks_by_aspect_then_leading(spark):
     review = (
         "An opening line that says little. The music and graphics shine here! "

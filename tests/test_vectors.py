@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vecloom.functions.vector import as_double, cosine
 from vecloom.operators import clustering as C
 from vecloom.operators import embedding as E
+from vecloom.operators import ivf as I
 from vecloom.operators import neighbours as N
 from vecloom.operators import projection as V
 from vecloom.operators import stats as Z
@@ -158,6 +159,20 @@ def test_kmeans_recovers_planted_groups_and_k(spark, blobs):
     assert costs[2].cost > costs[3].cost > costs[4].cost
 
 
+def test_as_many_centres_as_asked_for(spark):
+    _, df = random_vectors(spark, 4000, 3, lambda i: 0)
+    model = C.fit_kmeans(df, 3000, starts=1)
+    assert len(np.unique(model.centres, axis=0)) == 3000
+    with pytest.raises(ValueError, match="distinct"):
+        C.fit_kmeans(df.limit(5).unionByName(df.limit(5)), 6, starts=1)
+
+
+def test_starts_do_not_depend_on_partitions(spark, blobs):
+    df = blobs(4, 30, 5)
+    one, many = (C.fit_kmeans(df.repartition(n), 4, starts=2) for n in (1, 7))
+    assert one.cost == pytest.approx(many.cost) and one.seed == many.seed
+
+
 def test_k_range_is_clamped(spark):
     _, df = random_vectors(spark, 4, 3, lambda i: 0)
     assert sorted(r.k for r in C.select_k(df, 2, 10, starts=1).collect()) == [2, 3]
@@ -231,3 +246,14 @@ def test_blank_text_is_not_embedded(spark):
     df = spark.createDataFrame([(1, " \n"), (2, "x"), (3, None)], "item_id long, structured_summary string")
     got = E.prefixed_input(df).collect()
     assert [(r.item_id, r.embed_text) for r in got] == [(2, E.EMBED_PREFIX + "x")]
+
+
+def test_inverted_file_is_exact_with_all_cells_and_near_with_some(spark):
+    _, df = random_vectors(spark, 300, 8, lambda i: 0)
+    exact = N.recommend_items(df, 4)
+    key = lambda r: (r.item_id, r["rank"], r.neighbour_id, round(r.similarity, 6))
+    want = sorted(map(key, exact.collect()))
+    assert sorted(map(key, I.ivf_neighbours(df, 4, cells=6, probes=6, block_rows=40).collect())) == want
+    some = I.ivf_neighbours(df, 4, cells=6, probes=3)
+    found = I.recall(some, exact).first()
+    assert found.wanted == len(want) and 0.5 < found.recall < 1

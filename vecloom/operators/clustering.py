@@ -6,11 +6,10 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
@@ -26,10 +25,10 @@ K_MIN = 2
 K_MAX = 10
 
 MAX_ITER = 300
-START_SAMPLE = 2048
+#: Turns over the table in which candidates for starting centres are drawn.
+SEED_TURNS = 4
 MAX_CENTRES = 8192
 MAX_CENTRE_VALUES = 8_000_000
-EXACT_SILHOUETTE_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -45,64 +44,148 @@ class Model:
         return [(i, [float(x) for x in c]) for i, c in enumerate(self.centres)]
 
 
-def _starting_sample(vectors: DataFrame, seed: int) -> np.ndarray:
-    """At most ``START_SAMPLE`` vectors in a seeded order, for choosing first centres."""
-    order = F.xxhash64("item_id", F.lit(seed))
-    picked = vectors.orderBy(order, "item_id").limit(START_SAMPLE).select("v").collect()
-    return np.array([r["v"] for r in picked], dtype=np.float64)
+def _unit_draw(ids: np.ndarray, seed: int, turn: int) -> np.ndarray:
+    """A number in [0, 1) per item, from the item, the seed and the turn alone."""
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 1_000_003 + turn * 7919 + 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-def _spread_start(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ on the sample: each next centre drawn by squared distance to the others."""
-    draw = np.random.default_rng([seed, k])
-    centres = [sample[draw.integers(len(sample))]]
-    near = ((sample - centres[0]) ** 2).sum(axis=1)
-    while len(centres) < min(k, len(sample)):
-        total = near.sum()
-        weight = near / total if total > 0 else None
-        centres.append(sample[draw.choice(len(sample), p=weight)])
-        near = np.minimum(near, ((sample - centres[-1]) ** 2).sum(axis=1))
-    return np.array(centres)
-
-
-def _refined_starts(
-    spark: SparkSession, sample: np.ndarray, jobs: Sequence[tuple[int, int]], threshold: float
-) -> list[Model]:
-    """First centres of every (k, seed), settled on the sample (Bradley & Fayyad 1998).
-
-    The bounded sample is broadcast and the starts are refined in parallel tasks. The
-    full table then needs few passes, because its centres are already near.
+_SEED_ROW = "seed int, v array<double>, gap double, draw double"
+
+
+def _seed_pass(vectors: DataFrame, found: Mapping[int, np.ndarray], turn: int, take) -> dict[int, list[tuple]]:
+    """One scan for all seeds: ``take(seed, ids, vectors, gaps, draws)`` picks rows of a batch.
+
+    ``gaps`` are squared distances to the candidates found so far. Rows come back as
+    (vector, gap, draw); a row without a vector carries a task's sum of gaps.
     """
-    shared = spark.sparkContext.broadcast(sample)
-
-    def refine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points = shared.value
-        for frame in frames:
-            for k, seed in zip(frame["k"].tolist(), frame["seed"].tolist()):
-                centres = _spread_start(points, k, seed)
-                for _ in range(MAX_ITER):
-                    pick = _squared_by_product(points, centres).argmin(axis=1)
-                    one_hot = np.eye(len(centres))[pick]
-                    size = one_hot.sum(axis=0)[:, None]
-                    moved = np.where(size > 0, one_hot.T @ points / np.maximum(size, 1), centres)
-                    shift = ((moved - centres) ** 2).sum()
-                    centres = moved
-                    if shift <= threshold:
-                        break
-                yield pd.DataFrame({"k": [k], "seed": [seed], "centres": [centres.ravel().tolist()]})
-
-    tasks = min(len(jobs), spark.sparkContext.defaultParallelism)
-    rows = (
-        spark.createDataFrame(jobs, "k int, seed int")
-        .repartition(tasks)
-        .mapInPandas(refine, "k int, seed int, centres array<double>")
-        .collect()
-    )
+    shared = vectors.sparkSession.sparkContext.broadcast(dict(found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[str, list] = {"seed": [], "v": [], "gap": [], "draw": []}
+        total = dict.fromkeys(shared.value, 0.0)
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            width = len(batch.column(1)[0]) if len(ids) else 0
+            x = _matrix(batch.column(1), width) if len(ids) else np.zeros((0, 0))
+            for seed, centres in shared.value.items():
+                if not len(ids):
+                    continue
+                gap = _gaps(x, centres)
+                total[seed] += gap.sum()
+                draw = _unit_draw(ids, seed, turn)
+                for i in np.flatnonzero(take(seed, gap, draw)):
+                    rows["seed"].append(seed)
+                    rows["v"].append(x[i].tolist())
+                    rows["gap"].append(float(gap[i]))
+                    rows["draw"].append(float(draw[i]))
+        for seed, value in total.items():
+            rows["seed"].append(seed)
+            rows["v"].append(None)
+            rows["gap"].append(value)
+            rows["draw"].append(0.0)
+        types = (pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(rows.values(), types, strict=True)], list(rows)
+        )
+
+    picked: dict[int, list[tuple]] = {seed: [] for seed in found}
+    table = vectors.select("item_id", "v").mapInArrow(run, _SEED_ROW)
+    for row in table.toLocalIterator(prefetchPartitions=True):
+        picked[row["seed"]].append((row["v"], row["gap"], row["draw"]))
     shared.destroy()
-    width = sample.shape[1]
+    return picked
+
+
+def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    gap = np.full(len(x), np.inf)
+    for start in range(0, len(centres), 512):
+        gap = np.minimum(gap, _squared_by_product(x, centres[start : start + 512]).min(axis=1))
+    # Copies of a centre are at no distance from it, whatever the product rounds to.
+    scale = (x**2).sum(axis=1)
+    return np.where(gap <= 1e-12 * np.maximum(scale, 1e-300), 0.0, gap)
+
+
+def _spread(vectors: DataFrame, centres: Mapping[int, np.ndarray]) -> dict[int, float]:
+    """Per seed the sum of squared distances to the nearest candidate."""
+    rows = _seed_pass(vectors, centres, 0, lambda seed, gap, draw: np.zeros(len(gap), bool))
+    return {seed: sum(gap for _, gap, _ in own) for seed, own in rows.items()}
+
+
+def _candidates(vectors: DataFrame, seeds: Sequence[int], k: int) -> dict[int, np.ndarray]:
+    """Candidate centres per seed by k-means|| (Bahmani et al. 2012) over the whole table.
+
+    A turn reads all vectors once for all seeds and draws each with a probability in
+    proportion to its squared distance from the candidates, ``2 k`` of them expected. It ends
+    after SEED_TURNS turns, or when the table holds no vector that is not a candidate;
+    turns go on while there are fewer than k candidates.
+    """
+    least = [F.min_by("v", F.xxhash64("item_id", F.lit(seed))).alias(str(seed)) for seed in seeds]
+    centres = {seed: np.array([v]) for seed, v in zip(seeds, vectors.agg(*least).first(), strict=True)}
+    spread = _spread(vectors, centres)
+    turn = 0
+    while True:
+        turn += 1
+        open_seeds = {s: c for s, c in centres.items() if spread[s] > 0 and (turn <= SEED_TURNS or len(c) < k)}
+        if not open_seeds:
+            return centres
+        scale = {s: 2.0 * k / spread[s] for s in open_seeds}
+        drawn = _seed_pass(vectors, open_seeds, turn, lambda seed, gap, draw: draw < gap * scale[seed])
+        for seed, rows in drawn.items():
+            new = [v for v, _, _ in rows if v]
+            if new:
+                centres[seed] = np.unique(np.concatenate((centres[seed], np.array(new))), axis=0)
+            if centres[seed].size > MAX_CENTRE_VALUES:
+                raise ValueError("too many centre values; use fewer clusters")
+        spread |= _spread(vectors, {seed: centres[seed] for seed in open_seeds})
+
+
+def _weighted_start(points: np.ndarray, weight: np.ndarray, k: int, seed: int, threshold: float) -> np.ndarray:
+    """k centres of weighted candidates: k-means++ draws, then Lloyd steps on the candidates."""
+    if len(points) < k:
+        raise ValueError(f"{k} clusters asked for, but the table has {len(points)} distinct vectors")
+    draw = np.random.default_rng([seed, k])
+    chosen = [int(draw.choice(len(points), p=weight / weight.sum()))]
+    near = _gaps(points, points[chosen])
+    while len(chosen) < k:
+        mass = near * weight
+        # Candidates are distinct: one that is not chosen yet is always left.
+        if mass.sum() > 0:
+            at = int(draw.choice(len(points), p=mass / mass.sum()))
+        else:
+            at = int(np.setdiff1d(np.arange(len(points)), chosen)[0])
+        chosen.append(at)
+        near = np.minimum(near, _gaps(points, points[at : at + 1]))
+        near[at] = 0.0
+    centres = points[chosen].copy()
+    for _ in range(MAX_ITER):
+        pick = np.concatenate(
+            [_squared_by_product(points[i : i + 4096], centres).argmin(axis=1) for i in range(0, len(points), 4096)]
+        )
+        size = np.bincount(pick, weight, k)
+        total = np.stack([np.bincount(pick, weight * column, k) for column in points.T], axis=1)
+        moved = np.where(size[:, None] > 0, total / np.maximum(size, 1e-300)[:, None], centres)
+        shift = ((moved - centres) ** 2).sum()
+        centres = moved
+        if shift <= threshold:
+            break
+    return centres
+
+
+def _starts(vectors: DataFrame, jobs: Sequence[tuple[int, int]], threshold: float) -> list[Model]:
+    """First centres of every (k, seed), from candidates weighted by the items nearest to them."""
+    seeds = sorted({seed for _, seed in jobs})
+    candidates = _candidates(vectors, seeds, max(k for k, _ in jobs))
+    sizes = _lloyd_pass(vectors, [Model(len(c), s, c) for s, c in candidates.items()])[0]
+    weights, at = {}, 0
+    for seed, centres in candidates.items():
+        weights[seed] = np.maximum(sizes[at : at + len(centres)], 1e-9)
+        at += len(centres)
     return [
-        Model(r["k"], r["seed"], np.array(r["centres"]).reshape(-1, width))
-        for r in sorted(rows, key=lambda r: (r["k"], r["seed"]))
+        Model(k, seed, _weighted_start(candidates[seed], weights[seed], k, seed, threshold))
+        for k, seed in sorted(jobs)
     ]
 
 
@@ -164,6 +247,17 @@ def _lloyd_pass(
     return table[:, 0], table[:, 2:], table[:, 1]
 
 
+def _extent(vectors: DataFrame) -> tuple[int, int, float]:
+    """Number of vectors, their width, and the mean variance of their dimensions."""
+    found = vectors.agg(
+        Summarizer.metrics("count", "variance").summary(array_to_vector("v")).alias("s")
+    ).first()["s"]
+    if not found["count"]:
+        return 0, 0, 0.0
+    variance = found["variance"].toArray()
+    return found["count"], len(variance), float(variance.mean()) * (found["count"] - 1) / found["count"]
+
+
 def fit_all(
     df: DataFrame,
     ks: Sequence[int],
@@ -177,7 +271,8 @@ def fit_all(
 
     Every k and every start is refined in the same scan of the vectors, so the data is
     read as often as the slowest single fit needs, not once per fit and iteration.
-    Models that no longer move leave the scan. Equal costs keep the lowest seed.
+    Models that no longer move leave the scan. Equal costs keep the lowest seed. Starts are
+    drawn from the whole table; fewer distinct vectors than k are an error.
     """
     vectors = (
         df.filter(F.col(column).isNotNull())
@@ -185,14 +280,14 @@ def fit_all(
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
-        sample = _starting_sample(vectors, seed)
-        if not len(sample):
+        n, width, variance = _extent(vectors)
+        if not n:
             return {}
-        threshold = tol * float(sample.var(axis=0).mean())
+        threshold = tol * variance
         jobs = [(k, s) for k in ks for s in range(seed, seed + starts)]
-        if sum(k for k, _ in jobs) * sample.shape[1] > MAX_CENTRE_VALUES:
+        if sum(k for k, _ in jobs) * width > MAX_CENTRE_VALUES:
             raise ValueError("too many centre values for one pass; use fewer starts or ks")
-        moving = _refined_starts(df.sparkSession, sample, jobs, threshold)
+        moving = _starts(vectors, jobs, threshold)
         settled: list[Model] = []
         for _ in range(max_iter):
             size, total, _ = _lloyd_pass(vectors, moving)
@@ -536,7 +631,7 @@ def select_k(
     df: DataFrame,
     k_min: int = K_MIN,
     k_max: int = K_MAX,
-    metric: str = "auto",
+    metric: str = "euclidean",
     seed: int = SEED,
     starts: int = STARTS,
     column: str = "embedding",
@@ -544,18 +639,15 @@ def select_k(
     """Silhouette of the best model of every k, with the chosen k marked.
 
     ``euclidean`` compares every item with all others; ``sq_euclidean`` is linear in
-    the items. ``auto`` takes the first up to ``EXACT_SILHOUETTE_ROWS`` items and the
-    second beyond. The range is clamped so that k < number of items.
+    the items. The range is clamped so that k < number of items.
     """
-    if metric not in ("auto", "euclidean", "sq_euclidean"):
+    if metric not in ("euclidean", "sq_euclidean"):
         raise ValueError(f"unknown metric {metric!r}")
     vectors = df.filter(F.col(column).isNotNull()).select("item_id", column)
     n = vectors.count()
     ks = list(range(k_min, min(k_max, n - 1) + 1))
     if not ks:
         return df.sparkSession.createDataFrame([], "k int, silhouette double, is_best boolean")
-    if metric == "auto":
-        metric = "euclidean" if n <= EXACT_SILHOUETTE_ROWS else "sq_euclidean"
     models = fit_all(vectors, ks, seed, starts, column)
     labelled = assign_many(vectors, {f"k{k}": models[k].labelled() for k in ks}, column)
     score = silhouette_exact if metric == "euclidean" else silhouette_fast

@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, IDFModel, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.text import (
@@ -94,12 +94,22 @@ class HashedVectoriser:
         return {"dimensions": self.dimensions, "stop_words": self.stop_words}
 
 
+def term_bucket(term: Column, dimensions: int) -> Column:
+    """The dimension of a term: the first 32 bits of its MD5 digest, modulo the dimensions."""
+    head = F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.pmod(head, F.lit(dimensions))
+
+
 def _term_vectors(df: DataFrame, text: str, dimensions: int, stop_words: Sequence[str]) -> DataFrame:
     words = content_tokens(F.coalesce(F.col(text), F.lit("")), stop_words)
-    with_terms = df.withColumn("__words", words).withColumn(
-        "__terms", F.concat("__words", bigrams(F.col("__words")))
-    ).drop("__words")
-    return HashingTF(numFeatures=dimensions, inputCol="__terms", outputCol="__tf").transform(with_terms)
+    terms = F.concat("__words", bigrams(F.col("__words")))
+    buckets = F.transform(terms, lambda t: term_bucket(t, dimensions).cast("string"))
+    with_terms = df.withColumn("__words", words).withColumn("__terms", buckets).drop("__words")
+    # The buckets are the vocabulary, so counting them needs no fit.
+    counter = CountVectorizerModel.from_vocabulary(
+        [str(i) for i in range(dimensions)], inputCol="__terms", outputCol="__tf"
+    )
+    return counter.transform(with_terms)
 
 
 def fit_vectoriser(

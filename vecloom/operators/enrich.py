@@ -33,7 +33,10 @@ ASPECT_WORDS: Mapping[str, tuple[str, ...]] = {
     "look_and_sound": ("graphics", "visuals", "design", "animation", "sound", "soundtrack", "music", "audio"),
 }
 
-Summarise = Callable[[str, str], str | None]
+SummariseBatch = Callable[[list[tuple[str, str]]], Sequence[str | Exception | None]]
+
+# Fixed value: reviews per request to a caller's model.
+REQUEST_ROWS = 10
 
 
 def pending_items(
@@ -46,16 +49,16 @@ def pending_items(
     return pending if count is None else take_window(pending, start, count)
 
 
-def _best_unused(sents: Column, used: Column, words: Sequence[str]) -> Column:
+def _best_unused(tokenised: Column, used: Column, words: Sequence[str]) -> Column:
     """Struct (hits, minus position) of the unused sentence with most aspect words.
 
     Equal scores take the earlier sentence, so without any hit this is the leading
     sentence not used yet. NULL when every sentence is used.
     """
     scored = F.transform(
-        sents,
-        lambda s, i: F.struct(
-            F.size(F.filter(tokens(s), lambda t: t.isin(*words))).alias("hits"), (-i).alias("at")
+        tokenised,
+        lambda ts, i: F.struct(
+            F.size(F.filter(ts, lambda t: t.isin(*words))).alias("hits"), (-i).alias("at")
         ),
     )
     return F.array_max(F.filter(scored, lambda c: ~F.array_contains(used, -c["at"])))
@@ -69,11 +72,15 @@ def aspect_summary(
     Row-local expressions over the whole review; reviews too short to summarise get the
     placeholder sentence instead.
     """
-    out = df.withColumn("__s", sentences(F.col("review"))).withColumn(
-        "__used", F.array().cast("array<int>")
+    wanted = sorted({word for words in aspects.values() for word in words})
+    out = (
+        df.withColumn("__s", sentences(F.col("review")))
+        # Every sentence is tokenised once; only words of some aspect are kept.
+        .withColumn("__t", F.transform("__s", lambda s: F.filter(tokens(s), lambda t: t.isin(*wanted))))
+        .withColumn("__used", F.array().cast("array<int>"))
     )
     for words in aspects.values():
-        best = _best_unused(F.col("__s"), F.col("__used"), words)
+        best = _best_unused(F.col("__t"), F.col("__used"), words)
         out = out.withColumn("__best", best).withColumn(
             "__used",
             F.when(F.col("__best").isNull(), F.col("__used")).otherwise(
@@ -86,30 +93,38 @@ def aspect_summary(
     summary = F.when(has_review(F.col("review"), MIN_SUMMARISABLE_CHARS), lines).otherwise(
         placeholder_summary(F.coalesce("title", F.lit("")))
     )
-    return out.withColumn(into, summary).drop("__s", "__used", "__best")
+    return out.withColumn(into, summary).drop("__s", "__t", "__used", "__best")
 
 
-def summarise_with(df: DataFrame, summarise: Summarise) -> DataFrame:
+def summarise_with(df: DataFrame, summarise: SummariseBatch, request_rows: int = REQUEST_ROWS) -> DataFrame:
     """Summaries from a caller's function: (item_id, structured_summary, error).
 
-    A failing row has no summary and its error text; other rows are unaffected.
+    The function gets up to ``request_rows`` pairs of title and review and answers each with a
+    summary, None, or an exception. A row that failed has no summary and its error text; a
+    request that fails as a whole fails its own rows. Other rows are unaffected.
     """
     schema = "item_id long, structured_summary string, error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts, errors = [], []
-            for title, review in zip(frame["title"], frame["review"]):
-                text, error = None, None
+            for start in range(0, len(frame), request_rows):
+                part = frame.iloc[start : start + request_rows]
                 try:
-                    text = summarise(title, review)
-                except Exception as failure:  # isolate the row
-                    error = f"{type(failure).__name__}: {failure}"
-                texts.append(text.strip() if text else None)
-                errors.append(error)
-            yield pd.DataFrame(
-                {"item_id": frame["item_id"], "structured_summary": texts, "error": errors}
-            )
+                    answers = list(summarise(list(zip(part["title"], part["review"]))))
+                    if len(answers) != len(part):
+                        raise ValueError(f"{len(answers)} answers for {len(part)} reviews")
+                except Exception as failure:  # a failed request must not fail the job
+                    answers = [failure] * len(part)
+                failed = [isinstance(a, Exception) for a in answers]
+                yield pd.DataFrame(
+                    {
+                        "item_id": part["item_id"].to_numpy(),
+                        "structured_summary": [
+                            a.strip() if a and not bad else None for a, bad in zip(answers, failed)
+                        ],
+                        "error": [f"{type(a).__name__}: {a}" if bad else None for a, bad in zip(answers, failed)],
+                    }
+                )
 
     return df.select("item_id", "title", "review").mapInPandas(run, schema)
 

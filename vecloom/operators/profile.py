@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vecloom.functions.text import bigrams, content_tokens, english_stop_words, is_blank, tokens
 from vecloom.operators.relational import top_n_per_group
 from vecloom.schema import palette_colour
+from vecloom.session import cut_lineage
 
 # Report sizes.
 SAMPLE_SIZE = 5
@@ -210,8 +211,10 @@ def key_themes(
 def cluster_profile(df: DataFrame, text: str = "summary") -> DataFrame:
     """One row per cluster: size, share, providers, themes and sample titles.
 
-    Every part is an aggregate keyed by cluster; the joins only see one row each.
+    Every part is an aggregate keyed by cluster; the joins only see one row each. The needed
+    columns are written once, so that the input, a join as a rule, is computed once.
     """
+    df = cut_lineage(df.select("cluster", "item_id", "title", "provider", text), "profile")
 
     def listed(rows: DataFrame, value: str, rank: str, into: str) -> DataFrame:
         return rows.groupBy("cluster").agg(

@@ -29,54 +29,45 @@ def consistency_audit(stages: Sequence[tuple[str, DataFrame, str | None]]) -> Da
     Per stage: rows, valid rows, distinct keys, and against the stage before it the
     count mismatch flag, the keys that got lost and the keys that appeared.
     """
-    counts, changes = [], []
-    for position, (name, table, needed) in enumerate(stages):
-        valid = F.count(needed) if needed else F.count(F.lit(1))
-        counts.append(
-            table.agg(
-                F.lit(position).alias("position"),
-                F.lit(name).alias("stage"),
-                F.count(F.lit(1)).alias("n_rows"),
-                valid.alias("n_valid"),
-            )
-        )
-    # One pass over all keys: which stages hold a key, as flags per key.
+    every = range(len(stages))
+    # One pass over all stages: how many rows, and valid rows, of each stage a key has.
     tagged = reduce(
         DataFrame.unionByName,
-        [t.select("item_id", F.lit(p).alias("position")) for p, (_, t, _) in enumerate(stages)],
-    )
-    present = tagged.groupBy("item_id").agg(
-        *[F.max(F.col("position") == p).alias(f"in_{p}") for p in range(len(stages))]
-    )
-    flags = [f"in_{p}" for p in range(len(stages))]
-    totals = present.agg(
-        *[F.count_if(F.col(f)).alias(f"keys_{p}") for p, f in enumerate(flags)],
-        *[
-            F.count_if(F.col(flags[p - 1]) & ~F.col(flags[p])).alias(f"lost_{p}")
-            for p in range(1, len(stages))
-        ],
-        *[
-            F.count_if(~F.col(flags[p - 1]) & F.col(flags[p])).alias(f"new_{p}")
-            for p in range(1, len(stages))
+        [
+            table.select(
+                "item_id",
+                F.lit(p).alias("position"),
+                (F.col(needed).isNotNull() if needed else F.lit(True)).alias("valid"),
+            )
+            for p, (_, table, needed) in enumerate(stages)
         ],
     )
-    keyed = totals.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(p).alias("position"),
-                        F.col(f"keys_{p}").alias("distinct_keys"),
-                        (F.col(f"lost_{p}") if p else F.lit(0).cast("long")).alias("keys_lost"),
-                        (F.col(f"new_{p}") if p else F.lit(0).cast("long")).alias("keys_added"),
-                    )
-                    for p in range(len(stages))
-                ]
-            )
+    here = [F.col("position") == p for p in every]
+    keys = tagged.groupBy("item_id").agg(
+        *[F.count_if(here[p]).alias(f"n_{p}") for p in every],
+        *[F.count_if(here[p] & F.col("valid")).alias(f"v_{p}") for p in every],
+    )
+    has = [F.col(f"n_{p}") > 0 for p in every]
+    nothing = F.lit(0).cast("long")
+    total = lambda name: F.coalesce(F.sum(name), nothing)
+    totals = keys.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(p).alias("position"),
+                    F.lit(stages[p][0]).alias("stage"),
+                    total(f"n_{p}").alias("n_rows"),
+                    total(f"v_{p}").alias("n_valid"),
+                    F.count_if(has[p]).alias("distinct_keys"),
+                    (F.count_if(has[p - 1] & ~has[p]) if p else nothing).alias("keys_lost"),
+                    (F.count_if(~has[p - 1] & has[p]) if p else nothing).alias("keys_added"),
+                )
+                for p in every
+            ]
         ).alias("s")
-    ).select("s.*")
+    )
     # One row per stage from here on.
-    rows = reduce(DataFrame.unionByName, counts).join(keyed, "position")
+    rows = totals.select(F.explode("s").alias("s")).select("s.*")
     before = F.lag("n_rows").over(Window.orderBy("position"))
     return rows.withColumn("mismatch", F.coalesce(before != F.col("n_rows"), F.lit(False)))
 

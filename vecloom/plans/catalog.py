@@ -14,6 +14,7 @@ from vecloom.functions.vector import as_double, cosine
 from vecloom.operators import clustering as C
 from vecloom.operators import embedding as E
 from vecloom.operators import enrich as J
+from vecloom.operators import ivf as I
 from vecloom.operators import layout as L
 from vecloom.operators import neighbours as N
 from vecloom.operators import ordering as O
@@ -84,6 +85,51 @@ def tolerant_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_reviews(spark, path)
 
 
+@query
+def mixed_header_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one folder with different headers: other names, another column order."""
+    path = new_path(spark, "mixed")
+    docs = readers.read_table(spark, sf_dir, "documents")
+    title, review = X.csv_quoted(first_line()), X.csv_quoted(F.col("text"))
+    forms = {
+        "title,review": (F.col("lang") == "en", F.concat_ws(",", title, review)),
+        "Review_Text,source,TITLE": (F.col("lang") == "de", F.concat_ws(",", review, F.lit("x"), title)),
+        "name,body": (~F.col("lang").isin("en", "de"), F.concat_ws(",", title, review)),
+    }
+    for header, (rows, line) in forms.items():
+        lines = docs.filter(rows).select(line.alias("value"))
+        lines.mapInPandas(_with_header(header), "value string").write.mode("append").text(path)
+    return readers.read_reviews(spark, path)
+
+
+@query
+def append_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written in two parts, the second appended to the first."""
+    path = new_path(spark, "appended")
+    table = items(spark, sf_dir)
+    writers.write_csv(table.filter(F.col("structured_summary").isNotNull()), path)
+    writers.append_csv(table.filter(F.col("structured_summary").isNull()), path)
+    back = readers.read_summarised_csv(spark, path)
+    return back.select("item_id", *[F.coalesce(c, F.lit("")).alias(c) for c in back.columns[1:]])
+
+
+@query
+def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records stored as one JSON array per cluster and read back."""
+    path = new_path(spark, "arrays")
+    layout = S.to_summary_layout(
+        item_vectors(spark, sf_dir).select(
+            "*", *[F.get("embedding", F.lit(i)).alias(axis) for i, axis in enumerate("xyz")]
+        )
+    )
+    arrays = layout.groupBy("cluster").agg(F.to_json(F.collect_list(F.struct(*layout.columns))).alias("value"))
+    arrays.repartition(F.col("cluster")).select("cluster", "value").write.partitionBy("cluster").text(path)
+    back = readers.read_json_records(spark, f"{path}/*/*.txt", S.SUMMARY_LAYOUT_SCHEMA, one_array=True)
+    return back.select(
+        "title", "provider", "cluster", *[_rounded(c) for c in ("tsneX", "tsneY", "tsneZ")], "summary"
+    )
+
+
 def _with_header(header: str):
     def add(frames):
         import pandas as pd
@@ -347,16 +393,18 @@ def dedup_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def combine_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled items are already embedded; other titles get their vector added."""
-    vectors = item_vectors(spark, sf_dir)
-    known = labelled_ids(spark, sf_dir)
-    existing = vectors.join(known, "item_id", "left_semi").select("item_id", "title", "embedding")
-    rest = vectors.join(known, "item_id", "left_anti")
-    new = R.first_per_title(R.with_title(rest), not_in=existing).select(*existing.columns)
+    """Labelled items are embedded already; other titles are embedded now, with the same model."""
+    table = items(spark, sf_dir)
+    known = table.filter(F.col("structured_summary").isNotNull())
+    model = E.fit_vectoriser(E.embed_input(known, "review"))
+    existing = model.transform(E.embed_input(known, "review")).select("item_id", "title", "embedding")
+    rest = R.with_title(table.filter(F.col("structured_summary").isNull()))
+    fresh = R.first_per_title(E.embed_input(rest, "review"), not_in=known)
+    new = model.transform(fresh).select(*existing.columns)
     return R.combine_vectors(existing, new).select(
         "item_id",
         "title",
-        F.round(F.aggregate(as_double(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 6).alias("total"),
+        F.round(F.aggregate(as_double(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 4).alias("total"),
     )
 
 
@@ -481,6 +529,28 @@ def recommend_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbour_columns(N.recommend_items(item_vectors(spark, sf_dir)))
 
 
+def _ivf(spark: SparkSession, sf_dir: str, probes: int) -> DataFrame:
+    return I.ivf_neighbours(item_vectors(spark, sf_dir), cells=8, probes=probes, block_rows=256)
+
+
+@query
+def recommend_items_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted file with all its cells probed: exact, in blocks."""
+    return _neighbour_columns(_ivf(spark, sf_dir, 8))
+
+
+@query
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the exact answer six of eight cells give."""
+    return I.recall(_ivf(spark, sf_dir, 6), N.recommend_items(item_vectors(spark, sf_dir)))
+
+
+@query
+def recommend_items_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact search split into blocks around pivots, as large tables are."""
+    return _neighbour_columns(N.recommend_items(item_vectors(spark, sf_dir), block_rows=128))
+
+
 @query
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of each vector to the one with the next id."""
@@ -569,7 +639,12 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def select_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.select_k(_labelled_vectors(spark, sf_dir))
+    return C.select_k(_labelled_vectors(spark, sf_dir), metric="euclidean")
+
+
+@query
+def select_k_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.select_k(_labelled_vectors(spark, sf_dir), metric="sq_euclidean")
 
 
 @query
@@ -582,7 +657,10 @@ def pca_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.embed_documents(E.embed_input(items(spark, sf_dir), "review")).select("item_id", "embedding")
+    embedded = E.embed_documents(E.embed_input(items(spark, sf_dir), "review"))
+    return embedded.select(
+        "item_id", F.posexplode_outer(as_double(F.col("embedding"))).alias("dim", "value")
+    ).select("item_id", "dim", _rounded("value", 4)).filter("value IS NULL OR value != 0")
 
 
 @query
@@ -590,12 +668,16 @@ def aspect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.aspect_summary(items(spark, sf_dir), TEST_ASPECTS).select("item_id", "structured_summary")
 
 
-def _reviewer(title: str, review: str) -> str | None:
+def _reviewer(reviews: list[tuple[str, str]]) -> list[str | Exception | None]:
     """Stand-in for a caller's model: fails on tiny reviews, declines short ones."""
-    length = len(review.strip(X.WHITESPACE))
-    if length < X.MIN_SUMMARISABLE_CHARS:
-        raise ValueError("review too short")
-    return None if length < X.MIN_REVIEW_CHARS else review
+    answers: list[str | Exception | None] = []
+    for _, review in reviews:
+        length = len(review.strip(X.WHITESPACE))
+        if length < X.MIN_SUMMARISABLE_CHARS:
+            answers.append(ValueError("review too short"))
+        else:
+            answers.append(None if length < X.MIN_REVIEW_CHARS else review)
+    return answers
 
 
 @query
@@ -618,11 +700,18 @@ def incremental_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unlabelled documents arrive as a stream and get the nearest cluster mean."""
-    vectors = readers.read_table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("item_id"), F.col("label").alias("cluster"), "embedding"
-    )
+    """Unlabelled documents arrive as a stream, are embedded and get the nearest cluster mean.
+
+    The vectoriser and the means come from the labelled documents; the clusters of those
+    are the labels of their stored vectors.
+    """
     documents = readers.read_table(spark, sf_dir, "documents")
+    known = E.embed_input(items(spark, sf_dir).filter(F.col("structured_summary").isNotNull()), "review")
+    model = E.fit_vectoriser(known)
+    clusters = readers.read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("item_id"), F.col("label").alias("cluster")
+    )
+    means = C.label_means(model.transform(known).select("item_id", "embedding").join(clusters, "item_id"))
     output = new_path(spark, "assigned")
     refresh(
         spark,
@@ -630,8 +719,8 @@ def stream_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
         schema=documents.schema,
         prepare=documents_as_items,
         done=labelled_ids(spark, sf_dir),
-        embed=lambda df: df.join(vectors.select("item_id", "embedding"), "item_id"),
-        centres=C.collect_centres(C.label_means(vectors)),
+        embed=lambda df: model.transform(df, "review"),
+        centres=C.collect_centres(means),
         output=output,
         checkpoint=new_path(spark, "progress"),
     ).awaitTermination()

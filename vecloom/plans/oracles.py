@@ -52,6 +52,26 @@ def _content_words(text: str) -> str:
     )
 
 
+def _embedding(table: str, fitted: str = "TRUE", dimensions: int = 256) -> list[str]:
+    """CTEs ending in units(item_id, dim, value): hashed words and word pairs by rarity, unit length."""
+    return [
+        f"""worded AS (SELECT item_id, {fitted} AS fitted, {_content_words('review')} AS w FROM {table}
+  WHERE length(trim(review, {STRIP})) > 0)""",
+        """terms AS (
+  SELECT item_id, fitted, unnest(list_concat(w, list_transform(
+    range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM worded)""",
+        f"""counted AS (
+  SELECT item_id, fitted, (('0x' || substr(md5(term), 1, 8))::BIGINT % {dimensions})::INTEGER AS dim,
+         count(*) AS tf FROM terms GROUP BY ALL)""",
+        """rarity AS (
+  SELECT dim, ln(((SELECT count(*) FROM worded WHERE fitted) + 1) / (count(*) FILTER (WHERE fitted) + 1)) AS idf
+  FROM counted GROUP BY dim)""",
+        "weighted AS (SELECT item_id, dim, tf * idf AS x FROM counted JOIN rarity USING (dim) WHERE idf <> 0)",
+        """units AS (
+  SELECT item_id, dim, (x / sqrt(sum(x * x) OVER (PARTITION BY item_id)))::FLOAT::DOUBLE AS value FROM weighted)""",
+    ]
+
+
 def _aspect_ctes(source: str, aspects: Mapping[str, Sequence[str]]) -> list[str]:
     """Sentences with hits per aspect, then one pick per aspect among unused sentences."""
     hits = ", ".join(
@@ -96,6 +116,7 @@ def _aspect_ctes(source: str, aspects: Mapping[str, Sequence[str]]) -> list[str]
 
 
 _NOT_BLANK_TITLE = f"length(trim(coalesce(title, ''), {STRIP})) > 0"
+_NOT_BLANK_REVIEW = f"length(trim(review, {STRIP})) > 0"
 _PENDING = f"pending AS (SELECT * FROM items WHERE structured_summary IS NULL AND {_NOT_BLANK_TITLE})"
 
 _WORD_COUNTS = f"""counts AS (
@@ -229,6 +250,8 @@ def all_oracles() -> dict[str, str]:
         _with(ITEMS)
         + f"SELECT trim(title, {STRIP}) AS title, trim(review, {STRIP}) AS review_text FROM items"
     )
+    sql["mixed_header_csv"] = sql["tolerant_csv"]
+    sql["append_csv"] = sql["csv_roundtrip"]
     sql["layout_export"] = _with(VECTORS) + f"""
 SELECT item_id AS id, round(v[1], 6) AS x, round(v[2], 6) AS y, round(v[3], 6) AS z, cluster,
   {_palette('cluster')} AS color,
@@ -237,6 +260,7 @@ FROM vecs"""
     sql["layout_json_roundtrip"] = _with(VECTORS) + """
 SELECT title, provider, cluster, round(v[1], 6) AS "tsneX", round(v[2], 6) AS "tsneY",
   round(v[3], 6) AS "tsneZ", summary FROM vecs"""
+    sql["json_array"] = sql["layout_json_roundtrip"]
     sql["cluster_info"] = _with(VECTORS) + f"""
 SELECT cluster, n AS count, {_palette('cluster')} AS color, (rn - 1)::INTEGER AS position, title AS sample_game
 FROM (SELECT cluster, title, count(*) OVER (PARTITION BY cluster) AS n,
@@ -330,14 +354,16 @@ SELECT item_id, title, provider, cluster, len(v)::INTEGER AS dimensions, round(v
     sql["dedup_enrich"] = f"""
 SELECT p_partkey AS item_id,
   len(regexp_extract_all(lower(p_name || ' ' || p_brand), {TOKENS}))::INTEGER AS n_words FROM part"""
-    sql["combine_embeddings"] = _with(VECTORS) + f"""
-, existing AS (SELECT * FROM vecs WHERE item_id IN (SELECT doc_id FROM labels)),
-fresh AS (
-  SELECT * FROM vecs WHERE item_id NOT IN (SELECT doc_id FROM labels) AND {_NOT_BLANK_TITLE}
-    AND title NOT IN (SELECT title FROM existing)
-  QUALIFY row_number() OVER (PARTITION BY title ORDER BY item_id) = 1)
-SELECT item_id, title, round(list_sum(v), 6) AS total
-FROM (SELECT * FROM existing UNION ALL SELECT * FROM fresh)"""
+    sql["combine_embeddings"] = _with(ITEMS, *_embedding("items", "structured_summary IS NOT NULL")) + f"""
+, fresh AS (
+  SELECT * FROM items WHERE structured_summary IS NULL AND {_NOT_BLANK_TITLE} AND {_NOT_BLANK_REVIEW}
+    AND title NOT IN (SELECT title FROM items WHERE structured_summary IS NOT NULL)
+  QUALIFY row_number() OVER (PARTITION BY title ORDER BY item_id) = 1),
+chosen AS (
+  SELECT item_id, title FROM items WHERE structured_summary IS NOT NULL AND {_NOT_BLANK_REVIEW}
+  UNION ALL SELECT item_id, title FROM fresh)
+SELECT c.item_id, c.title, round(sum(u.value), 4) AS total
+FROM chosen c LEFT JOIN units u USING (item_id) GROUP BY ALL"""
     sql["distinct_titles"] = _with(ITEMS) + "SELECT DISTINCT title FROM items"
 
     # aggregates and reports
@@ -422,6 +448,7 @@ FROM vecs QUALIFY sample_rank <= 5"""
     sql["similar_items"] = _neighbours(True)
     sql["similar_items_preview"] = _neighbours(True, _FOCAL)
     sql["recommend_items"] = _neighbours(False)
+    sql["recommend_items_ivf"] = sql["recommend_items_blocks"] = sql["recommend_items"]
     sql["cosine_pairs"] = _with(PLAIN) + """
 SELECT a.item_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
 FROM vecs a JOIN vecs b ON b.item_id = a.item_id + 1"""
@@ -460,16 +487,29 @@ ON s.cluster = p.cluster"""
     )
     sql["incremental_rerun"] = _with(ITEMS, _PENDING) + """
 SELECT 1 AS pass, count(*) AS n_rows FROM pending UNION ALL SELECT 2, 0"""
-    sql["stream_assign"] = _with(PLAIN, CELLS, CENTRES) + f"""
-, fresh AS (
-  SELECT d.doc_id AS item_id, split_part(d.text, chr(10), 1) AS title, x.v
-  FROM documents d JOIN vecs x ON x.item_id = d.doc_id
-  WHERE length(trim(d.text, {STRIP})) >= {X.MIN_REVIEW_CHARS}
-    AND length(trim(split_part(d.text, chr(10), 1), {STRIP})) > 0
-    AND d.doc_id NOT IN (SELECT doc_id FROM labels))
-SELECT f.item_id, f.title, c.cluster
-FROM fresh f, centres c, LATERAL (SELECT list_distance(f.v, c.c) AS d) s
-QUALIFY row_number() OVER (PARTITION BY f.item_id ORDER BY s.d, c.cluster) = 1"""
+    sql["embed_documents"] = _with(ITEMS, *_embedding("items")) + f"""
+SELECT i.item_id, u.dim, round(u.value, 4) AS value
+FROM items i LEFT JOIN units u USING (item_id)
+WHERE {_NOT_BLANK_REVIEW} AND (u.value IS NULL OR round(u.value, 4) <> 0)"""
+    sql["stream_assign"] = _with(ITEMS, *_embedding("items", "structured_summary IS NOT NULL")) + f"""
+, sized AS (
+  SELECT e.label AS cluster, i.item_id FROM items i JOIN embeddings e ON e.vec_id = i.item_id
+  WHERE structured_summary IS NOT NULL AND item_id IN (SELECT item_id FROM units)),
+means AS (
+  SELECT cluster, dim, sum(value) / any_value(n) AS m
+  FROM units JOIN (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM sized) USING (item_id)
+  GROUP BY cluster, dim),
+norms AS (SELECT cluster, sum(m * m) AS norm FROM means GROUP BY cluster),
+fresh AS (
+  SELECT item_id, title FROM items
+  WHERE structured_summary IS NULL AND length(trim(review, {STRIP})) >= {X.MIN_REVIEW_CHARS}
+    AND {_NOT_BLANK_TITLE} AND item_id IN (SELECT item_id FROM units)),
+dots AS (
+  SELECT f.item_id, m.cluster, sum(u.value * m.m) AS dot
+  FROM fresh f JOIN units u USING (item_id) JOIN means m USING (dim) GROUP BY ALL)
+SELECT f.item_id, f.title, n.cluster
+FROM fresh f JOIN norms n ON true LEFT JOIN dots d ON d.item_id = f.item_id AND d.cluster = n.cluster
+QUALIFY row_number() OVER (PARTITION BY f.item_id ORDER BY n.norm - 2 * coalesce(d.dot, 0), n.cluster) = 1"""
     sql["layout_affinities"] = (
         "WITH RECURSIVE "
         + ",\n".join((VECTORS, _AFFINITIES))
