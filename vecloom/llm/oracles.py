@@ -68,8 +68,9 @@ WITH seen AS (
         PARTITION BY page_id, url, fetched_at ORDER BY length(key) DESC, action = 'allow', list, key) AS place
     FROM active
 )
-SELECT s.page_id, s.url, s.fetched_at, s.host, coalesce(r.action, 'allow') <> 'block' AS kept,
-       r.list, r.key, r.action, r.valid_from
+SELECT s.page_id, s.url, epoch(s.fetched_at)::BIGINT AS fetched_at, s.host,
+       coalesce(r.action, 'allow') <> 'block' AS kept, r.list, r.key, r.action,
+       epoch(r.valid_from)::BIGINT AS valid_from
 FROM seen s LEFT JOIN ranked r
     ON r.place = 1 AND s.page_id = r.page_id AND s.url = r.url AND s.fetched_at = r.fetched_at
 """

@@ -79,7 +79,11 @@ def captures_and_entries(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(*captures_and_entries(read_table(spark, sf_dir, "pages")))
+    judged = filter_urls(*captures_and_entries(read_table(spark, sf_dir, "pages")))
+    # Seconds, so that the rows compare alike in any session time zone.
+    return judged.withColumn("fetched_at", F.unix_timestamp("fetched_at")).withColumn(
+        "valid_from", F.unix_timestamp("valid_from")
+    )
 
 
 @query
