@@ -101,7 +101,7 @@ class Triples:
 
     @classmethod
     def dense(cls, texts: list[str]) -> np.ndarray:
-        """Normalised feature vectors of a bounded set of windows."""
+        """Normalised feature vectors of a few windows."""
         codes, weights = cls.codes(texts)
         out = np.zeros((len(texts), LETTERS**3), np.float32)
         np.add.at(out, (np.arange(len(texts))[:, None], codes), weights[None, :])
@@ -110,6 +110,19 @@ class Triples:
         return out / np.where(size > 0, size, 1)
 
 
+    @classmethod
+    def kernels(cls, texts: list[str], base: np.ndarray) -> np.ndarray:
+        """Kernels of windows (rows) with the windows whose dense features are the rows of ``base``."""
+        columns = np.ascontiguousarray(base.T)
+        out = np.zeros((len(texts), len(base)))
+        for start in range(0, len(texts), 256):
+            codes, weights = cls.codes(texts[start : start + 256])
+            norms = cls.norms(codes, weights)
+            found = np.einsum("ncl,c->nl", columns[codes], weights)
+            out[start : start + 256] = found / np.where(norms > 0, norms, 1)[:, None]
+        return out
+
+
 class Machine:
     """Trained weights of all triples, and the bias."""
 
@@ -220,13 +233,11 @@ def train_machine(positive: dict[str, float], negative: dict[str, float], landma
     for sign in (1, -1):
         if (of := labels == sign).any():
             weight[of] /= weight[of].sum()
-    features = Triples.dense(texts)
-    chosen = _landmarks(features, labels, weight, landmarks)
-    base = features[chosen]
+    base = _landmarks(texts, labels, weight, landmarks)
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    x = (features @ base.T).astype(np.float64) @ whiten
+    x = Triples.kernels(texts, base) @ whiten
     x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
     # Newton steps of the primal problem: only windows inside the margin count.
     w = np.zeros(x.shape[1])
@@ -243,18 +254,22 @@ def train_machine(positive: dict[str, float], negative: dict[str, float], landma
     return Machine(base.T.astype(np.float64) @ (whiten @ w[:-1]), float(w[-1]))
 
 
-def _landmarks(features: np.ndarray, labels: np.ndarray, weight: np.ndarray, n: int) -> list[int]:
-    """Heaviest windows of either class that are not near a landmark already."""
-    chosen: list[int] = []
-    for sign, share in ((1, 3 * n // 4), (-1, n - 3 * n // 4)):
-        own = [i for i in np.argsort(-weight, kind="stable").tolist() if labels[i] == sign and features[i].any()]
-        start = len(chosen)
-        for at in own:
-            if len(chosen) - start >= share:
+def _landmarks(texts: list[str], labels: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Dense features of the heaviest windows of either class that are not near another landmark."""
+    base = np.zeros((n, LETTERS**3), np.float32)
+    used = 0
+    for sign, until in ((1, 3 * n // 4), (-1, n)):
+        for at in np.argsort(-weight, kind="stable").tolist():
+            if used == until:
                 break
-            if not chosen or float((features[chosen] @ features[at]).max()) < 0.95:
-                chosen.append(at)
-    return chosen
+            if labels[at] != sign:
+                continue
+            own = Triples.dense([texts[at]])
+            codes = np.flatnonzero(own[0])
+            if len(codes) and (not used or float((base[:used, codes] @ own[0, codes]).max()) < 0.95):
+                base[used] = own[0]
+                used += 1
+    return base[:used]
 
 
 def _curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
