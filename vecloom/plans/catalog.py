@@ -737,4 +737,4 @@ def layout_affinities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def layout_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.layout_3d(item_vectors(spark, sf_dir), iterations=30)
+    return L.layout_3d(item_vectors(spark, sf_dir))
