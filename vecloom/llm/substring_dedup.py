@@ -2,8 +2,8 @@
 
 Every window of ``width`` consecutive words gets a Rabin-Karp hash. The hashes go to
 buckets in one packed exchange, eight bytes a window; a bucket finds, for each hash, the
-smallest document id, and sends each later document the hashes it repeats. The document
-then recomputes its own hashes and merges the repeated windows into maximal removal
+smallest document id, and sends later documents the hashes they repeat, packed by groups
+of documents. A document then recomputes its own hashes and merges the repeated windows into maximal removal
 intervals.
 
 A hash has 64 bits; two different windows among w share one with probability about
@@ -12,6 +12,7 @@ w**2 / 2**65 in all, and a single window is wrongly removed with about w / 2**64
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ from vecloom.llm.packed import (
     arrow_rows,
     buckets_of,
     by_bucket,
+    crc_mod,
     id_and_text,
     joined,
     rows_of,
@@ -80,23 +82,29 @@ def _pack(width: int, buckets: int):
     return pack
 
 
-def _repeats(bucket: pd.DataFrame) -> pd.DataFrame:
-    """(doc_id, keys): the windows of a bucket that a document with a smaller id has too."""
-    keys = joined(bucket["keys"], np.uint64)
-    ids = np.repeat(joined(bucket["ids"], np.int64), joined(bucket["counts"], np.uint32))
-    order = np.argsort(keys)
-    keys, ids = keys[order], ids[order]
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    first = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.append(starts, len(keys))))
-    later = ids > first
-    keys, ids = keys[later], ids[later]
-    order = np.argsort(ids, kind="stable")
-    keys = keys[order]
-    there, lengths = runs(ids[order])
-    ends = np.cumsum(lengths)
-    return pd.DataFrame(
-        {"doc_id": there, "repeated": [keys[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]}
-    )
+def _repeats(groups: int):
+    def repeats(bucket: pd.DataFrame) -> pd.DataFrame:
+        """The windows that a document with a smaller id has too, packed by document group."""
+        keys = joined(bucket["keys"], np.uint64)
+        ids = np.repeat(joined(bucket["ids"], np.int64), joined(bucket["counts"], np.uint32))
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        first = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.append(starts, len(keys))))
+        later = ids > first
+        keys, ids = keys[later], ids[later]
+        there, inverse = np.unique(ids, return_inverse=True)
+        group = np.array([zlib.crc32(b"%d" % i) % groups for i in there.tolist()], np.int64)[inverse]
+        order = np.lexsort((ids, group))
+        keys, ids, group = keys[order], ids[order], group[order]
+        out = []
+        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))[: len(group)]
+        for start, end in zip(starts, [*starts[1:], len(group)], strict=True):
+            values, lengths = runs(ids[start:end])
+            out.append((group[start], values.tobytes(), lengths.tobytes(), keys[start:end].tobytes()))
+        return pd.DataFrame(out, columns=["doc_group", "ids", "counts", "keys"])
+
+    return repeats
 
 
 def covered(hit: np.ndarray, width: int, n_words: int) -> np.ndarray:
@@ -109,22 +117,29 @@ def covered(hit: np.ndarray, width: int, n_words: int) -> np.ndarray:
 
 
 def _cut(width: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(docs: pa.Table, repeats: pa.Table) -> pa.Table:
         roll = RollingHash()
-        for batch in batches:
-            out = []
-            for doc_id, text, repeated in rows_of([batch]):
-                words = (text or b"").split()
-                spans = []
-                kept = words
-                if repeated:
-                    own = roll.windows(word_keys(words), width)
-                    gone = covered(np.isin(own, joined(repeated, np.uint64)), width, len(words))
-                    kept = [word for word, out_ in zip(words, gone.tolist(), strict=True) if not out_]
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                    spans = [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
-                out.append((doc_id, len(words), len(words) - len(kept), spans, b" ".join(kept).decode("utf-8", "replace")))
-            yield arrow_rows(_RESULT, out)
+        packed = {name: repeats.column(name).to_pylist() for name in ("ids", "counts", "keys")}
+        keys, ids = joined(packed["keys"], np.uint64), joined(packed["ids"], np.int64)
+        ids = np.repeat(ids, joined(packed["counts"], np.uint32))
+        order = np.argsort(ids, kind="stable")
+        keys = keys[order]
+        there, lengths = runs(ids[order])
+        ends = np.cumsum(lengths, dtype=np.int64)
+        repeated = {i: keys[e - n : e] for i, e, n in zip(there.tolist(), ends, lengths, strict=True)}
+        out = []
+        for doc_id, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
+            words = (text or b"").split()
+            spans = []
+            kept = words
+            if doc_id in repeated:
+                own = roll.windows(word_keys(words), width)
+                gone = covered(np.isin(own, repeated[doc_id]), width, len(words))
+                kept = [word for word, out_ in zip(words, gone.tolist(), strict=True) if not out_]
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+                spans = [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
+            out.append((doc_id, len(words), len(words) - len(kept), spans, b" ".join(kept).decode("utf-8", "replace")))
+        return pa.Table.from_batches([arrow_rows(_RESULT, out)])
 
     return cut
 
@@ -148,14 +163,13 @@ def substring_dedup(
     repeated = (
         docs.mapInArrow(_pack(width, buckets), "bucket int, ids binary, counts binary, keys binary")
         .groupBy("bucket")
-        .applyInPandas(_repeats, "doc_id long, repeated binary")
-        .groupBy("doc_id")
-        .agg(F.collect_list("repeated").alias("repeated"))
+        .applyInPandas(_repeats(buckets), "doc_group long, ids binary, counts binary, keys binary")
     )
+    docs = docs.withColumn("doc_group", F.coalesce(crc_mod(F.col("doc_id"), buckets), F.lit(0)).cast("long"))
     return (
-        docs.join(repeated.hint("shuffle_hash"), "doc_id", "left")
-        .select("doc_id", "text", "repeated")
-        .mapInArrow(
+        docs.groupBy("doc_group")
+        .cogroup(repeated.groupBy("doc_group"))
+        .applyInArrow(
             _cut(width),
             "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string",
         )
