@@ -52,7 +52,8 @@ def test_kernel_against_brute_force():
 
 
 def test_folding():
-    assert fold(b"!D1RTY") == "dirty" and fold("Été,".encode()) == "ete"
+    assert fold(b"!D1RTY") == "dirty" and fold("Été,".encode()) == "ete" and fold("Straße".encode()) == "strase"
+    assert fold(b"w5074") == "w5074" and fold(b"1337") == "1337"
     assert spelled_out(b"you i d i o t now a b".split()) == [b"idiot"]
     assert windows("abc") == ["abc"] and "".join(w[:8] for w in windows("x" * 40)) == "x" * 32
 

@@ -49,9 +49,14 @@ _OFFSETS = [(i, j) for i in range(1, SPAN - 1) for j in range(1, SPAN - i)]
 
 
 def fold(word: bytes) -> str:
-    """Lower case, without accents, digits read as letters, outer punctuation stripped."""
+    """Lower case, without accents, outer punctuation stripped; digits read as letters.
+
+    Digits are read so only in a word that has as many letters at least: numbers stay numbers.
+    """
     text = unicodedata.normalize("NFKD", word.decode("utf-8", "replace").lower())
-    text = "".join(WRITTEN_FOR.get(c, c) for c in text if not unicodedata.combining(c))
+    text = "".join(c for c in text if not unicodedata.combining(c))
+    if 0 < sum(c in WRITTEN_FOR for c in text) <= sum(c.isalpha() for c in text):
+        text = "".join(WRITTEN_FOR.get(c, c) for c in text)
     return text.strip(".,;:!?\"'()[]{}<>*#%&$-_~")
 
 
