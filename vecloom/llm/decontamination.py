@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.packed import arrow_rows, as_bytes, id_and_text, rows_of
+from vecloom.llm.packed import arrow_rows, as_bytes, id_and_text, rows_of, small_slices
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -231,7 +231,7 @@ def decontamination_report(documents: DataFrame, benchmark: DataFrame, **options
 def _keep_clean(block, min_match: int, coverage: float, text_col: str):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = block.value
-        for batch in batches:
+        for batch in small_slices(batches, text_col):
             clean = [
                 not known.contaminates(known.numbers(tokens_of(text)), min_match, coverage)
                 for text in as_bytes(batch.column(text_col))

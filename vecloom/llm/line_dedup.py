@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.packed import WHITE, arrow_rows, as_bytes, id_and_text, replace_text, rows_of
+from vecloom.llm.packed import WHITE, arrow_rows, as_bytes, id_and_text, replace_text, rows_of, small_slices
 from vecloom.session import new_path
 
 MIN_DOCS = 10
@@ -83,7 +83,7 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _drop_in_rows(text_col: str):
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_slices(batches, text_col):
             gone = batch.column(GONE).to_pylist()
             texts = [
                 b"\n".join(without_lines(text, g)[0]) for text, g in zip(as_bytes(batch.column(text_col)), gone, strict=True)

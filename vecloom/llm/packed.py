@@ -12,6 +12,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,6 +111,19 @@ def joined(buffers: Iterable[bytes], kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(buffers), kind)
 
 
+def small_slices(batches: Iterable[pa.RecordBatch], text_col: str, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of text, one row at least.
+
+    A batch holds a number of rows, however long; what a task derives from a slice is bounded.
+    """
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths, dtype=np.int64) // size
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(start, end - start)
+
+
 def replace_text(batch: pa.RecordBatch, text_col: str, texts: list[bytes], drop: Iterable[str] = ()) -> pa.RecordBatch:
     """The batch with new texts in its text column, all others as they are but for those to drop."""
     names = [name for name in batch.schema.names if name not in set(drop)]

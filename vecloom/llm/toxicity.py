@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.packed import arrow_rows, as_bytes, crc_mod, id_and_text, rows_of
+from vecloom.llm.packed import arrow_rows, as_bytes, crc_mod, id_and_text, rows_of, small_slices
 from vecloom.session import cut_lineage
 
 FOLDS = 5
@@ -314,7 +314,7 @@ class ToxicityModel:
     def _keep(self, text_col: str):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             margins = DocumentMargins(self.machine)
-            for batch in batches:
+            for batch in small_slices(batches, text_col):
                 found = np.array(margins.of(as_bytes(batch.column(text_col))))
                 yield batch.filter(pa.array(self.slope * found + self.offset < 0, pa.bool_()))
 
