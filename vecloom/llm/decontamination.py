@@ -75,35 +75,37 @@ class BenchmarkBlock:
         self.hashed = {width: self._hash_all(width, index) for width, index in self.seeds.items()}
 
     @staticmethod
-    def roll(ids: np.ndarray, width: int) -> np.ndarray:
-        """Karp-Rabin values of all runs of ``width`` token numbers."""
-        value = np.zeros(max(0, len(ids) - width + 1), np.uint64)
+    def roll(ids: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+        """Karp-Rabin values of the runs of ``width`` token numbers at ``starts``."""
+        value = np.zeros(len(starts), np.uint64)
         for k in range(width):
-            value = value * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + len(value)].astype(np.uint64)
+            value = value * np.uint64(0x9E3779B97F4A7C15) + ids[starts + k].astype(np.uint64)
         return value
 
     def _hash_all(self, width: int, index: dict) -> np.ndarray:
         runs = np.array(list(index), np.int64)
-        value = np.zeros(len(runs), np.uint64)
-        for k in range(width):
-            value = value * np.uint64(0x9E3779B97F4A7C15) + runs[:, k].astype(np.uint64)
-        return np.unique(value)
+        return np.unique(self.roll(runs.ravel(), np.arange(len(runs)) * width, width))
 
     def numbers(self, tokens: list[bytes]) -> np.ndarray:
         get = self.vocabulary.get
-        return np.fromiter((get(t, 0) for t in tokens), np.int64, len(tokens))
+        return np.array([get(t, 0) for t in tokens], np.int64)
 
     def seed_hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """For every item that shares a seed: (item position, document position)."""
         hits: dict[int, list[tuple[int, int]]] = {}
+        known = np.concatenate(([0], np.cumsum(ids > 0)))
         for width, index in self.seeds.items():
-            rolled = self.roll(ids, width)
-            for at in np.flatnonzero(np.isin(rolled, self.hashed[width])).tolist():
+            # Only runs of benchmark words can be seeds, and most texts have few of them.
+            starts = np.flatnonzero(known[width:] - known[:-width] == width) if len(ids) >= width else known[:0]
+            if not len(starts):
+                continue
+            value, hashed = self.roll(ids, starts, width), self.hashed[width]
+            found = hashed[np.minimum(np.searchsorted(hashed, value), len(hashed) - 1)] == value
+            for at in starts[found].tolist():
                 for item, pos in index.get(tuple(ids[at : at + width].tolist()), ()):
                     hits.setdefault(item, []).append((pos, at))
         return hits
 
-
     def contaminates(self, ids: np.ndarray, min_match: int, coverage: float) -> bool:
         return any(
             sum(t[2] for t in tile(own, ids, seeds, min_match)) >= needed(len(own), coverage)
