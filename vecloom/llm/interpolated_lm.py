@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,7 +166,7 @@ def _held_tokens(order: int, tokens: int, distinct: int, n_docs: int):
 
 
 def _expect(weights: np.ndarray, distinct: int):
-    schema = pa.schema([("sums", pa.binary())])
+    schema = pa.schema([("sums", pa.list_(pa.float64()))])
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = weights.shape[1]
@@ -177,7 +179,7 @@ def _expect(weights: np.ndarray, distinct: int):
             for n in range(orders):
                 sums[:, n] += np.bincount(of, parts[n] / total, CLASSES)
             sums[:, -1] += np.bincount(of, np.log(total), CLASSES)
-        yield arrow_rows(schema, [(sums.tobytes(),)])
+        yield arrow_rows(schema, [(sums.ravel().tolist(),)])
 
     return expect
 
@@ -185,16 +187,15 @@ def _expect(weights: np.ndarray, distinct: int):
 def learn_weights(tokens: DataFrame, orders: int, distinct: int, rounds: int = EM_ROUNDS) -> np.ndarray:
     """Expectation-maximisation over packed held-out tokens; a table of classes by orders.
 
-    Each round is one pass; a task returns one small table of sums. A class without
+    Each round is one pass; a task returns one small table of sums, and Spark adds them. A class without
     held-out tokens takes the weights of the class below it.
     """
     weights = np.full((CLASSES, orders), 1 / orders)
     before = None
     for _ in range(rounds):
-        parts = tokens.mapInArrow(_expect(weights, distinct), "sums binary").coalesce(64)
-        sums = np.zeros((CLASSES, orders + 1))
-        for row in parts.toLocalIterator():
-            sums += np.frombuffer(bytes(row.sums)).reshape(sums.shape)
+        parts = tokens.mapInArrow(_expect(weights, distinct), "sums array<double>")
+        total = parts.agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")).first()["sums"]
+        sums = np.array(total).reshape(CLASSES, orders + 1)
         mass = sums[:, :-1].sum(axis=1)
         seen = mass > 0
         weights[seen] = sums[seen, :-1] / mass[seen, None]
