@@ -102,7 +102,8 @@ def hamming_top_k(
             )
         )
         found = (
-            probes.join(index, ["segment", "value"])
+            # The estimated size of the probes does not know how many masks there are: never broadcast them.
+            probes.join(index.hint("shuffle_hash"), ["segment", "value"])
             .withColumn("distance", _distance("query_code", "code"))
             .filter(F.col("distance") <= F.col("reach"))
             .select(*query, "distance", F.explode("ids").alias("neighbour_id"))
