@@ -73,3 +73,22 @@ def test_text_in_blocks():
     assert main_text(text, marked, loose) == "a b\nc\nde<p>"
     assert main_text("<article></article><div>x</div>", marked, frozenset([">div"])) == ""
     assert main_text("<div>x</div>", marked, frozenset([">div"])) == "x"
+
+
+def test_main_elements_in_skipped_parts_do_not_count(spark):
+    pages = [
+        (1, "http://f.example/1", "<p>Story</p><div class='footer-content'>imprint</div><aside><article>teaser</article></aside>"),
+        (2, "http://g.example/1", "<p>Other</p><div class='cookie-text'>ok</div><div class='sidebar-content'>links</div>"),
+    ]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_text(rows).collect()} == {1: "Story", 2: "Other"}
+
+
+def test_names_behind_long_classes_are_seen(spark):
+    long = " ".join(f"u-{c * 9}" for c in "abcdefghij")
+    pages = [
+        (1, "http://h.example/1", f"<p>no</p><div class='{long} article-body'><p>Story</p><div class='{long}' id='comments'>c</div></div>"),
+        (2, "http://i.example/1", f"<div class='{long} sidebar'>side</div><div class='{long} x|y'>Text</div>"),
+    ]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_text(rows).collect()} == {1: "Story", 2: "Text"}

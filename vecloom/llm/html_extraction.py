@@ -22,6 +22,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -84,17 +85,30 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?
 _DIGITS = re.compile(r"\d+")
 
 
+#: Class and id texts above this length appear in element names as a prefix and a digest.
+LONG_NAMES = 80
+
+
+@lru_cache(50_000)
 def element_name(tag: str, attributes: str) -> str:
-    """A tag with what its class, id and role say; numbers in them are dropped, so that rows look alike."""
+    """A tag with what its class, id and role say; numbers in them are dropped, so that rows look alike.
+
+    Long class and id texts are shortened to a prefix and a digest of the whole; what the
+    whole says of the part ("skip", "main") is the last field.
+    """
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return tag
     found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTRIBUTE.finditer(attributes)}
     names = " ".join(_DIGITS.sub("", found.get(k, "")).strip() for k in ("class", "id") if found.get(k))
-    role = found.get("role", "").strip().lower()
+    names = " ".join(names.replace("|", " ").split())
+    role = found.get("role", "").replace("|", " ").strip().lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     if not names and not role and not hidden:
         return tag
-    return "|".join((tag, " ".join(names.split())[:80], role, "hidden" if hidden else ""))
+    says = " ".join(w for w, of in (("skip", SKIP_NAMES), ("main", MAIN_NAMES)) if names and of.search(names))
+    if len(names) > LONG_NAMES:
+        names = f"{names[: LONG_NAMES - 17]}~{xxhash.xxh3_64_hexdigest(names.encode('utf-8', 'replace'))}"
+    return "|".join((tag, names, role, "hidden" if hidden else "", says))
 
 
 def tokens(page: str) -> Iterator[tuple[str, str]]:
@@ -262,25 +276,34 @@ def shape(items: list) -> str:
 # ---- what a wrapper keeps ----------------------------------------------------------
 
 
-def _parts(element: str) -> tuple[str, str, str, str]:
-    tag, names, role, hidden = (element.split("|") + ["", "", ""])[:4]
-    return tag, names, role, hidden
+def _parts(element: str) -> tuple[str, str, str, list[str]]:
+    tag, _, role, hidden, says = (element.split("|") + ["", "", "", ""])[:5]
+    return tag, role, hidden, says.split()
 
 
 def skipped(element: str, in_main: bool) -> bool:
-    tag, names, role, hidden = _parts(element)
+    tag, role, hidden, says = _parts(element)
     if tag in ("html", "body", "article", "main"):
         return False
     if tag == "header" and not in_main:
         return True
-    return tag in SKIP or bool(hidden) or role in SKIP_ROLES or bool(names and SKIP_NAMES.search(names))
+    return tag in SKIP or bool(hidden) or role in SKIP_ROLES or "skip" in says
 
 
 def is_main(element: str) -> bool:
-    tag, names, role, _ = _parts(element)
-    return tag in ("article", "main") or role in ("main", "article") or tag in ("div", "section", "td") and bool(
-        names and MAIN_NAMES.search(names)
-    )
+    tag, role, _, says = _parts(element)
+    return tag in ("article", "main") or role in ("main", "article") or tag in ("div", "section", "td") and "main" in says
+
+
+@lru_cache(50_000)
+def zone(path: tuple[str, ...]) -> str:
+    """Where a path of open elements lies: "main", "skip" (from the first skipped element on) or "loose"."""
+    if not path:
+        return "loose"
+    above = zone(path[:-1])
+    if above == "skip" or skipped(path[-1], above == "main"):
+        return "skip"
+    return "main" if above == "main" or is_main(path[-1]) else "loose"
 
 
 def content_slots(items: list) -> tuple[list[str], list[str]]:
@@ -322,7 +345,10 @@ class Blocks:
 
 
 def main_text(page: str, marked: frozenset[str], loose: frozenset[str]) -> str:
-    """Texts of the slots in the page's main part; of the loose slots if it has no main part."""
+    """Texts of the slots in the page's main part; of the loose slots if it has no main part.
+
+    A main element inside a skipped one is no main part of the page.
+    """
     inside, outside, has_main = Blocks(), Blocks(), False
     for kind, path, text in walk(page):
         if kind == "text":
@@ -332,7 +358,7 @@ def main_text(page: str, marked: frozenset[str], loose: frozenset[str]) -> str:
             elif at in loose:
                 outside.parts.append(html.unescape(text))
             continue
-        has_main = has_main or kind == "in" and is_main(path[-1])
+        has_main = has_main or kind == "in" and zone(path) == "main"
         if path[-1].split("|", 1)[0] in BLOCK:
             inside.end()
             outside.end()
