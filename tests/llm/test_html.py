@@ -92,3 +92,13 @@ def test_names_behind_long_classes_are_seen(spark):
     ]
     rows = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in extract_text(rows).collect()} == {1: "Story", 2: "Text"}
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    own = "<div><h2>Head</h2></div><pre>one</pre><script>n={}</script>"
+    pages = [(k, "http://j.example/1", own.format(k)) for k in range(3)]
+    pages += [(10, None, "<p>twice</p>"), (11, None, "<p>twice</p>"), (12, "http://k.example/", "<p>Same</p><hr><p>Same</p>")]
+    pages += [(20, "http://l.example/1", "<h2>menu</h2><pre>a</pre>"), (21, "http://l.example/2", "<h2>menu</h2><pre>b</pre>")]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    want = {0: "Head\none", 1: "Head\none", 2: "Head\none", 10: "twice", 11: "twice", 12: "Same\nSame", 20: "a", 21: "b"}
+    assert {r.page_id: r.text for r in extract_text(rows).collect()} == want

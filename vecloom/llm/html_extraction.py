@@ -177,15 +177,28 @@ def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
 # ---- expressions -------------------------------------------------------------------
 #
 # An item is [name, flags, items, slot]: an element (or "#" for text), flags "?" optional and
-# "+" repeated, the items inside, and for text [pages, low, high, length] of its values:
-# how many pages, the least and greatest digest, and the summed length.
+# "+" repeated, the items inside, and for text [pages, low, high] of its values: the least
+# digests of up to ENOUGH_PAGES different pages, and the least and greatest digest of a value.
+# All three take copies of a page as one, in whatever order and task they come.
+
+#: So many different pages a slot remembers.
+ENOUGH_PAGES = 3
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
 
 
 def page_expression(page: str) -> list:
-    """The expression of one page: its items, with repeated neighbours folded."""
+    """The expression of one page: its items, with repeated neighbours folded.
+
+    Pages of equal texts are copies of one another, whatever their scripts and attributes.
+    """
     root: list = ["", "", [], None]
     open_items = [root]
-    for kind, path, text in walk(page):
+    events = list(walk(page))
+    pages = [_digest("\n".join(" ".join(text.split()) for kind, _, text in events if kind == "text"))]
+    for kind, path, text in events:
         if kind == "in":
             item = [path[-1], "", [], None]
             open_items[-1][2].append(item)
@@ -197,8 +210,8 @@ def page_expression(page: str) -> list:
             if path[-1] in BLOCK:
                 open_items[-1][2].append([path[-1], "", [], None])
         elif words := text.split():
-            value = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "replace")) >> 1
-            open_items[-1][2].append(["#", "", [], [1, value, value, sum(map(len, words))]])
+            value = _digest(" ".join(words))
+            open_items[-1][2].append(["#", "", [], [pages, value, value]])
     return fold_repeats(root[2])
 
 
@@ -206,16 +219,19 @@ def _flags(a: str, b: str, more: str = "") -> str:
     return "".join(f for f in "?+" if f in a + b + more)
 
 
-def _slot(a: list | None, b: list | None, same_page: bool) -> list | None:
+def _pages(a: list[int], b: list[int]) -> list[int]:
+    return a if a == b else sorted({*a, *b})[:ENOUGH_PAGES]
+
+
+def _slot(a: list | None, b: list | None) -> list | None:
     if a is None or b is None:
         return a or b
-    pages = max(a[0], b[0]) if same_page else a[0] + b[0]
-    return [pages, min(a[1], b[1]), max(a[2], b[2]), a[3] + b[3]]
+    return [_pages(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2])]
 
 
-def merge(a: list, b: list, same_page: bool, more: str = "") -> list:
+def merge(a: list, b: list, more: str = "") -> list:
     """One item that covers two items of the same name."""
-    return [a[0], _flags(a[1], b[1], more), align(a[2], b[2], same_page), _slot(a[3], b[3], same_page)]
+    return [a[0], _flags(a[1], b[1], more), align(a[2], b[2]), _slot(a[3], b[3])]
 
 
 def fold_repeats(items: list) -> list:
@@ -223,7 +239,7 @@ def fold_repeats(items: list) -> list:
     out: list = []
     for item in items:
         if out and out[-1][0] == item[0]:
-            out[-1] = merge(out[-1], item, True, "+")
+            out[-1] = merge(out[-1], item, "+")
         else:
             out.append(item)
     for width in (2, 3):
@@ -232,20 +248,20 @@ def fold_repeats(items: list) -> list:
             names = [i[0] for i in out[at : at + width]]
             if names == [i[0] for i in out[at + width : at + 2 * width]] and len(set(names)) == width:
                 for k in range(width):
-                    out[at + k] = merge(out[at + k], out[at + width + k], True, "+")
+                    out[at + k] = merge(out[at + k], out[at + width + k], "+")
                 del out[at + width : at + 2 * width]
             else:
                 at += 1
     return out
 
 
-def align(a: list, b: list, same_page: bool = False) -> list:
+def align(a: list, b: list) -> list:
     """Two item lists as one: a longest common subsequence of names is merged, the rest is optional."""
     if not a and not b:
         return []
     names_a, names_b = [i[0] for i in a], [i[0] for i in b]
     if names_a == names_b:
-        return [merge(x, y, same_page) for x, y in zip(a, b, strict=True)]
+        return [merge(x, y) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -254,7 +270,7 @@ def align(a: list, b: list, same_page: bool = False) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and names_a[i] == names_b[j]:
-            out.append(merge(a[i], b[j], same_page))
+            out.append(merge(a[i], b[j]))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append([a[i][0], _flags(a[i][1], "?"), a[i][2], a[i][3]])
@@ -310,8 +326,8 @@ def content_slots(items: list) -> tuple[list[str], list[str]]:
     """Paths of the text slots of a wrapper that hold content: (in a marked main part, elsewhere).
 
     The first are all slots inside a main part that no skipped element encloses. The others are
-    those outside skipped elements whose text differs between pages (all of them in a
-    wrapper of one page); they count for pages of the host that have no main part.
+    those outside skipped elements whose text differs between pages (all of them if the host has
+    one page, however many copies of it); they count for pages of the host that have no main part.
     """
     marked: dict[str, bool] = {}
     loose: dict[str, list] = {}
@@ -319,12 +335,12 @@ def content_slots(items: list) -> tuple[list[str], list[str]]:
     def visit(items: list, path: str, in_main: bool) -> None:
         for name, _, inner, slot in items:
             if name == "#":
-                (marked if in_main else loose)[path] = _slot(loose.get(path), slot, False) if not in_main else True
+                (marked if in_main else loose)[path] = _slot(loose.get(path), slot) if not in_main else True
             elif not skipped(name, in_main):
                 visit(inner, f"{path}>{name}", in_main or is_main(name))
 
     visit(items, "", False)
-    return sorted(marked), sorted(path for path, slot in loose.items() if slot[0] < 2 or slot[1] != slot[2])
+    return sorted(marked), sorted(path for path, slot in loose.items() if len(slot[0]) < 2 or slot[1] != slot[2])
 
 
 class Blocks:
@@ -422,7 +438,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Null and empty pages give an empty text. Pages whose URL is null or has no host share one
     wrapper. A page without content gives an empty text. Broken markup is read as
     browsers do: unclosed elements end with what encloses them. Repeated pages are extracted
-    each. Other columns are not read. An empty table gives an empty result.
+    each and count once where pages of a host are compared. Other columns are not read. An empty table gives an empty result.
     """
     wrappers = infer_wrappers(pages, url_col, html_col).select("host", "slots", "loose")
     rows = pages.select(
