@@ -102,3 +102,20 @@ def test_copies_of_a_page_keep_their_text(spark):
     rows = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
     want = {0: "Head\none", 1: "Head\none", 2: "Head\none", 10: "twice", 11: "twice", 12: "Same\nSame", 20: "a", 21: "b"}
     assert {r.page_id: r.text for r in extract_text(rows).collect()} == want
+
+
+def test_text_that_all_articles_of_a_host_have_is_template(spark):
+    story = lambda k: f"<p>Story {k} of many words.</p><p>Ask us, <b>dear</b> reader.</p><p>End {k} of it.</p>"
+    pages = [(k, f"http://m.example/{k}", f"<article>{story(k)}<div class='x'>Buy now</div></article>") for k in range(4)]
+    # Copies are no evidence, nor are two pages, nor versions of one text.
+    pages += [(10 + k, "http://n.example/1", f"<article>{story(1)}</article>") for k in range(4)]
+    pages += [(20 + k, f"http://o.example/{k}", f"<article>{story(k)}</article>") for k in range(2)]
+    pages += [(30 + k, f"http://p.example/{k}", f"<article><p>{'Long text. ' * 9}</p><p>Version {k}</p></article>") for k in range(4)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for parts in (1, 7):
+        found = {r.page_id: r.text for r in extract_text(rows.repartition(parts)).collect()}
+        for k in range(4):
+            assert found[k] == f"Story {k} of many words.\nEnd {k} of it."
+            assert found[10 + k] == "Story 1 of many words.\nAsk us, dear reader.\nEnd 1 of it."
+            assert found[30 + k].endswith(f"Long text.\nVersion {k}")
+        assert all("Ask us, dear reader." in found[20 + k] for k in range(2))

@@ -10,10 +10,15 @@ Aligning is associative in what it keeps, so every task folds its own pages into
 wrapper per host before anything is shuffled, and the partial wrappers of a host are aligned
 in their turn: a host of any size costs one small row per task.
 
-A wrapper then says, slot by slot, whether its text is content: by the elements around it
-(article or main part; not navigation, notices, adverts, forms, comments), and for pages
-without a marked main part by whether the text varies between the host's pages. Applying it
-to a page walks the page's tokens along the wrapper and keeps the texts of content slots.
+A wrapper then says which text is content. The elements around a slot are one hint (article
+or main part; not navigation, notices, adverts, forms, comments); the other is whether the
+text varies between the host's different pages. Slots of one element path count as one,
+because positions among optional neighbours depend on the order of aligning; what stands in
+such a slot is told apart by its text instead: a block of text that every page of the host
+with that path has, word for word, is template wherever it stands, inside main parts too.
+This needs three different pages, and that such blocks hold less than half of the text of the
+page with most text: pages that share more than that are versions of one another.
+On pages without a marked main part, a slot with the same single text on two pages is template.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -289,6 +295,111 @@ def shape(items: list) -> str:
     )
 
 
+# ---- blocks that all pages of a host have --------------------------------------------
+
+
+def page_blocks(page: str, slots: dict[str, frozenset[str]] | None = None) -> tuple[list[tuple[str, str, str, str]], bool]:
+    """Blocks of text outside skipped elements, in page order: (zone, path, text, kept); has the page a main part?
+
+    White space inside a block is one space; the path is that of the elements around the
+    block's first text; kept is what stands in the ``slots`` of its zone.
+    """
+    done: list[tuple[str, str, str, str]] = []
+    open_blocks: dict[str, list[tuple[str, str]]] = {}
+    has_main = False
+
+    def end() -> None:
+        for where, parts in open_blocks.items():
+            text = " ".join("".join(part for _, part in parts).split())
+            kept = text
+            if slots and not all(path in slots[where] for path, _ in parts):
+                kept = " ".join("".join(part for path, part in parts if path in slots[where]).split())
+            if text:
+                first = next(path for path, part in parts if part.strip())
+                done.append((where, first, text, kept))
+        open_blocks.clear()
+
+    for kind, path, text in walk(page):
+        if kind == "text":
+            if (where := zone(path)) != "skip":
+                open_blocks.setdefault(where, []).append(("".join(f">{name}" for name in path), html.unescape(text)))
+            continue
+        has_main = has_main or kind == "in" and zone(path) == "main"
+        if path[-1].split("|", 1)[0] in BLOCK:
+            end()
+    end()
+    return done, has_main
+
+
+class Common:
+    """Per path the blocks that all pages seen have; pages, and the text of the longest one.
+
+    Adding a page twice changes nothing, and the order of pages and of merging does not
+    matter, so tasks keep their own and these are merged by host.
+    """
+
+    def __init__(self, paths: dict[str, list] | None = None, longest: int = 0):
+        #: path: [least digests of up to ENOUGH_PAGES different pages, {digest of a block: its length}]
+        self.paths, self.longest = paths or {}, longest
+
+    @classmethod
+    def of(cls, page: str) -> Common:
+        blocks, _ = page_blocks(page)
+        pages = [_digest("\n".join(text for _, _, text, _ in blocks))]
+        paths: dict[str, list] = {}
+        for _, path, text, _ in blocks:
+            paths.setdefault(path, [pages, {}])[1][_digest(text)] = len(text)
+        return cls(paths, sum(len(text) for _, _, text, _ in blocks))
+
+    def add(self, other: Common) -> Common:
+        for path, (pages, blocks) in other.paths.items():
+            if own := self.paths.get(path):
+                own[0] = _pages(own[0], pages)
+                own[1] = {d: n for d, n in own[1].items() if d in blocks}
+            else:
+                self.paths[path] = [pages, blocks]
+        self.longest = max(self.longest, other.longest)
+        return self
+
+    def pack(self) -> bytes:
+        """Names as text, digests and lengths as numbers of eight and four bytes."""
+        head = [[path, pages, len(blocks)] for path, (pages, blocks) in self.paths.items()]
+        text = json.dumps([self.longest, head]).encode()
+        digests = [d for _, blocks in self.paths.values() for d in blocks]
+        lengths = [n for _, blocks in self.paths.values() for n in blocks.values()]
+        size = np.array([len(text)], np.int64).tobytes()
+        return size + text + np.array(digests, np.int64).tobytes() + np.array(lengths, np.uint32).tobytes()
+
+    @classmethod
+    def unpack(cls, packed: bytes) -> Common:
+        size = 8 + int(np.frombuffer(packed[:8], np.int64)[0])
+        longest, head = json.loads(packed[8:size])
+        total = sum(n for _, _, n in head)
+        digests = np.frombuffer(packed[size : size + 8 * total], np.int64).tolist()
+        lengths = np.frombuffer(packed[size + 8 * total :], np.uint32).tolist()
+        paths, at = {}, 0
+        for path, pages, n in head:
+            paths[path] = [pages, dict(zip(digests[at : at + n], lengths[at : at + n], strict=True))]
+            at += n
+        return cls(paths, longest)
+
+    def template(self) -> list[int]:
+        """Digests of (path, block) that are template."""
+        found = [
+            (path, digest, length)
+            for path, (pages, blocks) in self.paths.items()
+            if len(pages) == ENOUGH_PAGES
+            for digest, length in blocks.items()
+        ]
+        if 2 * sum(length for _, _, length in found) >= self.longest:
+            return []
+        return sorted(block_key(path, digest) for path, digest, _ in found)
+
+
+def block_key(path: str, digest: int) -> int:
+    return _digest(f"{digest}{path}")
+
+
 # ---- what a wrapper keeps ----------------------------------------------------------
 
 
@@ -343,77 +454,68 @@ def content_slots(items: list) -> tuple[list[str], list[str]]:
     return sorted(marked), sorted(path for path, slot in loose.items() if len(slot[0]) < 2 or slot[1] != slot[2])
 
 
-class Blocks:
-    """Blocks of text in page order, white space inside a block as one space."""
-
-    def __init__(self) -> None:
-        self.done: list[str] = []
-        self.parts: list[str] = []
-
-    def end(self) -> None:
-        if block := " ".join("".join(self.parts).split()):
-            self.done.append(block)
-        self.parts.clear()
+def main_text(page: str, marked: frozenset[str], loose: frozenset[str], template: frozenset[int] = frozenset()) -> str:
+    """Blocks of the slots in the page's main part; of the loose slots if it has no main part.
 
-    def text(self) -> str:
-        self.end()
-        return "\n".join(self.done)
-
-
-def main_text(page: str, marked: frozenset[str], loose: frozenset[str]) -> str:
-    """Texts of the slots in the page's main part; of the loose slots if it has no main part.
-
-    A main element inside a skipped one is no main part of the page.
+    A main element inside a skipped one is no main part of the page. Blocks in ``template``
+    are left out.
     """
-    inside, outside, has_main = Blocks(), Blocks(), False
-    for kind, path, text in walk(page):
-        if kind == "text":
-            at = "".join(f">{name}" for name in path)
-            if at in marked:
-                inside.parts.append(html.unescape(text))
-            elif at in loose:
-                outside.parts.append(html.unescape(text))
-            continue
-        has_main = has_main or kind == "in" and zone(path) == "main"
-        if path[-1].split("|", 1)[0] in BLOCK:
-            inside.end()
-            outside.end()
-    return inside.text() if has_main else outside.text()
+    blocks, has_main = page_blocks(page, {"main": marked, "loose": loose})
+    return "\n".join(
+        kept
+        for where, path, text, kept in blocks
+        if kept and (where == "main") == has_main and not (template and block_key(path, _digest(text)) in template)
+    )
 
 
 # ---- Spark -------------------------------------------------------------------------
 
 
 def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partial wrapper per host and task."""
-    schema = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
-    wrappers: dict[str, list] = {}
+    """One partial wrapper and the common blocks per host and task."""
+    schema = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("common", pa.binary())])
+    hosts: dict[str, tuple[list, Common]] = {}
+
+    def flush() -> pa.RecordBatch:
+        rows = [(host, json.dumps(wrapper), common.pack()) for host, (wrapper, common) in hosts.items()]
+        hosts.clear()
+        return arrow_rows(schema, rows)
+
     for host, page in rows_of(batches):
         if page:
-            own = page_expression(page.decode("utf-8", "replace"))
-            wrappers[host] = align(wrappers[host], own) if host in wrappers else own
-        if len(wrappers) > 5000:
-            yield arrow_rows(schema, [(h, json.dumps(w)) for h, w in wrappers.items()])
-            wrappers = {}
-    yield arrow_rows(schema, [(h, json.dumps(w)) for h, w in wrappers.items()])
+            text = page.decode("utf-8", "replace")
+            own, common = page_expression(text), Common.of(text)
+            if host in hosts:
+                wrapper, before = hosts[host]
+                own, common = align(wrapper, own), before.add(common)
+            hosts[host] = own, common
+        if len(hosts) > 5000:
+            yield flush()
+    yield flush()
 
 
 def _align_host(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    whole = None
-    for text in sorted(group["wrapper"]):
+    whole, common = None, Common()
+    for text, packed in sorted(zip(group["wrapper"], group["common"], strict=True)):
         part = json.loads(text)
         whole = part if whole is None else align(whole, part)
+        common.add(Common.unpack(packed))
     marked, loose = content_slots(whole)
-    return pd.DataFrame({"host": [key[0]], "expression": [shape(whole)], "slots": [marked], "loose": [loose]})
+    return pd.DataFrame(
+        {"host": [key[0]], "expression": [shape(whole)], "slots": [marked], "loose": [loose], "template": [common.template()]}
+    )
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, expression, slots, loose): the regular expression of each host and its content slots."""
+    """(host, expression, slots, loose, template): the regular expression of each host, its content slots and
+    the keys of the blocks that all its pages have. The expression is for reading; extraction needs the others."""
     return (
         pages.select(page_host(url_col).alias("host"), F.col(f"`{html_col}`").cast("string").cast("binary").alias("html"))
-        .mapInArrow(_fold_pages, "host string, wrapper string")
+        .mapInArrow(_fold_pages, "host string, wrapper string, common binary")
         .groupBy("host")
-        .applyInPandas(_align_host, "host string, expression string, slots array<string>, loose array<string>")
+        .applyInPandas(
+            _align_host, "host string, expression string, slots array<string>, loose array<string>, template array<long>"
+        )
     )
 
 
@@ -427,8 +529,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, frozenset] = {}
         out = []
         for page_id, url, page, *slots in rows_of([batch]):
-            marked, loose = (known.setdefault(key, frozenset(key)) for key in (tuple(s or ()) for s in slots))
-            out.append((page_id, url, main_text(page.decode("utf-8", "replace"), marked, loose) if page else ""))
+            known_slots = (known.setdefault(key, frozenset(key)) for key in (tuple(s or ()) for s in slots))
+            out.append((page_id, url, main_text(page.decode("utf-8", "replace"), *known_slots) if page else ""))
         yield arrow_rows(schema, out)
 
 
@@ -440,7 +542,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     browsers do: unclosed elements end with what encloses them. Repeated pages are extracted
     each and count once where pages of a host are compared. Other columns are not read. An empty table gives an empty result.
     """
-    wrappers = infer_wrappers(pages, url_col, html_col).select("host", "slots", "loose")
+    wrappers = infer_wrappers(pages, url_col, html_col).select("host", "slots", "loose", "template")
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"),
         F.col(f"`{url_col}`").cast("string").alias("url"),
@@ -449,7 +551,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
     return (
         rows.join(wrappers, "host", "left")
-        .select("page_id", "url", "html", "slots", "loose")
+        .select("page_id", "url", "html", "slots", "loose", "template")
         .mapInArrow(_extract, "page_id long, url string, text string")
         .withColumn("n_chars", F.length("text").cast("long"))
     )
