@@ -70,6 +70,19 @@ def test_captures_against_brute_force(spark):
     assert filter_urls(rows.limit(0), entries).collect() == []
 
 
+def test_keys_of_any_depth(spark):
+    entries = [("l", "a.org/1/2/3/4/5", "block", T(0)), ("l", "org/1/2/3", "block", T(0)), ("l", "a.org/1/2/3/ok", "allow", T(0))]
+    urls = {
+        "http://a.org/1/2/3/4/5/6": "a.org/1/2/3/4/5", "http://a.org/1//2/3/x": "org/1/2/3", "http://a.org/1/2/3/OK/y": "a.org/1/2/3/ok",
+        "http://b.org/1/2/3": "org/1/2/3", "http://a.org/1/2": None, "http://a.org": None,
+    }
+    captures = spark.createDataFrame([(k, u, T(9)) for k, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp")
+    found = filter_urls(captures, spark.createDataFrame(entries, "list string, key string, action string, listed_at timestamp"))
+    rows = found.collect()
+    assert {r.url: r.key for r in rows} == urls
+    assert {r.url for r in rows if not r.kept} == {u for u, k in urls.items() if k and "ok" not in k}
+
+
 def test_hosts(spark):
     urls = {"HTTP://U:p@A.b.:8080/x": "a.b", "ftp://h": "h", "//h/x": None, "mailto:x": None, "http://": None}
     rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", host_of(F.col("url")).alias("h"))

@@ -18,8 +18,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 SALTS = 8
-#: Path prefixes of up to so many segments can be keys.
-PATH_DEPTH = 2
 
 _URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)"
 
@@ -32,14 +30,13 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """All keys that can cover a URL: the host and its parent domains, alone and with path prefixes."""
+def keys_of(host: Column, path: Column, depth: int) -> Column:
+    """All keys that can cover a URL: the host and its parent domains, alone and with path prefixes of up to ``depth`` segments."""
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    depth = F.least(F.size(segments), F.lit(PATH_DEPTH))
     prefixes = F.transform(
-        F.sequence(F.lit(0), depth),
+        F.sequence(F.lit(0), F.least(F.size(segments), F.lit(depth))),
         lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(segments, 1, n), "/"))),
     )
     return F.flatten(F.transform(domains, lambda d: F.transform(prefixes, lambda p: F.concat(d, p))))
@@ -91,7 +88,8 @@ def filter_urls(
     The longest key decides; of equal keys the block before the allow, then the first list by
     name. A capture without an active entry is kept and its entry columns are null. A null or
     relative URL has no host and a null fetch time no active entries: both are kept. Keys with
-    upper-case letters match lower-case hosts (paths are compared lower-case as well). Repeated
+    upper-case letters match lower-case hosts (paths are compared lower-case as well). A key's path
+    can have any number of segments; URLs are cut to the greatest number in the list. Repeated
     captures are judged each. Columns of either table beyond those named are not read. Empty
     lists keep everything; no captures give an empty result.
     """
@@ -100,11 +98,14 @@ def filter_urls(
         F.col(f"`{url_col}`").cast("string").alias("url"),
         F.col(f"`{time_col}`").cast("timestamp").alias("fetched_at"),
     ).withColumn("host", host_of(F.col("url")))
+    # Slashes of a key are the segments of its path; only so many prefixes of a URL can match.
+    slashes = F.length("key") - F.length(F.replace(F.col("key"), F.lit("/")))
+    depth = entries.filter("list is not null and key is not null and listed_at is not null").agg(F.max(slashes)).first()[0] or 0
     keyed = (
         seen.filter("host is not null and fetched_at is not null")
         .select("id", "url", "fetched_at", "host", F.lower(F.regexp_extract("url", _URL, 2)).alias("path"))
         .distinct()
-        .select("id", "url", "fetched_at", F.explode(keys_of(F.col("host"), F.col("path"))).alias("key"))
+        .select("id", "url", "fetched_at", F.explode(keys_of(F.col("host"), F.col("path"), depth)).alias("key"))
         .withColumn("month", _month(F.col("fetched_at")))
         .withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)))
     )
