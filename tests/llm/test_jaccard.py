@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from tests.llm.cases import awkward_texts, lower, prose, table, words
 from vecloom.llm.components import connected_components
-from vecloom.llm.jaccard_join import Sets, Slices, jaccard_components, keep_one_of_each_group
+from vecloom.llm.jaccard_join import Sets, Slices, jaccard_components, keep_one_of_each_group, split_groups
 
 
 def shingles(text, width):
@@ -142,3 +142,27 @@ def test_one_row_of_each_group_stays(spark):
     want = Counter({(i, t) for i, t in rows if i in first}) + Counter((i, t) for i, t in rows if i is None)
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
     assert jaccard_components(docs.limit(0)).collect() == []
+
+
+def test_large_groups_whose_cells_do_not_shrink(spark):
+    """Variants near one base and far from one another lie in all cells: no task may get them all."""
+    draw = random.Random(5)
+    base = [f"b{k}" for k in range(100)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 50):
+        own = list(base)
+        for at in draw.sample(range(100), 9):
+            own[at] = f"v{k}x{at}"
+        rows.append((k, " ".join(own)))
+    rows += [(100 + k, f"{' '.join(base[:60])} {' '.join(f'f{k}y{at}' for at in range(40))}") for k in range(5)]
+    sets = [(7, i, np.unique([hash(w) & (2**63 - 1) for w in text.split()]).astype(np.uint64).tobytes()) for i, text in rows]
+    left, links = split_groups(spark.createDataFrame(sets, "group long, node long, shingles binary"), 4, 5, 8)
+    sizes = [r["count"] for r in left.groupBy("group").count().collect()]
+    assert max(sizes, default=0) <= 8 and sum(sizes) < 8 * len(rows)
+    found = links[0]
+    for more in links[1:]:
+        found = found.union(more)
+    found = {r.node: r.component for r in connected_components(found).collect()}
+    assert {found[k] for k in range(50)} == {0} and not any(100 + k in found for k in range(5))
+    whole = jaccard_components(table(spark, rows), width=1, region_docs=8)
+    assert sorted(map(tuple, whole.collect()), key=repr) == brute_components(rows, 1, 4, 5)

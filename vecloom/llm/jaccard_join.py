@@ -14,7 +14,8 @@ Regions that touch form groups. A group is joined recursively: pivots are drawn
 documents go to the Voronoi cell of the nearest pivot and, if a pivot is at most twice the
 threshold farther away than the nearest, into that cell too; a cell whose documents are
 already in one component is done. Groups above ``region_docs`` are split this way by Spark,
-smaller ones inside a task.
+smaller ones inside a task. A large group whose cells hardly shrink is joined by Spark in
+pairs of bounded blocks instead, so that no task holds more than two blocks.
 
 Copies (equal sets) are one node throughout.
 """
@@ -53,7 +54,6 @@ THRESHOLD = (80, 100)
 REGION_DOCS = 4096
 PIVOTS = 8
 LEAF = 24
-MAX_SPLITS = 6
 
 _PACKED = pa.schema(
     [
@@ -278,6 +278,8 @@ class Sets:
         self.starts = np.searchsorted(owner, np.arange(len(sets) + 1))
         self.flag = np.zeros(len(values) + 1, np.int64)
         self.parent = list(range(len(sets)))
+        #: Links so far that joined two components.
+        self.links = 0
 
     def common(self, one: int, others: np.ndarray) -> np.ndarray:
         lengths = self.starts[others + 1] - self.starts[others]
@@ -306,6 +308,7 @@ class Sets:
 
     def link(self, a: int, b: int) -> None:
         a, b = self.find(a), self.find(b)
+        self.links += a != b
         self.parent[max(a, b)] = min(a, b)
 
     def whole(self, members: np.ndarray) -> bool:
@@ -338,6 +341,17 @@ class Sets:
             else:
                 stack += cells
 
+    def across(self, ones: np.ndarray, others: np.ndarray) -> None:
+        """Link sets of two blocks, up to connectivity; sets of one component are not compared."""
+        roots, seen = np.array([self.find(x) for x in others.tolist()]), self.links
+        for one in ones.tolist():
+            if self.links != seen:
+                roots, seen = np.array([self.find(x) for x in others.tolist()]), self.links
+            low, high = np.minimum(self.sizes[one], self.sizes[others]), np.maximum(self.sizes[one], self.sizes[others])
+            open_others = others[(roots != self.find(one)) & (self.den * low >= self.num * high)]
+            if len(open_others):
+                self.distances(one, open_others)
+
     def block(self, members: np.ndarray) -> None:
         for at in range(len(members) - 1):
             if at % 16 == 0 and self.whole(members):
@@ -364,7 +378,7 @@ def _join_group(num: int, den: int):
 
 
 def _to_cells(num: int, den: int, level: int):
-    """Distances to the pivots of a group; rows go to their cell and the cells in the window."""
+    """Distances to the pivots of a group; of each row its cell and the cells in the window."""
     window = 2 * (1 - num / den) + 1e-9
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -379,39 +393,150 @@ def _to_cells(num: int, den: int, level: int):
                     union = len(own) + len(other) - common
                     far.append(1.0 - common / union)
                     near.append(den * common >= num * union)
-                for at, distance in enumerate(far):
-                    if distance <= min(far) + window:
-                        cell = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(f"{level}/{group}/{at}")).view(np.int64)))
-                        out.append((cell, node, shingles, pivot_nodes[at], bool(near[at])))
-            yield pd.DataFrame(out, columns=["group", "node", "shingles", "pivot", "near"])
+                within = [
+                    {
+                        "cell": int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(f"{level}/{group}/{at}")).view(np.int64))),
+                        "pivot": int(pivot_nodes[at]),
+                        "near": bool(near[at]),
+                    }
+                    for at, distance in enumerate(far)
+                    if distance <= min(far) + window
+                ]
+                out.append((group, node, shingles, within))
+            yield pd.DataFrame(out, columns=["group", "node", "shingles", "within"])
 
     return cells
 
 
 def split_groups(sets: DataFrame, num: int, den: int, region_docs: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Voronoi-split groups above ``region_docs``; (groups that are left, links to pivots)."""
+    """Voronoi-split groups above ``region_docs``; (groups that are left, links found on the way).
+
+    A group whose cells would not save a fifth of its pairs is not copied into them: it is
+    joined by pairs of blocks.
+    """
     links: list[DataFrame] = []
     done: list[DataFrame] = []
-    for level in range(MAX_SPLITS):
+    level = 0
+    while True:
         sizes = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
         large = cut_lineage(sets.join(sizes.filter(F.col("n") > region_docs), "group", "left_semi"), "large")
         if not large.limit(1).count():
-            break
+            return _all_of([sets, *done]), links
         done.append(sets.join(sizes.filter(F.col("n") > region_docs), "group", "left_anti"))
         pivots = _draw_pivots(large, level)
-        cells = cut_lineage(
+        placed = cut_lineage(
             large.join(pivots, "group")
             .select("group", "node", "shingles", "pivot_nodes", "pivots")
-            .mapInPandas(_to_cells(num, den, level), "group long, node long, shingles binary, pivot long, near boolean"),
+            .mapInPandas(
+                _to_cells(num, den, level),
+                "group long, node long, shingles binary, within array<struct<cell: long, pivot: long, near: boolean>>",
+            ),
             "cells",
         )
-        links.append(cells.filter("near and node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        cells = placed.select("group", "node", F.explode("within").alias("w")).select("group", "node", "w.*")
+        to_pivots = cells.filter("near and node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        links.append(to_pivots)
         # A cell whose members are all linked to its pivot is one component already.
-        open_cells = cells.groupBy("group").agg(F.bool_and("near").alias("closed")).filter("not closed")
-        sets = cells.join(open_cells, "group", "left_semi").select("group", "node", "shingles")
-    for part in done:
-        sets = sets.union(part)
-    return sets, links
+        open_cells = (
+            cells.groupBy("group", "cell")
+            .agg(F.bool_and("near").alias("closed"), F.count(F.lit(1)).cast("double").alias("n"))
+            .filter("not closed")
+        )
+        pairs = open_cells.groupBy("group").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+        stuck = cut_lineage(
+            pairs.join(sizes, "group").filter(F.col("pairs") > 0.8 * F.col("n") * F.col("n")).select("group"), "stuck"
+        )
+        if stuck.limit(1).count():
+            whole = placed.join(stuck, "group", "left_semi").select("group", "node", "shingles")
+            links += _join_by_blocks(whole, to_pivots, num, den, region_docs)
+            placed = placed.join(stuck, "group", "left_anti")
+        sets = (
+            placed.select("node", "shingles", F.explode("within.cell").alias("group"))
+            .join(open_cells.select(F.col("cell").alias("group")), "group", "left_semi")
+            .select("group", "node", "shingles")
+        )
+        level += 1
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    return whole
+
+
+def _join_blocks(num: int, den: int):
+    """Links between the two blocks of a pair, or inside the one block, that join two components."""
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["node", "side"])
+        nodes, side = group["node"].to_numpy(), group["side"].to_numpy()
+        sets = Sets([np.frombuffer(b, np.uint64) for b in group["shingles"]], num, den)
+        before: dict[int, int] = {}
+        for at, component in enumerate(group["component"].tolist()):
+            sets.link(at, before.setdefault(component, at))
+        known = np.array([sets.find(x) for x in range(len(nodes))])
+        if side.max() > 0:
+            sets.across(np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        else:
+            sets.join()
+        root = np.array([sets.find(x) for x in range(len(nodes))])
+        new = root != known
+        return pd.DataFrame({"a": nodes[known[new]], "b": nodes[root[new]]}).drop_duplicates()
+
+    return join
+
+
+def _join_by_blocks(sets: DataFrame, links: DataFrame, num: int, den: int, region_docs: int) -> list[DataFrame]:
+    """Links of groups of any size by pairs of blocks, at most about ``region_docs`` members in a task.
+
+    Blocks are hashed inside classes of set size; linked sets are of one class or of two
+    neighbours. Each round takes a share of the pairs; pairs whose members are one component
+    by then are left out. Without structure all pairs meet: quadratic in the group, exact.
+    """
+    step = math.log(den / num) + 1e-9
+    half = max(1, region_docs // 2)
+    sets = sets.withColumn("class", F.floor(F.log(F.length("shingles") / 8) / step))
+    classes = sets.groupBy("group", "class").agg(F.ceil(F.count(F.lit(1)) / half).alias("blocks"))
+    sets = sets.join(classes, ["group", "class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sets = cut_lineage(sets.select("group", "class", "part", "node", "shingles"), "blocks")
+    own = sets.select("group", "class", "part").distinct()
+    first = own.select("group", F.col("class").alias("class_a"), F.col("part").alias("part_a"))
+    second = own.select("group", F.col("class").alias("class_b"), F.col("part").alias("part_b"))
+    apart = F.abs(F.col("part_b") - F.col("part_a")) + F.col("class_b") - F.col("class_a")
+    pairs = cut_lineage(
+        first.join(second, "group")
+        .filter("class_b = class_a and part_b >= part_a or class_b = class_a + 1")
+        .withColumn("round", F.ceil(F.log2(apart + 1)).cast("int")),
+        "pairs",
+    )
+    found: list[DataFrame] = []
+    members = sets.select("node").distinct()
+    rounds = pairs.agg(F.max("round")).first()[0]
+    for number in range(rounds + 1):
+        labels = connected_components(_all_of([links.join(members, links["a"] == members["node"], "left_semi"), *found]))
+        labelled = sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        labelled = cut_lineage(labelled, "labelled")
+        one = labelled.groupBy("group", "class", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        sides = [
+            one.select("group", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "part", "low", "high")]) for side in "ab"
+        ]
+        due = pairs.filter(F.col("round") == number)
+        due = due.join(sides[0], ["group", "class_a", "part_a"]).join(sides[1], ["group", "class_b", "part_b"])
+        due = due.filter(F.least("low_a", "low_b") < F.greatest("high_a", "high_b"))
+        a = due.select("group", F.col("class_a").alias("class"), F.col("part_a").alias("part"), F.lit(0).alias("side"), *_PAIR)
+        b = due.filter("class_a != class_b or part_a != part_b").select(
+            "group", F.col("class_b").alias("class"), F.col("part_b").alias("part"), F.lit(1).alias("side"), *_PAIR
+        )
+        met = labelled.join(a.union(b), ["group", "class", "part"])
+        met = met.select("group", *_PAIR, "side", "node", "shingles", "component")
+        found.append(
+            cut_lineage(met.groupBy("group", *_PAIR).applyInPandas(_join_blocks(num, den), "a long, b long"), "found")
+        )
+    return found
+
+
+_PAIR = ("class_a", "part_a", "class_b", "part_b")
 
 
 def _draw_pivots(large: DataFrame, level: int) -> DataFrame:
