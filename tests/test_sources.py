@@ -71,6 +71,18 @@ def test_json_array_form(spark, tmp_path):
     assert [(r.title, r.cluster, r.tsneX) for r in rows] == [("A", 1, 0.5), ("B", None, None)]
 
 
+def test_json_arrays_are_bounded(spark):
+    import json
+
+    from vecloom.plans.catalog import _json_arrays
+
+    rows = [(k, None if k % 10 == 0 else k % 3 // 2, f"t{k}") for k in range(400)]
+    arrays = _json_arrays(spark.createDataFrame(rows, "item_id long, cluster int, title string"), "item_id", 25).collect()
+    parts = [json.loads(r.value) for r in arrays]
+    assert max(map(len, parts)) <= 50 and {"title"} <= set(parts[0][0]) <= {"title", "cluster"}
+    assert sorted(r["title"] for part in parts for r in part) == sorted(t for _, _, t in rows)
+
+
 def test_cluster_info_map(spark):
     import json
 

@@ -113,18 +113,33 @@ def append_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("item_id", *[F.coalesce(c, F.lit("")).alias(c) for c in back.columns[1:]])
 
 
+#: About so many records are stored as one JSON array.
+ARRAY_RECORDS = 10_000
+
+
+def _json_arrays(layout: DataFrame, key: str, records: int = ARRAY_RECORDS) -> DataFrame:
+    """(cluster, block, value): the records of each block of a cluster as one JSON array, without their key."""
+    sizes = layout.groupBy(F.col("cluster").alias("of")).agg(F.ceil(F.count(F.lit(1)) / records).alias("blocks"))
+    blocks = layout.join(sizes, F.col("cluster").eqNullSafe(F.col("of"))).withColumn(
+        "block", F.pmod(F.xxhash64(key), F.col("blocks"))
+    )
+    record = F.struct(*[c for c in layout.columns if c != key])
+    return blocks.groupBy("cluster", "block").agg(F.to_json(F.collect_list(record)).alias("value"))
+
+
 @query
 def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records stored as one JSON array per cluster and read back."""
+    """Records stored as JSON arrays of bounded size, one file for each block of a cluster, and read back."""
     path = new_path(spark, "arrays")
     layout = S.to_summary_layout(
         item_vectors(spark, sf_dir).select(
             "*", *[F.get("embedding", F.lit(i)).alias(axis) for i, axis in enumerate("xyz")]
-        )
+        ),
+        "item_id",
     )
-    arrays = layout.groupBy("cluster").agg(F.to_json(F.collect_list(F.struct(*layout.columns))).alias("value"))
-    arrays.repartition(F.col("cluster")).select("cluster", "value").write.partitionBy("cluster").text(path)
-    back = readers.read_json_records(spark, f"{path}/*/*.txt", S.SUMMARY_LAYOUT_SCHEMA, one_array=True)
+    arrays = _json_arrays(layout, "item_id").repartition("cluster", "block")
+    arrays.write.partitionBy("cluster", "block").text(path)
+    back = readers.read_json_records(spark, f"{path}/*/*/*.txt", S.SUMMARY_LAYOUT_SCHEMA, one_array=True)
     return back.select(
         "title", "provider", "cluster", *[_rounded(c) for c in ("tsneX", "tsneY", "tsneZ")], "summary"
     )

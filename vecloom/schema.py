@@ -204,8 +204,8 @@ def to_layout(df: DataFrame) -> DataFrame:
     )
 
 
-def to_summary_layout(df: DataFrame) -> DataFrame:
-    """Cast and name the columns of the summarised layout records."""
+def to_summary_layout(df: DataFrame, *also: str) -> DataFrame:
+    """Cast and name the columns of the summarised layout records; ``also`` names columns to carry along."""
     return df.select(
         "title",
         F.coalesce(F.col("provider"), F.lit("")).alias("provider"),
@@ -214,6 +214,7 @@ def to_summary_layout(df: DataFrame) -> DataFrame:
         F.col("y").cast("double").alias("tsneY"),
         F.col("z").cast("double").alias("tsneZ"),
         "summary",
+        *also,
     )
 
 
