@@ -113,3 +113,151 @@ WITH codes AS (
 )
 SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10
 """
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an SQL text's UTF-8 bytes; a byte's effect is the xor of its bits' effects."""
+    # Fixed values of CRC-32: the effects of the eight bits of a byte.
+    bits = (
+        0x77073096, 0xEE0E612C, 0x076DC419, 0x0EDB8832, 0x1DB71064, 0x3B6E20C8, 0x76DC4190, 0xEDB88320,
+    )
+    step = "(a >> 8)"
+    for place, effect in enumerate(bits):
+        step = f"xor({step}, ((xor(a, b) >> {place}) & 1) * {effect})"
+    digits = f"hex(encode({text}))"
+    numbers = f"list_transform(range(0, (length({digits}) // 2)::BIGINT), lambda i: ('0x' || {digits}[2 * i + 1:2 * i + 2])::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {numbers}), lambda a, b: {step}), 4294967295)"
+
+
+_ORACLES["op11_zip_archives"] = """
+WITH digests AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), firsts AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id
+    FROM digests
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_id THEN first_id END::BIGINT AS refers_to, true AS intact
+FROM firsts
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LETTERS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_ORACLES["op12_target_resampling"] = f"""
+WITH texts AS (
+    SELECT doc_id AS id, 's' AS side, {_LETTERS} AS w FROM documents
+    UNION ALL
+    SELECT NULL, 't', {_LETTERS} FROM benchmark
+), features AS (
+    SELECT id, side, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS f
+    FROM texts, (SELECT unnest(range(1, 4)) AS n) WHERE len(w) >= n
+), counted AS (
+    SELECT side, id, f, count(*) AS c FROM features GROUP BY ALL
+), numbers AS (
+    SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM counted)
+), bucketed AS (
+    SELECT side, id, bucket, sum(c)::BIGINT AS c FROM counted JOIN numbers USING (f) GROUP BY ALL
+), sums AS (
+    SELECT b.bucket, coalesce(sum(c) FILTER (WHERE side = 's'), 0)::DOUBLE AS s,
+           coalesce(sum(c) FILTER (WHERE side = 't'), 0)::DOUBLE AS t
+    FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN bucketed USING (bucket) GROUP BY b.bucket
+), gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sums) + 10000)
+                                   / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000))))::BIGINT AS gain
+    FROM sums
+), weights AS (
+    SELECT id, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight
+    FROM bucketed JOIN gains USING (bucket) WHERE side = 's' GROUP BY id
+), scored AS (
+    SELECT doc_id, len({_LETTERS}) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln(
+               (('0x' || sha256('42:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM documents LEFT JOIN weights ON id = doc_id
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+           count(*) OVER (PARTITION BY n_words >= 20) AS n
+    FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank
+FROM placed
+"""
+
+_FAULTY_KEY = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+
+
+def _best(*offers: str) -> str:
+    """The least of (cost, edits, repaired text) structs; a null cost is no way."""
+    return f"list_sort(list_filter([{', '.join(offers)}], lambda o: o.c IS NOT NULL))[1]"
+
+
+def _move(old: str, cost: str, edit: str, line: str | None = None) -> str:
+    text = f"{old}.t" if line is None else f"CASE WHEN {old}.t IS NULL THEN '' ELSE {old}.t || chr(10) END || {line}"
+    return f"{{'c': {old}.c + {cost}, 'a': {old}.a || '{edit}', 't': {text}}}"
+
+
+def _kept(old: str, initial: str) -> str:
+    return _move(old, f"CASE WHEN NOT gone AND substr(role, 1, 1) = '{initial}' THEN cut END", "K", "role || ':' || text")
+
+
+def _reroled(old: str, role: str) -> str:
+    return _move(old, "CASE WHEN NOT gone THEN 2 + cut END", "R", f"'{role}:' || text")
+
+
+_NO_WAY = "{'c': NULL::BIGINT, 'a': NULL::VARCHAR, 't': NULL::VARCHAR}"
+
+_ORACLES["op13_conversation_repair"] = rf"""
+WITH RECURSIVE kinds AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32(_FAULTY_KEY)} % 20 AS kind
+    FROM conversations
+), hurt AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM kinds WHERE kind <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+           rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core
+    FROM hurt
+), faults AS (
+    SELECT *, core = '' AS blank, core <> '' AND again AS duplicate,
+           core <> '' AND NOT again AND substr(core, -1) NOT IN ('.', '!', '?') AS truncated,
+           lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au') AS illegal
+    FROM placed
+), edited AS (
+    SELECT conv_id, pos, role, text, blank OR duplicate AS gone, truncated::BIGINT AS cut FROM faults
+), steps AS (
+    SELECT conv_id, 0::BIGINT AS pos, {{'c': 0::BIGINT, 'a': '', 't': NULL::VARCHAR}} AS n, {_NO_WAY} AS s,
+           {{'c': 2::BIGINT, 'a': 'I', 't': 'user:'}} AS u,
+           {{'c': 4::BIGINT, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}} AS a
+    FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT conv_id, pos, n, s, u, {_best("a", _move("u", "2", "I", "'assistant:'"))}
+    FROM (
+        SELECT conv_id, pos, n, s,
+               {_best("u", _move("n", "2", "I", "'user:'"), _move("s", "2", "I", "'user:'"), _move("a", "2", "I", "'user:'"))} AS u, a
+        FROM (
+            SELECT e.conv_id, e.pos, {_move("n", "3", "D")} AS n,
+                   {_best(_move("s", "3", "D"), _kept("n", "s"), _NO_WAY)} AS s,
+                   {_best(_move("u", "3", "D"), *(f(o, x) for o in "nsa" for f, x in ((_kept, "u"), (_reroled, "user"))))} AS u,
+                   {_best(_move("a", "3", "D"), _kept("u", "a"), _reroled("u", "assistant"))} AS a
+            FROM steps JOIN edited e ON e.conv_id IS NOT DISTINCT FROM steps.conv_id AND e.pos = steps.pos + 1
+        )
+    )
+), last AS (
+    SELECT conv_id, {_best("n", "a")} AS best
+    FROM (SELECT conv_id, arg_max(n, pos) AS n, arg_max(a, pos) AS a FROM steps GROUP BY conv_id)
+), counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+           count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+           count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+    FROM faults GROUP BY conv_id
+)
+SELECT l.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit,
+       sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM last l LEFT JOIN counts c ON l.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

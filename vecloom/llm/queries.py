@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.llm.conversation_repair import damaged, repair_report
 from vecloom.llm.decontamination import decontamination_report
 from vecloom.llm.hamming_search import hamming_top_k, sign_code
 from vecloom.llm.html_extraction import extract_text
@@ -15,8 +16,10 @@ from vecloom.llm.jaccard_join import jaccard_components
 from vecloom.llm.line_dedup import line_dedup
 from vecloom.llm.packing import pack_documents, word_tokenizer
 from vecloom.llm.substring_dedup import substring_dedup
+from vecloom.llm.target_resampling import resample_to_target
 from vecloom.llm.toxicity import toxicity_scores
 from vecloom.llm.url_filter import filter_urls, host_of
+from vecloom.llm.zip_archives import archived_pages
 from vecloom.sources.readers import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +144,20 @@ def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code")
     )
     return hamming_top_k(codes, codes.filter(F.col("id") % 20 == 0))
+
+
+@query
+def op11_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample_to_target(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(read_table(spark, sf_dir, "conversations"))
+    return repair_report(rows, absent=F.col("gone")).drop("most_open")
