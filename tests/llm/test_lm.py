@@ -88,10 +88,12 @@ def test_scores_against_brute_force(spark, order):
                 sum(math.log10(float(weights[of] @ row)) for of, row in own),
             )
         )
-    found = sorted(map(tuple, interpolated_scores(table(spark, rows), order=order).collect()), key=repr)
     want.sort(key=repr)
-    assert [f[:5] for f in found] == [w[:5] for w in want]
-    assert np.allclose([f[5:] for f in found], [w[5:] for w in want], rtol=1e-6, atol=1e-6)
+    # One group and slice, then many of both.
+    for sizes in ({}, {"group_bytes": 9_000, "slice_bytes": 700}):
+        found = sorted(map(tuple, interpolated_scores(table(spark, rows), order=order, **sizes).collect()), key=repr)
+        assert [f[:5] for f in found] == [w[:5] for w in want]
+        assert np.allclose([f[5:] for f in found], [w[5:] for w in want], rtol=1e-6, atol=1e-6)
 
 
 def test_better_than_the_base_on_held_out_text(spark):

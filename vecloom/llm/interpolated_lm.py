@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from vecloom.llm.packed import (
     RollingHash,
     arrow_rows,
-    buckets_of,
     by_bucket,
     crc_mod,
     id_and_text,
@@ -47,6 +46,9 @@ CLASSES = 40
 EM_ROUNDS = 30
 EM_GAIN = 1e-5
 SMOOTH = 0.1
+#: Bytes of text in a group of documents, and in a slice of it that a task works on.
+GROUP_BYTES = 8_000_000
+SLICE_BYTES = 1_000_000
 
 _START = np.uint64(0x5354415254)
 _END = np.uint64(0x454E44)
@@ -73,21 +75,47 @@ def group_grams(texts: list, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.concatenate([p[n] for p in parts]) for n in range(order)], lengths
 
 
-def _ask(order: int, buckets: int, held_fold: int, weight_fold: int):
+def text_slices(texts: list, size: int) -> Iterator[slice]:
+    """The texts in slices of about ``size`` bytes, one text at least."""
+    start = held = 0
+    for at, text in enumerate(texts):
+        held += len(text or b"")
+        if held >= size:
+            yield slice(start, at + 1)
+            start, held = at + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys of (keys, count, count, …) parts, with their counts added."""
+    distinct, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return distinct, *(
+        np.bincount(inverse, np.concatenate(column), len(distinct)).astype(np.int64)
+        for column in list(zip(*parts, strict=True))[1:]
+    )
+
+
+def _ask(order: int, buckets: int, held_fold: int, weight_fold: int, slice_bytes: int):
     def ask(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        grams, lengths = group_grams(group["text"].tolist(), order)
-        fold = group["fold"].fillna(held_fold).to_numpy()
-        held = np.repeat(fold == weight_fold, lengths)
-        kept = np.repeat((fold != weight_fold) & (fold != held_fold), lengths)
+        texts, folds = group["text"].tolist(), group["fold"].fillna(held_fold).to_numpy()
+        parts: list[list[tuple]] = [[] for _ in range(order)]
+        for some in text_slices(texts, slice_bytes):
+            grams, lengths = group_grams(texts[some], order)
+            fold = np.repeat(folds[some], lengths)
+            held, kept = fold == weight_fold, (fold != weight_fold) & (fold != held_fold)
+            for n, keys in enumerate(grams):
+                distinct, inverse = np.unique(keys, return_inverse=True)
+                counts = (np.bincount(inverse[rows], minlength=len(distinct)) for rows in (kept, held))
+                parts[n].append((distinct, *counts))
         out = []
-        for n, keys in enumerate(grams, start=1):
-            distinct, inverse = np.unique(keys, return_inverse=True)
-            in_kept = np.bincount(inverse[kept], minlength=len(distinct))
-            in_held = np.bincount(inverse[held], minlength=len(distinct))
+        for n in range(order):
+            distinct, in_kept, in_held = _added(parts[n])
+            parts[n] = []
             # Sorted keys are in the order of their buckets, which take the leading bits.
             _, there, starts = by_bucket(distinct, buckets)
             for number, a, b in zip(there.tolist(), starts[:-1], starts[1:], strict=True):
-                out.append((number, n, key[0], distinct[a:b].tobytes(), narrow(in_kept[a:b]), narrow(in_held[a:b])))
+                out.append((number, n + 1, key[0], distinct[a:b].tobytes(), narrow(in_kept[a:b]), narrow(in_held[a:b])))
         return pd.DataFrame(out, columns=["bucket", "gram_order", "doc_group", "keys", "kept", "held"])
 
     return ask
@@ -118,28 +146,42 @@ def _answer(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
 
 
 class Counts:
-    """Counts of a group's tokens, their n-grams and contexts, from the answers."""
+    """Counts of the n-grams and contexts of some documents' tokens."""
 
-    def __init__(self, group: pd.DataFrame, answers: pd.DataFrame, order: int, with_held: bool, n_docs: int):
-        grams, self.lengths = group_grams(group["text"].tolist(), order)
-        answers = answers.sort_values(["gram_order", "bucket"])
-        self.grams: list[np.ndarray] = []
-        for n, keys in enumerate(grams, start=1):
-            rows = answers[answers["gram_order"] == n]
-            total = [
-                widen(kept, size) + (widen(held, size) if with_held else 0)
-                for kept, held, size in zip(rows["kept"], rows["held"], rows["n"], strict=True)
-            ]
-            _, inverse = np.unique(keys, return_inverse=True)
-            self.grams.append(np.concatenate(total)[inverse])
+    def __init__(self, grams: list[np.ndarray], lengths: np.ndarray, n_docs: int):
+        self.grams, self.lengths = grams, lengths
         # The context of a token is the gram one order lower that ends at the token before.
-        first = np.cumsum(self.lengths) - self.lengths
+        first = np.cumsum(lengths) - lengths
         self.contexts = []
-        for gram in self.grams[:-1]:
+        for gram in grams[:-1]:
             context = np.concatenate(([0], gram[:-1]))
             context[first] = n_docs
             self.contexts.append(context)
 
+    @staticmethod
+    def of_group(
+        group: pd.DataFrame, answers: pd.DataFrame, order: int, with_held: bool, n_docs: int, slice_bytes: int
+    ) -> Iterator[tuple[slice, Counts]]:
+        """Counts of a group's documents from the answers to it, a slice of text at a time."""
+        texts = group["text"].tolist()
+        parts = [(some, *group_grams(texts[some], order)) for some in text_slices(texts, slice_bytes)]
+        answers = answers.sort_values(["gram_order", "bucket"])
+        asked, totals = [], []
+        for n in range(order):
+            asked.append(np.unique(np.concatenate([np.unique(grams[n]) for _, grams, _ in parts])))
+            rows = answers[answers["gram_order"] == n + 1]
+            totals.append(
+                np.concatenate(
+                    [
+                        widen(kept, size) + (widen(held, size) if with_held else 0)
+                        for kept, held, size in zip(rows["kept"], rows["held"], rows["n"], strict=True)
+                    ]
+                )
+            )
+        for some, grams, lengths in parts:
+            found = [totals[n][np.searchsorted(asked[n], grams[n])] for n in range(order)]
+            yield some, Counts(found, lengths, n_docs)
+
     def estimates(self, tokens: int, distinct: int) -> np.ndarray:
         """Rows: uniform, then the maximum-likelihood estimates of order 1, 2, …"""
         rows = [np.full(len(self.grams[0]), 1 / (distinct + 1)), self.grams[0] / max(tokens, 1)]
@@ -152,15 +194,14 @@ class Counts:
         return np.minimum(np.frexp(longest)[1], CLASSES - 1)
 
 
-def _held_tokens(order: int, tokens: int, distinct: int, n_docs: int):
+def _held_tokens(order: int, tokens: int, distinct: int, n_docs: int, slice_bytes: int):
     def held(key: tuple, group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(group):
-            return pd.DataFrame({"classes": [], "estimates": []})
-        counts = Counts(group, answers, order, False, n_docs)
-        estimates = counts.estimates(tokens, distinct)[1:].astype(np.float32)
-        return pd.DataFrame(
-            {"classes": [counts.classes().astype(np.uint8).tobytes()], "estimates": [estimates.tobytes()]}
-        )
+        rows = []
+        if len(group):
+            for _, counts in Counts.of_group(group, answers, order, False, n_docs, slice_bytes):
+                estimates = counts.estimates(tokens, distinct)[1:].astype(np.float32)
+                rows.append((counts.classes().astype(np.uint8).tobytes(), estimates.tobytes()))
+        return pd.DataFrame(rows, columns=["classes", "estimates"])
 
     return held
 
@@ -211,26 +252,25 @@ def learn_weights(tokens: DataFrame, orders: int, distinct: int, rounds: int = E
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def _score(order: int, weights: np.ndarray, tokens: int, distinct: int, n_docs: int):
-    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
-
-    def score(key: tuple, group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(group):
-            return pd.DataFrame({name: [] for name in names})
-        counts = Counts(group, answers, order, True, n_docs)
+def _score(order: int, weights: np.ndarray, tokens: int, distinct: int, n_docs: int, slice_bytes: int):
+    def scores(counts: Counts) -> dict[str, np.ndarray]:
         known = counts.grams[0]
         base = np.log10((known + SMOOTH) / (tokens + SMOOTH * (distinct + 1)))
         mixed = np.einsum("nt,tn->t", counts.estimates(tokens, distinct), weights[counts.classes()])
         first = np.cumsum(counts.lengths) - counts.lengths
-        return pd.DataFrame(
-            {
-                "doc_id": group["doc_id"].to_numpy(),
-                "n_tokens": counts.lengths,
-                "n_known": np.add.reduceat((known > 0).astype(np.int64), first),
-                "base_score": np.add.reduceat(base, first),
-                "score": np.add.reduceat(np.log10(mixed), first),
-            }
-        ).astype({"doc_id": "Int64"})
+        return {
+            "n_tokens": counts.lengths,
+            "n_known": np.add.reduceat((known > 0).astype(np.int64), first),
+            "base_score": np.add.reduceat(base, first),
+            "score": np.add.reduceat(np.log10(mixed), first),
+        }
+
+    def score(key: tuple, group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return pd.DataFrame({name: [] for name in ("doc_id", "n_tokens", "n_known", "base_score", "score")})
+        parts = [scores(c) for _, c in Counts.of_group(group, answers, order, True, n_docs, slice_bytes)]
+        columns = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+        return pd.DataFrame({"doc_id": group["doc_id"].to_numpy(), **columns}).astype({"doc_id": "Int64"})
 
     return score
 
@@ -243,6 +283,8 @@ def interpolated_scores(
     folds: int = FOLDS,
     held_out_fold: int = HELD_OUT_FOLD,
     weight_fold: int = WEIGHT_FOLD,
+    group_bytes: int = GROUP_BYTES,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
@@ -253,12 +295,19 @@ def interpolated_scores(
     Null and empty texts are the end token alone. Rows with a null id are not learned from and
     have a null held_out. Repeated rows are counted and scored each. Without training rows every
     estimate is the uniform one. Other columns are not read. An empty table gives an empty result.
+
+    A group holds about ``group_bytes`` of text, however large the table, and a task works on
+    ``slice_bytes`` of it at a time.
     """
     spark = documents.sparkSession
-    groups = buckets_of(spark)
-    held_groups = max(1, groups // 8)
     docs = id_and_text(documents, id_col, text_col).withColumn("fold", crc_mod(F.col("doc_id"), folds).cast("int"))
-    deal = F.xxhash64("doc_id")
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    groups = max(1, -(-size // group_bytes))
+    # A bucket's keys are worked on one order at a time, so it may hold those of two groups.
+    buckets = -(-groups // 2)
+    held_groups = max(1, groups // folds)
+    # Rows that share an id are dealt by their text.
+    deal = F.xxhash64("doc_id", "text")
     docs = docs.withColumn(
         "doc_group",
         F.when(F.col("fold") == weight_fold, groups + F.pmod(deal, F.lit(held_groups)))
@@ -272,7 +321,7 @@ def interpolated_scores(
         path = new_path(spark, "gram-counts")
         (
             docs.groupBy("doc_group")
-            .applyInPandas(_ask(order, groups, held_out_fold, weight_fold), _ASK)
+            .applyInPandas(_ask(order, buckets, held_out_fold, weight_fold, slice_bytes), _ASK)
             .groupBy("gram_order", "bucket")
             .applyInPandas(_answer, _ANSWER)
             .write.parquet(path)
@@ -290,7 +339,7 @@ def interpolated_scores(
             .groupBy("doc_group")
             .cogroup(answers.filter(F.col("doc_group") >= groups).groupBy("doc_group"))
             .applyInPandas(
-                _held_tokens(order, total["kept_total"], total["kept_distinct"], n_kept),
+                _held_tokens(order, total["kept_total"], total["kept_distinct"], n_kept, slice_bytes),
                 "classes binary, estimates binary",
             )
             .write.parquet(path)
@@ -301,7 +350,7 @@ def interpolated_scores(
         docs.groupBy("doc_group")
         .cogroup(answers.groupBy("doc_group"))
         .applyInPandas(
-            _score(order, weights, tokens, total["all_distinct"], n_all),
+            _score(order, weights, tokens, total["all_distinct"], n_all, slice_bytes),
             "doc_id long, n_tokens long, n_known long, base_score double, score double",
         )
     )
