@@ -53,7 +53,9 @@ def test_words_give_the_ids_of_the_whole_text(path):
     texts = [t or "" for _, t in awkward_texts()] + [
         "it's 'LL don't. x'… a\x1cb\x85c <|endoftext|>. <|ENDOFTEXT|>! É. é. İ. ΑΣ. 5. 5a! «q». ﬁ, Å; ½. x̸= ==≠"
     ]
-    cache = WordCache(word_tokenizer(path)(), "<u4")
+    encode = word_tokenizer(path)()
+    assert encode.last_ids.any()
+    cache = WordCache(encode, "<u4", encode.last_ids)
     for text, ids in zip(texts, cache.ids([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 

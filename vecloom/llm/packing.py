@@ -9,8 +9,11 @@ sequences whose lengths are powers of two. So a group has no padding at all.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -24,10 +27,16 @@ SEQUENCE = 4096
 END_ID = 2
 GROUP_DOCS = 4096
 #: Words after which a task forgets those it has not seen lately.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
+#: Bytes of text whose words are looked up at a time.
+SLICE_BYTES = 8_000_000
+#: Words of letters that are encoded as one text.
+LINE_WORDS = 200
 #: ASCII punctuation: composes with nothing before it, and is never part of a word's letters.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+
 Encoder = Callable[[list[str]], list[list[int]]]
 
 _IDS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -113,17 +122,20 @@ def pack_lengths(lengths: list[int], room: int = SEQUENCE) -> list[list[tuple[in
 
 
 class WordCache:
-    """Ids of a text as the ids of its white-space separated words, remembered by word.
+    """Ids of texts as the ids of their white-space separated words, remembered by word.
 
     For tokenizers that lower-case, and that split at white space and drop it, a text's ids
-    are those of its words one after another. Words repeat, and more so without the
-    punctuation at their end, which such a tokenizer splits off: both forms are kept. When
+    are those of its words one after another. Arrow finds the distinct words of a slice of text, each with the
+    white space behind it, and numpy puts their ids in order; Python sees a distinct word of a slice once. Words without
+    the punctuation at their end, which such a tokenizer splits off, are remembered too. When
     a store is full, the words not seen since it was last full go.
     """
 
-    def __init__(self, encode: Encoder, kind: str):
+    def __init__(self, encode: Encoder, kind: str, last_ids: np.ndarray | None = None):
         self.encode = encode
         self.kind = kind
+        #: Ids that are the last of a word; with them words of letters are encoded many at a time.
+        self.last_ids = last_ids
         self.words: list[dict[bytes, bytes]] = [{}, {}]
         self.stems: list[dict[bytes, bytes]] = [{}, {}]
 
@@ -140,41 +152,98 @@ class WordCache:
 
     def _encode(self, parts: list[bytes]) -> None:
         new, old = self.stems
-        todo = []
+        letters, others = [], []
         for part in parts:
             if part not in new:
-                if (ids := old.get(part)) is None:
-                    todo.append(part)
-                else:
+                if (ids := old.get(part)) is not None:
                     new[part] = ids
-        for start in range(0, len(todo), 20_000):
-            some = todo[start : start + 20_000]
+                elif self.last_ids is not None and part.decode("utf-8", "replace").isalpha():
+                    letters.append(part)
+                else:
+                    others.append(part)
+        # A word has one last id at least. If a line of words has no more, they tell its words apart.
+        lines = [letters[start : start + LINE_WORDS] for start in range(0, len(letters), LINE_WORDS)]
+        for some, ids in zip(lines, self.encode([b" ".join(line).decode() for line in lines]), strict=True):
+            ids = np.array(ids, self.kind)
+            ends = np.flatnonzero(self.last_ids[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                others += some
+                continue
+            buffer, width = ids.tobytes(), ids.itemsize
+            ends = (ends * width).tolist()
+            new.update((part, buffer[a:b]) for part, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
+        for start in range(0, len(others), 20_000):
+            some = others[start : start + 20_000]
             for part, ids in zip(some, self.encode([p.decode("utf-8", "replace") for p in some]), strict=True):
                 new[part] = np.array(ids, self.kind).tobytes()
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
+    def _distinct(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, each with white space behind it or none."""
         for store in (self.words, self.stems):
             if len(store[0]) > CACHE_WORDS:
                 store[:] = [{}, store[0]]
         new, old = self.words
-        split = [text.split() for text in texts]
+        found = list(map(new.get, pieces))
         todo = {}
-        for word in set().union(*split):
-            if word not in new:
-                if (ids := old.get(word)) is None:
-                    todo[word] = self.stem(word)
+        for at, ids in enumerate(found):
+            if ids is None:
+                piece = pieces[at]
+                if (ids := old.get(piece)) is None:
+                    todo[at] = self.stem(piece.rstrip())
                 else:
-                    new[word] = ids
+                    new[piece] = found[at] = ids
         self._encode(list({part for pair in todo.values() for part in pair if part}))
         stems = self.stems[0]
-        for word, (stem, tail) in todo.items():
-            new[word] = stems[stem] + (stems[tail] if tail else b"")
-        return [b"".join(map(new.__getitem__, words)) for words in split]
+        for at, (stem, tail) in todo.items():
+            new[pieces[at]] = found[at] = (stems[stem] if stem else b"") + (stems[tail] if tail else b"")
+        return found
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        buffer = b"\n".join([*texts, b""])
+        blank = _BLANK[np.frombuffer(buffer, np.uint8)]
+        starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+        if not len(starts):
+            return [b""] * len(texts)
+        edges = np.append(starts, len(buffer)).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(buffer)]
+        ).dictionary_encode()
+        distinct = self._distinct(_bytes_of(words.dictionary))
+        number = words.indices.to_numpy()
+        width = np.dtype(self.kind).itemsize
+        size = np.fromiter(map(len, distinct), np.int64, len(distinct)) // width
+        flat, first = np.frombuffer(b"".join(distinct), self.kind), np.cumsum(size) - size
+        size, first = size[number], first[number]
+        end = np.cumsum(size)
+        stream = flat[np.arange(end[-1]) + np.repeat(first - (end - size), size)]
+        # A text's words are those that start before its end.
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        cuts = np.concatenate(([0], end))[np.searchsorted(starts, text_ends)].tolist()
+        return [stream[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+
+def _bytes_of(words: pa.LargeBinaryArray) -> list[bytes]:
+    _, offsets, data = words.buffers()
+    edges = np.frombuffer(offsets, np.int64, len(words) + 1, words.offset * 8).tolist()
+    data = data.to_pybytes()
+    return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _worker_cache(load: Callable[[], Encoder], kind: str) -> WordCache:
+    """The words that this Python worker knows, kept from task to task for one tokenizer."""
+    held = sys.modules.setdefault("_vecloom_worker", ModuleType("_vecloom_worker"))
+    # A class that travels with a job is a new one in every task; the path of its file is not.
+    key = (getattr(load, "path", load), kind)
+    if getattr(held, "word_cache_of", None) != key:
+        encode = load()
+        held.word_cache = WordCache(encode, kind, getattr(encode, "last_ids", None))
+        held.word_cache_of = key
+    return held.word_cache
 
 
 def _tokenise(load: Callable[[], Encoder], end_id: int, kind: str):
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(load(), kind)
+        cache = _worker_cache(load, kind)
         end = np.array([end_id], kind).tobytes()
         ids, texts, size = [], [], 0
 
@@ -187,7 +256,7 @@ def _tokenise(load: Callable[[], Encoder], end_id: int, kind: str):
             ids.append((row, doc_id))
             texts.append(text or b"")
             size += len(texts[-1])
-            if size > 4_000_000:
+            if size > SLICE_BYTES:
                 yield flush()
                 ids, texts, size = [], [], 0
         if ids:
@@ -259,16 +328,32 @@ def pack_documents(
     )
 
 
-def word_tokenizer(path: str) -> Callable[[], Encoder]:
-    """Encoder of a tokenizer file of the ``tokenizers`` library, loaded once in each worker."""
+class TokenizerEncoder:
+    """Encoder of a tokenizer of the ``tokenizers`` library; ``last_ids`` where a suffix marks a word's last id."""
 
-    def load() -> Encoder:
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.last_ids = None
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.last_ids = np.zeros(tokenizer.get_vocab_size(), bool)
+            for token, number in tokenizer.get_vocab().items():
+                self.last_ids[number] = token.endswith(suffix)
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@dataclass(frozen=True)
+class word_tokenizer:
+    """Loads the encoder of a tokenizer file of the ``tokenizers`` library, once in each worker."""
+
+    path: str
+
+    def __call__(self) -> Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    return load
+        return TokenizerEncoder(Tokenizer.from_file(self.path))
