@@ -40,6 +40,8 @@ PACKAGE_BYTES = 8_000_000
 SPAN_BYTES = 1_000_000
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 100
+#: Compressed bytes that a task reads in all, on average.
+TASK_BYTES = 8_000_000
 DATE = "2023-01-01T00:00:00Z"
 COMMENT = b"\n"
 
@@ -453,8 +455,11 @@ def read_packages(
         .select("path", "length")
     )
     spans = files.mapInArrow(_spans(span_bytes), "package string, start long, size long, places binary")
-    # A package may hold any number of spans; they are dealt evenly, whatever package they are of.
-    return spans.repartition(F.xxhash64("package", "start")).mapInArrow(_read_spans(with_payload), RECORD_COLUMNS)
+    # A package may hold any number of spans; they are dealt evenly, whatever package they are of. A span is a few
+    # bytes and stands for many, so the number of tasks follows the packages, not the rows that are dealt.
+    size = files.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-size // TASK_BYTES))
+    return spans.repartition(tasks, "package", "start").mapInArrow(_read_spans(with_payload), RECORD_COLUMNS)
 
 
 def with_revisited_payloads(records: DataFrame) -> DataFrame:
