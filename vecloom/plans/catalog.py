@@ -16,6 +16,7 @@ from vecloom.operators import embedding as E
 from vecloom.operators import enrich as J
 from vecloom.operators import ivf as I
 from vecloom.operators import layout as L
+from vecloom.operators import lsh as H
 from vecloom.operators import neighbours as N
 from vecloom.operators import ordering as O
 from vecloom.operators import profile as P
@@ -544,6 +545,19 @@ def recommend_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbour_columns(N.recommend_items(item_vectors(spark, sf_dir)))
 
 
+@query
+def similar_items_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar of a cluster among those in the buckets that hyperplanes give."""
+    return _neighbour_columns(H.similar_items_lsh(item_vectors(spark, sf_dir)))
+
+
+@query
+def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the exact answer the hyperplane tables give by default."""
+    vectors = item_vectors(spark, sf_dir)
+    return I.recall(H.similar_items_lsh(vectors), N.similar_items(vectors))
+
+
 def _ivf(spark: SparkSession, sf_dir: str, probes: int) -> DataFrame:
     return I.ivf_neighbours(item_vectors(spark, sf_dir), cells=8, probes=probes, block_rows=256)
 

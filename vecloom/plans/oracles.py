@@ -171,6 +171,38 @@ _FOCAL = """WHERE a.item_id IN (SELECT item_id FROM (
     SELECT item_id, row_number() OVER (PARTITION BY cluster ORDER BY item_id) AS rn FROM vecs) WHERE rn <= 3)"""
 
 
+#: CTEs ending in met(item_id, neighbour_id, …): items of a cluster that share a bucket one of them probes.
+_HYPERPLANES = """units AS (
+  SELECT item_id, cluster, title, v, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u
+  FROM vecs WHERE list_dot_product(v, v) > 0 AND cluster IS NOT NULL),
+unit_cells AS (
+  SELECT item_id, cluster, unnest(u) AS value, generate_subscripts(u, 1) - 1 AS dim FROM units),
+centred AS (
+  SELECT item_id, cluster, dim, value - avg(value) OVER (PARTITION BY cluster, dim) AS value FROM unit_cells),
+planes AS (
+  SELECT t, b, dim, CASE WHEN md5('42:' || t || ':' || b || ':' || dim)[1] < '8' THEN 1 ELSE -1 END AS sign
+  FROM range(8) x(t), range(4) y(b), (SELECT DISTINCT dim FROM unit_cells)),
+projected AS (
+  SELECT item_id, cluster, t, b, sum(sign * value) AS p FROM centred JOIN planes USING (dim) GROUP BY ALL),
+own AS (
+  SELECT item_id, cluster, t, sum(CASE WHEN p > 0 THEN 1 << b ELSE 0 END)::BIGINT AS bucket
+  FROM projected GROUP BY item_id, cluster, t),
+crossed AS (
+  SELECT item_id, t, mask, row_number() OVER (
+    PARTITION BY item_id, t ORDER BY sum(CASE WHEN (mask >> b) & 1 = 1 THEN p * p ELSE 0 END), mask) AS place
+  FROM projected, range(16) m(mask) GROUP BY item_id, t, mask),
+probed AS (
+  SELECT item_id, cluster, t, xor(bucket, mask) AS bucket FROM own JOIN crossed USING (item_id, t) WHERE place <= 4),
+met AS (
+  SELECT DISTINCT a.item_id, b.item_id AS neighbour_id
+  FROM probed a JOIN own b ON a.cluster = b.cluster AND a.t = b.t AND a.bucket = b.bucket AND a.item_id <> b.item_id),
+near AS (
+  SELECT item_id, neighbour_id, neighbour_title, sim, row_number() OVER (
+    PARTITION BY item_id ORDER BY round(sim, 9) DESC, neighbour_title DESC, neighbour_id)::INTEGER AS rank
+  FROM (SELECT m.*, y.title AS neighbour_title, list_cosine_similarity(x.v, y.v) AS sim
+        FROM met m JOIN units x ON x.item_id = m.item_id JOIN units y ON y.item_id = m.neighbour_id))"""
+
+
 def _silhouette(distance: str) -> str:
     return (
         _with(
@@ -448,6 +480,11 @@ FROM vecs QUALIFY sample_rank <= 5"""
     sql["similar_items"] = _neighbours(True)
     sql["similar_items_preview"] = _neighbours(True, _FOCAL)
     sql["recommend_items"] = _neighbours(False)
+    sql["similar_items_lsh"] = _with(VECTORS, _HYPERPLANES) + """
+SELECT item_id, rank, neighbour_id, neighbour_title, round(sim, 6) AS similarity FROM near WHERE rank <= 5"""
+    sql["lsh_recall"] = _with(VECTORS, _HYPERPLANES, f"exact AS ({_neighbours(True)})") + """
+SELECT count(*) AS wanted, count(n.item_id) AS found, count(n.item_id) / count(*) AS recall
+FROM exact e LEFT JOIN near n ON n.rank <= 5 AND e.item_id = n.item_id AND e.neighbour_id = n.neighbour_id"""
     sql["recommend_items_ivf"] = sql["recommend_items_blocks"] = sql["recommend_items"]
     sql["cosine_pairs"] = _with(PLAIN) + """
 SELECT a.item_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
