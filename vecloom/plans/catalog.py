@@ -24,6 +24,7 @@ from vecloom.operators import projection as V
 from vecloom.operators import quality as Q
 from vecloom.operators import relational as R
 from vecloom.operators import stats as Z
+from vecloom.operators import vector_index as W
 from vecloom.plans.views import documents_as_items, first_line, item_vectors, items, labelled_ids
 from vecloom.session import cut_lineage, new_path
 from vecloom.sources import readers, writers
@@ -574,6 +575,39 @@ def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.recall(_ivf(spark, sf_dir, 6), N.recommend_items(item_vectors(spark, sf_dir)))
 
 
+def _text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with vectors of their reviews' words."""
+    embedded = E.embed_documents(E.embed_input(items(spark, sf_dir), "review"), dimensions=VECTOR_SIZE)
+    return cut_lineage(embedded.select("item_id", "title", "embedding"), "text-vectors")
+
+
+def _indexed_neighbours(vectors: DataFrame) -> DataFrame:
+    """An index of two items of three, to which the others are added, asked for the neighbours of all."""
+    path = new_path(vectors.sparkSession, "vector-index")
+    W.build_index(vectors.filter(F.col("item_id") % 3 != 0), path)
+    W.add_items(vectors, path)
+    queries = vectors.select(F.col("item_id").alias("query_id"), "embedding")
+    return W.search_index(queries, path, others=True).select(
+        F.col("query_id").alias("item_id"),
+        "rank",
+        F.col("item_id").alias("neighbour_id"),
+        F.col("title").alias("neighbour_title"),
+        "similarity",
+    )
+
+
+@query
+def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbour_columns(_indexed_neighbours(_text_vectors(spark, sf_dir)))
+
+
+@query
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the exact answer the stored index gives from a quarter of its cells."""
+    vectors = _text_vectors(spark, sf_dir)
+    return I.recall(_indexed_neighbours(vectors), N.recommend_items(vectors))
+
+
 @query
 def recommend_items_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact search split into blocks around pivots, as large tables are."""
