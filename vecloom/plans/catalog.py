@@ -798,6 +798,35 @@ def layout_affinities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.affinities(item_vectors(spark, sf_dir)).select("source", "target", _rounded("p", 9))
 
 
+#: Puts the test vectors into a box far wider than one grid of the layout.
+WIDE_BOX = 400.0
+
+
+@query
+def layout_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact repulsion of points in a wide box, and whether the levels of grids come within their error of it."""
+    points = readers.read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("item_id"),
+        *[(F.get("embedding", F.lit(i)).cast("double") * WIDE_BOX).alias(c) for i, c in enumerate("xyz")],
+    )
+    exact, _ = L.repulsive_forces(points, exact=True)
+    levels, _ = L.repulsive_forces(points)
+    told = levels.select("item_id", *[F.col(f"r{c}").alias(f"l{c}") for c in "xyz"])
+    squares = lambda *values: sum((v * v for v in values[1:]), values[0] * values[0])
+    both = exact.join(told, "item_id").select(
+        "item_id",
+        *[F.col(f"r{c}") for c in "xyz"],
+        squares(*[F.col(f"r{c}") for c in "xyz"]).alias("square"),
+        squares(*[F.col(f"r{c}") - F.col(f"l{c}") for c in "xyz"]).alias("missed"),
+    )
+    mean = both.agg(F.avg("square").alias("mean_square"))
+    return both.crossJoin(F.broadcast(mean)).select(
+        "item_id",
+        *[F.round(F.col(f"r{c}") * 1e6, 1).alias(f"r{c}") for c in "xyz"],
+        (F.col("missed") <= L.LEVEL_ERROR**2 * (F.col("square") + F.col("mean_square"))).alias("within"),
+    )
+
+
 @query
 def layout_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.layout_3d(item_vectors(spark, sf_dir))

@@ -485,6 +485,15 @@ SELECT item_id, rank, neighbour_id, neighbour_title, round(sim, 6) AS similarity
     sql["lsh_recall"] = _with(VECTORS, _HYPERPLANES, f"exact AS ({_neighbours(True)})") + """
 SELECT count(*) AS wanted, count(n.item_id) AS found, count(n.item_id) / count(*) AS recall
 FROM exact e LEFT JOIN near n ON n.rank <= 5 AND e.item_id = n.item_id AND e.neighbour_id = n.neighbour_id"""
+    sql["layout_forces"] = """
+WITH points AS (
+  SELECT vec_id AS item_id, embedding[1]::DOUBLE * 400 AS x, embedding[2]::DOUBLE * 400 AS y,
+         embedding[3]::DOUBLE * 400 AS z FROM embeddings)
+SELECT a.item_id, round(sum(q2 * (a.x - b.x)) * 1e6, 1) AS rx, round(sum(q2 * (a.y - b.y)) * 1e6, 1) AS ry,
+       round(sum(q2 * (a.z - b.z)) * 1e6, 1) AS rz, true AS "within"
+FROM points a, points b,
+     LATERAL (SELECT (1 + (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) ** -2 AS q2) s
+GROUP BY a.item_id"""
     sql["recommend_items_ivf"] = sql["recommend_items_blocks"] = sql["recommend_items"]
     sql["cosine_pairs"] = _with(PLAIN) + """
 SELECT a.item_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
