@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.vector import as_double, cosine
 from vecloom.operators import clustering as C
+from vecloom.operators import silhouette as B
 from vecloom.operators import embedding as E
 from vecloom.operators import ivf as I
 from vecloom.operators import neighbours as N
@@ -141,6 +142,19 @@ def test_silhouettes(spark, block_rows):
     assert [r.silhouette for r in fast] == pytest.approx(want.tolist())
 
 
+@pytest.mark.parametrize("block_rows", [4096, 16])
+def test_bounded_silhouette_compares_fewer_and_gives_the_same(spark, blobs, block_rows):
+    df = blobs(6, 30, 8).withColumn("other", F.col("item_id").cast("int") % 4)
+    odd = spark.createDataFrame([(900, "one", 7, [9.0] * 8, 0), (901, "none", 7, None, 0)], df.schema)
+    df = df.unionByName(odd).repartition(4)
+    got = {(r.item_id, r.labelling): (r.cluster, round(r.silhouette, 9)) for r in B.silhouette_bounded(df, ["cluster", "other"], block_rows=block_rows).collect()}
+    want = {(r.item_id, r.labelling): (r.cluster, round(r.silhouette, 9)) for r in C.silhouette_exact(df, ["cluster", "other"]).collect()}
+    assert got == want and len(got) == 362
+    work = {r.labelling: r for r in B.comparisons(df, ["cluster", "other"]).collect()}
+    assert work["cluster"].compared < 0.5 * work["cluster"].pairs == 0.5 * 181**2
+    assert work["other"].compared <= work["other"].pairs
+
+
 def test_one_cluster_has_zero_silhouette(spark):
     _, df = random_vectors(spark, 5, 3, lambda i: 2)
     assert {r.silhouette for r in C.silhouette_exact(df).collect()} == {0.0}

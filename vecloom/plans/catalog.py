@@ -23,6 +23,7 @@ from vecloom.operators import profile as P
 from vecloom.operators import projection as V
 from vecloom.operators import quality as Q
 from vecloom.operators import relational as R
+from vecloom.operators import silhouette as B
 from vecloom.operators import stats as Z
 from vecloom.operators import vector_index as W
 from vecloom.plans.views import documents_as_items, first_line, item_vectors, items, labelled_ids
@@ -687,6 +688,24 @@ def silhouette_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def silhouette_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact silhouette, clusters that cannot decide it left out by bounds."""
+    return B.silhouette_bounded(_labelled_vectors(spark, sf_dir)).select("item_id", "cluster", _rounded("silhouette"))
+
+
+@query
+def silhouette_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances compared, those of all pairs, and the mean silhouette, for the eight octants of three dimensions."""
+    at = lambda i: F.get("embedding", F.lit(i))
+    octant = sum((F.when(at(i) > 0, 1 << i).otherwise(0) for i in (1, 2)), F.when(at(0) > 0, 1).otherwise(0))
+    vectors = readers.read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("item_id"), octant.alias("cluster"), F.slice("embedding", 1, 3).alias("embedding")
+    )
+    mean = B.silhouette_bounded(vectors).groupBy("labelling").agg(F.avg("silhouette").alias("silhouette"))
+    return B.comparisons(vectors).join(mean, "labelling").select("items", "compared", "pairs", _rounded("silhouette"))
+
+
 @query
 def silhouette_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.silhouette_fast(_labelled_vectors(spark, sf_dir)).select(
