@@ -26,10 +26,10 @@ from vecloom.operators import relational as R
 from vecloom.operators import silhouette as B
 from vecloom.operators import stats as Z
 from vecloom.operators import vector_index as W
-from vecloom.plans.views import documents_as_items, first_line, item_vectors, items, labelled_ids
+from vecloom.plans.views import documents_as_items, first_line, item_columns, item_vectors, items, labelled_ids
 from vecloom.session import cut_lineage, new_path
 from vecloom.sources import readers, writers
-from vecloom.streaming.refresh import refresh
+from vecloom.streaming.refresh import refresh, refresh_from_disk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -780,6 +780,17 @@ def incremental_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stream_model(spark: SparkSession, sf_dir: str):
+    """The vectoriser of the labelled documents, and the means of their vectors by the stored vectors' labels."""
+    known = E.embed_input(items(spark, sf_dir).filter(F.col("structured_summary").isNotNull()), "review")
+    model = E.fit_vectoriser(known)
+    clusters = readers.read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("item_id"), F.col("label").alias("cluster")
+    )
+    means = C.label_means(model.transform(known).select("item_id", "embedding").join(clusters, "item_id"))
+    return model, C.collect_centres(means)
+
+
 @query
 def stream_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unlabelled documents arrive as a stream, are embedded and get the nearest cluster mean.
@@ -787,28 +798,51 @@ def stream_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     The vectoriser and the means come from the labelled documents; the clusters of those
     are the labels of their stored vectors.
     """
-    documents = readers.read_table(spark, sf_dir, "documents")
-    known = E.embed_input(items(spark, sf_dir).filter(F.col("structured_summary").isNotNull()), "review")
-    model = E.fit_vectoriser(known)
-    clusters = readers.read_table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("item_id"), F.col("label").alias("cluster")
-    )
-    means = C.label_means(model.transform(known).select("item_id", "embedding").join(clusters, "item_id"))
+    model, centres = _stream_model(spark, sf_dir)
     output = new_path(spark, "assigned")
     refresh(
         spark,
         source=f"{sf_dir}/documents*.parquet",
-        schema=documents.schema,
+        schema=readers.read_table(spark, sf_dir, "documents").schema,
         prepare=documents_as_items,
         done=labelled_ids(spark, sf_dir),
         embed=lambda df: model.transform(df, "review"),
-        centres=C.collect_centres(means),
+        centres=centres,
         output=output,
         checkpoint=new_path(spark, "progress"),
     ).awaitTermination()
     return spark.read.schema("item_id long, title string, cluster int").parquet(output)
 
 
+@query
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a stream that stops, is started again from disk alone, and meets keys a second time."""
+    documents = readers.read_table(spark, sf_dir, "documents")
+    source, output, progress = (new_path(spark, name) for name in ("arriving", "assigned", "progress"))
+
+    def run(model=None) -> None:
+        refresh_from_disk(
+            spark,
+            source=source,
+            schema=documents.schema,
+            prepare=lambda df: df.select(*item_columns(), "arrived"),
+            done=labelled_ids(spark, sf_dir),
+            output=output,
+            checkpoint=progress,
+            model=model,
+            unique_within="30 days",
+        ).awaitTermination()
+
+    early = F.col("doc_id") % 2 == 0
+    documents.filter(early).write.parquet(source)
+    run(_stream_model(spark, sf_dir))
+    # Later files hold the other documents, and every third of all again.
+    documents.filter(~early | (F.col("doc_id") % 3 == 0)).write.mode("append").parquet(source)
+    documents.filter(F.col("doc_id") % 3 == 0).write.mode("append").parquet(source)
+    run()
+    return spark.read.schema("item_id long, title string, cluster int").parquet(output)
+
+
 # ---- layout ------------------------------------------------------------------------
 
 

@@ -574,6 +574,7 @@ dots AS (
 SELECT f.item_id, f.title, n.cluster
 FROM fresh f JOIN norms n ON true LEFT JOIN dots d ON d.item_id = f.item_id AND d.cluster = n.cluster
 QUALIFY row_number() OVER (PARTITION BY f.item_id ORDER BY n.norm - 2 * coalesce(d.dot, 0), n.cluster) = 1"""
+    sql["stream_restart"] = sql["stream_assign"]
     sql["layout_affinities"] = (
         "WITH RECURSIVE "
         + ",\n".join((VECTORS, _AFFINITIES))

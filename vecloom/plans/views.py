@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.sources.readers import read_table, spread
@@ -12,14 +12,18 @@ def first_line(text: str = "text"):
     return F.substring_index(F.col(text), "\n", 1)
 
 
-def documents_as_items(documents: DataFrame) -> DataFrame:
-    """A document is an item: its first line is the title, its whole text the review."""
-    return documents.select(
+def item_columns() -> list[Column]:
+    return [
         F.col("doc_id").alias("item_id"),
         first_line().alias("title"),
         F.col("source").alias("provider"),
         F.col("text").alias("review"),
-    )
+    ]
+
+
+def documents_as_items(documents: DataFrame) -> DataFrame:
+    """A document is an item: its first line is the title, its whole text the review."""
+    return documents.select(item_columns())
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
