@@ -27,9 +27,9 @@ SEQUENCE = 4096
 END_ID = 2
 GROUP_DOCS = 4096
 #: Words after which a task forgets those it has not seen lately.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Bytes of text whose words are looked up at a time.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: Words of letters that are encoded as one text.
 LINE_WORDS = 200
 #: ASCII punctuation: composes with nothing before it, and is never part of a word's letters.
