@@ -119,3 +119,11 @@ def test_text_that_all_articles_of_a_host_have_is_template(spark):
             assert found[10 + k] == "Story 1 of many words.\nAsk us, dear reader.\nEnd 1 of it."
             assert found[30 + k].endswith(f"Long text.\nVersion {k}")
         assert all("Ask us, dear reader." in found[20 + k] for k in range(2))
+
+
+def test_deep_pages_give_their_text(spark):
+    for opened in ("<font>", "<div>", "<b><div class=x>"):
+        deep = f"<article><p>top</p>{opened * 10_000}<p>one</p><script>var x;</script><nav>menu</nav><p>two <i>three</i></p>"
+        rows = [(1, "http://deep.example/1", deep), (2, "http://deep.example/2", deep.replace("two", "four"))]
+        found = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {(r.page_id, r.text) for r in found} == {(1, "top\none\ntwo three"), (2, "top\none\nfour three")}

@@ -91,6 +91,8 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?
 _DIGITS = re.compile(r"\d+")
 
 
+#: Elements inside one another that a page is read with; deeper ones are flattened.
+MAX_DEPTH = 200
 #: Class and id texts above this length appear in element names as a prefix and a digest.
 LONG_NAMES = 80
 
@@ -145,9 +147,14 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
 
 
 def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
-    """("in" | "out" | "void" | "text", path of open elements, text); open elements are closed as browsers do."""
+    """("in" | "out" | "void" | "text", path of open elements, text); open elements are closed as browsers do.
+
+    An element inside MAX_DEPTH others adds no level: its text is the innermost one's, and its ends are those of a
+    block if it is one. Only skipped elements still open there, so that their text is left out.
+    """
     stack: list[str] = []
     tags: list[str] = []
+    flat: list[str] = []
 
     def pop_to(depth: int) -> Iterator[tuple[str, tuple[str, ...], str]]:
         while len(tags) > depth:
@@ -172,9 +179,18 @@ def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
                     if tags[depth] in ends.split():
                         yield from pop_to(depth)
                         break
+            if len(tags) < MAX_DEPTH:
+                flat.clear()
+            elif len(tags) > MAX_DEPTH or not skipped(value, False):
+                flat.append(tag)
+                yield "void", (*stack, tag), ""
+                continue
             stack.append(value)
             tags.append(tag)
             yield "in", tuple(stack), ""
+        elif len(tags) >= MAX_DEPTH and value in flat:
+            del flat[len(flat) - 1 - flat[::-1].index(value) :]
+            yield "void", (*stack, value), ""
         elif value in tags:
             yield from pop_to(len(tags) - 1 - tags[::-1].index(value))
     yield from pop_to(0)
@@ -540,7 +556,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Null and empty pages give an empty text. Pages whose URL is null or has no host share one
     wrapper. A page without content gives an empty text. Broken markup is read as
     browsers do: unclosed elements end with what encloses them. Repeated pages are extracted
-    each and count once where pages of a host are compared. Other columns are not read. An empty table gives an empty result.
+    each and count once where pages of a host are compared. Elements nested deeper than MAX_DEPTH are read as part
+    of the one at that depth. Other columns are not read. An empty table gives an empty result.
     """
     wrappers = infer_wrappers(pages, url_col, html_col).select("host", "slots", "loose", "template")
     rows = pages.select(
