@@ -89,6 +89,10 @@ def test_rows_keep_their_columns(spark):
     assert left.schema == docs.schema
     expected = sorted([(i, kept) for i, _, _, kept in brute_lines(rows, 10, 1)], key=repr)
     assert sorted([(r.doc_id, r.text) for r in left.collect()], key=repr) == expected
+    clashing = docs.withColumnsRenamed({"kept": "_gone_lines", "keys": "_GONE_LINES_ID"})
+    again = drop_repeated_lines(clashing, min_docs=10)
+    assert again.schema == clashing.schema
+    assert sorted([(r.doc_id, r.text) for r in again.collect()], key=repr) == expected
     assert line_dedup(docs.limit(0)).count() == drop_repeated_lines(docs.limit(0)).count() == 0
 
 

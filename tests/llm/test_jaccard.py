@@ -141,6 +141,8 @@ def test_one_row_of_each_group_stays(spark):
     first = {i for i, _, c in brute_components(rows, 5, 4, 5) if i is not None and i == c}
     want = Counter({(i, t) for i, t in rows if i in first}) + Counter((i, t) for i, t in rows if i is None)
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+    clashing = keep_one_of_each_group(docs.withColumnRenamed("kept", "_first_id"), region_docs=30)
+    assert Counter((r.doc_id, r.text) for r in clashing.collect()) == want
     assert jaccard_components(docs.limit(0)).collect() == []
 
 

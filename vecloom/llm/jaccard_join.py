@@ -40,6 +40,7 @@ from vecloom.llm.packed import (
     arrow_rows,
     buckets_of,
     by_bucket,
+    free_name,
     id_and_text,
     joined,
     mix,
@@ -638,12 +639,13 @@ def keep_one_of_each_group(documents: DataFrame, id_col: str = "doc_id", text_co
 
     Repeated rows (equal id and text) come once; rows with a null id all stay.
     """
+    name = free_name(documents.columns, "_first_id")
     first = (
         jaccard_components(documents, id_col, text_col, **options)
         .filter("doc_id = component_id")
-        .select(F.col("doc_id").alias("_first_id"))
+        .select(F.col("doc_id").alias(name))
         .distinct()
     )
     own = F.col(f"`{id_col}`").cast("long")
-    kept = documents.join(first.hint("shuffle_hash"), own == F.col("_first_id"), "left_semi")
+    kept = documents.join(first.hint("shuffle_hash"), own == F.col(name), "left_semi")
     return kept.dropDuplicates([id_col, text_col]).union(documents.filter(own.isNull()))

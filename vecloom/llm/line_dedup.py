@@ -19,14 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.packed import WHITE, arrow_rows, as_bytes, id_and_text, replace_text, rows_of, small_slices
+from vecloom.llm.packed import WHITE, arrow_rows, as_bytes, free_name, id_and_text, replace_text, rows_of, small_slices
 from vecloom.session import new_path
 
 MIN_DOCS = 10
 BATCHES = 4
 FANOUT = 2
 KEY = ["hi", "lo"]
-GONE, GONE_ID = "_gone_lines", "_gone_lines_id"
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
 _RESULT = pa.schema(
@@ -81,14 +80,14 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield arrow_rows(_RESULT, out)
 
 
-def _drop_in_rows(text_col: str):
+def _drop_in_rows(text_col: str, gone_col: str, gone_id: str):
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches, text_col):
-            gone = batch.column(GONE).to_pylist()
+            gone = batch.column(gone_col).to_pylist()
             texts = [
                 b"\n".join(without_lines(text, g)[0]) for text, g in zip(as_bytes(batch.column(text_col)), gone, strict=True)
             ]
-            yield replace_text(batch, text_col, texts, drop=[GONE, GONE_ID])
+            yield replace_text(batch, text_col, texts, drop=[gone_col, gone_id])
 
     return drop
 
@@ -197,9 +196,10 @@ def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col:
     As ``line_dedup``; a null text becomes an empty one, and a text that loses all its lines stays
     as an empty one.
     """
+    gone_id, gone_col = (free_name(documents.columns, name) for name in ("_gone_lines_id", "_gone_lines"))
     gone = repeated_lines(id_and_text(documents, id_col, text_col), **options).withColumnsRenamed(
-        {"doc_id": GONE_ID, "gone": GONE}
+        {"doc_id": gone_id, "gone": gone_col}
     )
     return documents.join(
-        gone.hint("shuffle_hash"), F.col(f"`{id_col}`").cast("long") == F.col(GONE_ID), "left"
-    ).mapInArrow(_drop_in_rows(text_col), documents.schema)
+        gone.hint("shuffle_hash"), F.col(f"`{id_col}`").cast("long") == F.col(gone_id), "left"
+    ).mapInArrow(_drop_in_rows(text_col, gone_col, gone_id), documents.schema)

@@ -39,6 +39,14 @@ def id_and_text(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """The name, with underscores behind it until no column has it; Spark does not tell case apart."""
+    taken = {column.lower() for column in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(n))
