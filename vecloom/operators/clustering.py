@@ -52,51 +52,55 @@ def _unit_draw(ids: np.ndarray, seed: int, turn: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-_SEED_ROW = "seed int, v array<double>, gap double, draw double"
+_SEED_ROW = "seed int, v array<double>, gap double"
 
 
-def _seed_pass(vectors: DataFrame, found: Mapping[int, np.ndarray], turn: int, take) -> dict[int, list[tuple]]:
-    """One scan for all seeds: ``take(seed, ids, vectors, gaps, draws)`` picks rows of a batch.
+def _seed_pass(
+    vectors: DataFrame, found: Mapping[int, np.ndarray], turn: int, take
+) -> dict[int, tuple[float, np.ndarray | None]]:
+    """One scan for all seeds, all partitions at once: per seed the sum of the gaps and the vectors taken.
 
-    ``gaps`` are squared distances to the candidates found so far. Rows come back as
-    (vector, gap, draw); a row without a vector carries a task's sum of gaps.
+    ``take(seed, gaps, draws)`` picks rows of a batch; ``gaps`` are squared distances to the
+    candidates found so far. Spark adds up the tasks' sums, one row a seed; the rows taken
+    are a few times k.
     """
     shared = vectors.sparkSession.sparkContext.broadcast(dict(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[str, list] = {"seed": [], "v": [], "gap": [], "draw": []}
+        rows: dict[str, list] = {"seed": [], "v": [], "gap": []}
         total = dict.fromkeys(shared.value, 0.0)
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            width = len(batch.column(1)[0]) if len(ids) else 0
-            x = _matrix(batch.column(1), width) if len(ids) else np.zeros((0, 0))
+            if not len(ids):
+                continue
+            x = _matrix(batch.column(1), len(batch.column(1)[0]))
             for seed, centres in shared.value.items():
-                if not len(ids):
-                    continue
                 gap = _gaps(x, centres)
                 total[seed] += gap.sum()
-                draw = _unit_draw(ids, seed, turn)
-                for i in np.flatnonzero(take(seed, gap, draw)):
+                for i in np.flatnonzero(take(seed, gap, _unit_draw(ids, seed, turn))):
                     rows["seed"].append(seed)
                     rows["v"].append(x[i].tolist())
-                    rows["gap"].append(float(gap[i]))
-                    rows["draw"].append(float(draw[i]))
+                    rows["gap"].append(None)
         for seed, value in total.items():
             rows["seed"].append(seed)
             rows["v"].append(None)
             rows["gap"].append(value)
-            rows["draw"].append(0.0)
-        types = (pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64())
+        types = (pa.int32(), pa.list_(pa.float64()), pa.float64())
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(rows.values(), types, strict=True)], list(rows)
         )
 
-    picked: dict[int, list[tuple]] = {seed: [] for seed in found}
-    table = vectors.select("item_id", "v").mapInArrow(run, _SEED_ROW)
-    for row in table.toLocalIterator(prefetchPartitions=True):
-        picked[row["seed"]].append((row["v"], row["gap"], row["draw"]))
+    table = (
+        vectors.select("item_id", "v")
+        .mapInArrow(run, _SEED_ROW)
+        .groupBy("seed")
+        .agg(F.sum("gap").alias("gap"), F.collect_list("v").alias("v"))
+        .toArrow()
+    )
     shared.destroy()
-    return picked
+    taken = [np.array(v, dtype=np.float64) if v else None for v in table.column("v").to_pylist()]
+    sums = dict(zip(table.column("seed").to_pylist(), zip(table.column("gap").to_pylist(), taken, strict=True)))
+    return {seed: sums.get(seed, (0.0, None)) for seed in found}
 
 
 def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -111,7 +115,7 @@ def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def _spread(vectors: DataFrame, centres: Mapping[int, np.ndarray]) -> dict[int, float]:
     """Per seed the sum of squared distances to the nearest candidate."""
     rows = _seed_pass(vectors, centres, 0, lambda seed, gap, draw: np.zeros(len(gap), bool))
-    return {seed: sum(gap for _, gap, _ in own) for seed, own in rows.items()}
+    return {seed: gap for seed, (gap, _) in rows.items()}
 
 
 def _candidates(vectors: DataFrame, seeds: Sequence[int], k: int) -> dict[int, np.ndarray]:
@@ -133,10 +137,9 @@ def _candidates(vectors: DataFrame, seeds: Sequence[int], k: int) -> dict[int, n
             return centres
         scale = {s: 2.0 * k / spread[s] for s in open_seeds}
         drawn = _seed_pass(vectors, open_seeds, turn, lambda seed, gap, draw: draw < gap * scale[seed])
-        for seed, rows in drawn.items():
-            new = [v for v, _, _ in rows if v]
-            if new:
-                centres[seed] = np.unique(np.concatenate((centres[seed], np.array(new))), axis=0)
+        for seed, (_, new) in drawn.items():
+            if new is not None:
+                centres[seed] = np.unique(np.concatenate((centres[seed], new)), axis=0)
             if centres[seed].size > MAX_CENTRE_VALUES:
                 raise ValueError("too many centre values; use fewer clusters")
         spread |= _spread(vectors, {seed: centres[seed] for seed in open_seeds})
@@ -319,6 +322,23 @@ def fit_all(
     return best
 
 
+def refine_centres(
+    df: DataFrame, centres: Sequence[tuple[int, Sequence[float]]], passes: int, column: str = "embedding"
+) -> list[tuple[int, list[float]]]:
+    """Given centres after a fixed number of Lloyd passes, one scan each.
+
+    Items go to the nearest centre, equal distances to the first one given; a centre that
+    loses all its items stays where it is. Null vectors are left out.
+    """
+    model = Model(len(centres), 0, np.array([c for _, c in centres], dtype=np.float64))
+    vectors = df.filter(F.col(column).isNotNull()).select(as_double(F.col(column)).alias("v"))
+    for _ in range(passes):
+        size, total, _ = _lloyd_pass(vectors, [model])
+        moved = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], model.centres)
+        model = Model(model.k, 0, moved)
+    return [(label, [float(x) for x in c]) for (label, _), c in zip(centres, model.centres, strict=True)]
+
+
 def fit_kmeans(
     df: DataFrame, k: int, seed: int = SEED, starts: int = STARTS, column: str = "embedding"
 ) -> Model:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecloom.functions.text import (
     MIN_SUMMARISABLE_CHARS,
@@ -96,14 +97,20 @@ def aspect_summary(
     return out.withColumn(into, summary).drop("__s", "__t", "__used", "__best")
 
 
-def summarise_with(df: DataFrame, summarise: SummariseBatch, request_rows: int = REQUEST_ROWS) -> DataFrame:
-    """Summaries from a caller's function: (item_id, structured_summary, error).
+def summarise_with(
+    df: DataFrame, summarise: SummariseBatch, request_rows: int = REQUEST_ROWS, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Summaries from a caller's function: (item_id, structured_summary, error), and the columns ``keep``.
 
     The function gets up to ``request_rows`` pairs of title and review and answers each with a
     summary, None, or an exception. A row that failed has no summary and its error text; a
     request that fails as a whole fails its own rows. Other rows are unaffected.
     """
-    schema = "item_id long, structured_summary string, error string"
+    schema = T.StructType(
+        [T.StructField("item_id", T.LongType())]
+        + [T.StructField(name, T.StringType()) for name in ("structured_summary", "error")]
+        + [df.schema[name] for name in keep]
+    )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -124,9 +131,10 @@ def summarise_with(df: DataFrame, summarise: SummariseBatch, request_rows: int =
                         ],
                         "error": [f"{type(a).__name__}: {a}" if bad else None for a, bad in zip(answers, failed)],
                     }
+                    | {name: part[name].to_numpy() for name in keep}
                 )
 
-    return df.select("item_id", "title", "review").mapInPandas(run, schema)
+    return df.select(*dict.fromkeys(["item_id", "title", "review", *keep])).mapInPandas(run, schema)
 
 
 def result_status(results: DataFrame) -> DataFrame:

@@ -24,13 +24,18 @@ MAX_DOC_SHARE = 0.9
 
 
 def cluster_summary(df: DataFrame) -> DataFrame:
-    """Count, first and last title of each cluster; null titles do not count."""
+    """Count, first and last title of each cluster; null titles do not count.
+
+    Ids are grouped, two titles a cluster are fetched by them.
+    """
     named = F.when(F.col("title").isNotNull(), F.col("item_id"))
-    return df.groupBy("cluster").agg(
-        F.count("title").alias("count"),
-        F.min_by("title", named).alias("first"),
-        F.max_by("title", named).alias("last"),
+    ends = df.groupBy("cluster").agg(
+        F.count("title").alias("count"), F.min(named).alias("first_id"), F.max(named).alias("last_id")
     )
+    title = lambda at, into: df.select(F.col("item_id").alias(at), F.col("title").alias(into))
+    # The tables of ends are as small as the number of clusters; Spark broadcasts them once it has seen their size.
+    first = title("first_id", "first").join(ends, "first_id", "right")
+    return title("last_id", "last").join(first, "last_id", "right").select("cluster", "count", "first", "last")
 
 
 def cluster_distribution(df: DataFrame, decimals: int = 2) -> DataFrame:

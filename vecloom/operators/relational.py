@@ -48,18 +48,13 @@ def first_per_title(
 
 
 def attach_summary(df: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Look up (summary, provider) by title; the last row of a title wins."""
-    latest = (
-        summaries.filter(F.col("title").isNotNull())
-        .groupBy("title")
-        .agg(
-            F.max_by(F.struct("structured_summary", "provider"), "item_id").alias("found"),
-        )
-        .select(
-            "title",
-            F.col("found.structured_summary").alias("summary"),
-            F.col("found.provider").alias("summary_provider"),
-        )
+    """Look up (summary, provider) by title; the last row of a title wins.
+
+    Only titles and ids are grouped; the texts are fetched once, by their unique id.
+    """
+    last = summaries.filter(F.col("title").isNotNull()).groupBy("title").agg(F.max("item_id").alias("item_id"))
+    latest = summaries.join(last.select("item_id"), "item_id", "left_semi").select(
+        "title", F.col("structured_summary").alias("summary"), F.col("provider").alias("summary_provider")
     )
     return df.join(latest, "title", "left")
 
@@ -84,18 +79,41 @@ def merge_summaries(*sources: DataFrame) -> DataFrame:
     first summarised row.
     """
     columns = ["title", "review", "structured_summary"]
-    tagged = [
-        s.select(F.struct(F.lit(i).alias("source"), F.col("item_id").alias("row")).alias("at"), *columns)
-        for i, s in enumerate(sources)
-    ]
+    tagged = [s.select(F.lit(i).alias("source"), F.col("item_id").alias("row"), *columns) for i, s in enumerate(sources)]
     rows = reduce(DataFrame.unionByName, tagged).filter(F.col("title").isNotNull())
+    # Long columns only, so that they are hashed, not sorted; the texts are fetched by (source, row).
+    every = range(len(sources))
     summarised = F.col("structured_summary").isNotNull()
-    merged = rows.groupBy("title").agg(
-        F.coalesce(F.min_by("review", "at"), F.lit("")).alias("review"),
-        F.max_by("structured_summary", F.when(summarised, F.col("at"))).alias("structured_summary"),
-        F.min(F.when(summarised, F.col("at"))).alias("position"),
+    own = lambda i, *more: F.when(reduce(lambda a, b: a & b, more, F.col("source") == i), F.col("row"))
+    ends = rows.groupBy("title").agg(
+        *[F.min(own(i)).alias(f"any_{i}") for i in every],
+        *[F.min(own(i, summarised)).alias(f"first_{i}") for i in every],
+        *[F.max(own(i, summarised)).alias(f"last_{i}") for i in every],
+    )
+
+    def pick(name: str, order) -> Column:
+        found = [
+            F.when(F.col(f"{name}_{i}").isNotNull(), F.struct(F.lit(i).alias("source"), F.col(f"{name}_{i}").alias("row")))
+            for i in order
+        ]
+        return F.coalesce(*found)
+
+    at = ends.select(
+        "title", pick("first", every).alias("position"), pick("any", every).alias("r"), pick("last", reversed(every)).alias("s")
+    ).filter(F.col("position").isNotNull())
+    at_row = lambda name, text: rows.select(F.struct("source", "row").alias(name), text)
+    return (
+        at.join(at_row("r", "review"), "r")
+        .join(at_row("s", "structured_summary"), "s")
+        .select("title", F.coalesce("review", F.lit("")).alias("review"), "structured_summary", "position")
     )
-    return merged.filter(F.col("position").isNotNull())
+
+
+def content_digest(columns: list[str]) -> Column:
+    """SHA-256 of some text columns together; null counts as different from empty."""
+    lengths = [F.coalesce(F.length(c), F.lit(-1)).cast("string") for c in columns]
+    texts = [F.coalesce(F.col(c), F.lit("")) for c in columns]
+    return F.sha2(F.concat_ws("|", *lengths, *texts), 256)
 
 
 def enrich_distinct(
@@ -110,9 +128,7 @@ def enrich_distinct(
     moves long texts twice. ``enrich`` gets one representative row per content and must
     keep the digest column ``content``.
     """
-    lengths = [F.coalesce(F.length(c), F.lit(-1)).cast("string") for c in columns]
-    texts = [F.coalesce(F.col(c), F.lit("")) for c in columns]
-    keyed = df.withColumn("content", F.sha2(F.concat_ws("|", *lengths, *texts), 256))
+    keyed = df.withColumn("content", content_digest(columns))
     representatives = keyed.groupBy("content").agg(F.min(key).alias(key)).select(key)
     enriched = enrich(keyed.join(representatives, key, "left_semi"))
     added = [c for c in enriched.columns if c not in keyed.columns]

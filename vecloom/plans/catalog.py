@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from vecloom.operators import enrich as J
 from vecloom.operators import ivf as I
 from vecloom.operators import layout as L
 from vecloom.operators import lsh as H
+from vecloom.operators import memo as M
 from vecloom.operators import neighbours as N
 from vecloom.operators import ordering as O
 from vecloom.operators import profile as P
@@ -24,11 +26,14 @@ from vecloom.operators import projection as V
 from vecloom.operators import quality as Q
 from vecloom.operators import relational as R
 from vecloom.operators import silhouette as B
+from vecloom.operators import sketches as K
 from vecloom.operators import stats as Z
+from vecloom.operators import title_index as Y
 from vecloom.operators import vector_index as W
 from vecloom.plans.views import documents_as_items, first_line, item_columns, item_vectors, items, labelled_ids
 from vecloom.session import cut_lineage, new_path
 from vecloom.sources import readers, writers
+from vecloom.streaming import enrichment
 from vecloom.streaming.refresh import refresh, refresh_from_disk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -345,6 +350,16 @@ def item_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "title", "provider")
 
 
+@query
+def item_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search by a stored trigram table, built from half of the items and extended by the others."""
+    table, path = items(spark, sf_dir), new_path(spark, "titles")
+    even = F.col("item_id") % 2 == 0
+    Y.build_title_index(table.filter(even), path)
+    Y.build_title_index(table.filter(~even), path, mode="append")
+    return Y.search_titles(spark, path, "TION", provider="src3")
+
+
 # ---- joins and sets ----------------------------------------------------------------
 
 
@@ -409,6 +424,24 @@ def dedup_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.enrich_distinct(parts, ["title", "review"], words).select("item_id", "n_words")
 
 
+@query
+def memo_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries by a store that two runs share; ``asked_run`` is the run that had to ask for the content."""
+    table, path = items(spark, sf_dir), new_path(spark, "memo")
+    results = T.StructType(
+        [T.StructField("structured_summary", T.StringType()), T.StructField("asked_run", T.IntegerType())]
+    )
+
+    def run(rows: DataFrame, number: int) -> DataFrame:
+        def ask(df: DataFrame) -> DataFrame:
+            return J.aspect_summary(df, TEST_ASPECTS).withColumn("asked_run", F.lit(number))
+
+        return M.enrich_with_memo(rows.drop("structured_summary"), ["title", "review"], ask, results, path)
+
+    run(table.filter(F.col("item_id") % 2 == 0), 1)
+    return run(table, 2).select("item_id", "structured_summary", "asked_run")
+
+
 @query
 def combine_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled items are embedded already; other titles are embedded now, with the same model."""
@@ -455,6 +488,50 @@ def embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("dim", "count", *[_rounded(c) for c in stats.columns[2:]])
 
 
+@query
+def quantile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles from the merged sketches of two halves, and whether their ranks are within the error."""
+    vectors = readers.read_table(spark, sf_dir, "embeddings")
+    halves = [K.quantile_sketches(vectors.filter(F.col("vec_id") % 2 == half)) for half in (0, 1)]
+    found = K.sketched_quantiles(cut_lineage(K.merge_quantile_sketches(*halves), "sketches"))
+    ranked = K.rank_of(vectors, found)
+    close = (F.col("below") - K.RANK_ERROR <= F.col("share")) & (F.col("share") <= F.col("upto") + K.RANK_ERROR)
+    return ranked.select("dim", "count", "share", close.alias("close"))
+
+
+@query
+def key_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct, lost and added keys between two runs, exact, and whether their stored sketches come close."""
+    docs = readers.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"))
+    vectors = readers.read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"))
+    runs = [
+        [("items", labelled_ids(spark, sf_dir)), ("vectors", vectors.filter(F.col("item_id") % 3 != 0))],
+        [("items", docs), ("vectors", vectors.filter(F.col("item_id") % 3 != 1))],
+    ]
+    before, after = (cut_lineage(K.key_sketches(run), "keys") for run in runs)
+    close = K.compare_key_sketches(before, after)
+    names = ("before", "after", "lost", "added")
+    audits = []
+    for (stage, old), (_, new) in zip(*runs, strict=True):
+        audit = Q.consistency_audit([("before", old, None), ("after", new, None)])
+        audits.append(
+            audit.agg(
+                F.lit(stage).alias("stage"),
+                F.max(F.when(F.col("position") == 0, F.col("distinct_keys"))).alias("before"),
+                F.max(F.when(F.col("position") == 1, F.col("distinct_keys"))).alias("after"),
+                F.max("keys_lost").alias("lost"),
+                F.max("keys_added").alias("added"),
+            )
+        )
+    exact = audits[0].unionByName(audits[1])
+    near = [F.abs(F.col(f"e.{n}") - F.col(f"s.{n}")) <= K.KEY_ERROR * F.col("s.either") for n in names]
+    return (
+        exact.alias("e")
+        .join(close.alias("s"), "stage")
+        .select("stage", *[f"e.{n}" for n in names], (near[0] & near[1] & near[2] & near[3]).alias("close"))
+    )
+
+
 @query
 def consistency_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = item_vectors(spark, sf_dir)
@@ -638,6 +715,16 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def search_query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best items for every vector of the table read backwards."""
+    vectors = item_vectors(spark, sf_dir).select("item_id", "title", "embedding")
+    asked = readers.read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("query_id"), F.reverse("embedding").alias("embedding")
+    )
+    return N.search_table(vectors, asked).select("query_id", "rank", "item_id", "title", _rounded("similarity"))
+
+
 @query
 def standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = readers.read_table(spark, sf_dir, "embeddings").select(
@@ -719,6 +806,22 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("item_id", "cluster", "distance")
 
 
+@query
+def kmeans_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres after three passes from given starts: the five vectors of lowest id."""
+    vectors = _labelled_vectors(spark, sf_dir)
+    first = vectors.orderBy("item_id").limit(5).collect()
+    starts = [(i, r["embedding"]) for i, r in enumerate(first)]
+    centres = C.refine_centres(vectors, starts, passes=3)
+    moved = spark.createDataFrame(centres, "cluster int, centre array<double>")
+    sizes = C.assign_nearest(vectors, centres).groupBy("cluster").agg(F.count(F.lit(1)).alias("count"))
+    return (
+        moved.join(sizes, "cluster", "left")
+        .select("cluster", F.coalesce("count", F.lit(0)).alias("count"), F.posexplode("centre").alias("dim", "value"))
+        .select("cluster", "count", "dim", _rounded("value"))
+    )
+
+
 @query
 def select_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.select_k(_labelled_vectors(spark, sf_dir), metric="euclidean")
@@ -745,6 +848,20 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("item_id", "dim", _rounded("value", 4)).filter("value IS NULL OR value != 0")
 
 
+def _measure(texts: list[str]) -> list[list[float]]:
+    """Stand-in for a caller's model: length, blanks and sentence ends; refuses some texts."""
+    if any(len(t) % 11 == 0 for t in texts):
+        raise ValueError("text refused")
+    return [[len(t), t.count(" "), t.count(".")] for t in texts]
+
+
+@query
+def embed_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors from a caller's function, one text a request; a refused request has no vector but its error."""
+    found = E.embed_with(E.embed_input(items(spark, sf_dir), "review"), _measure, request_rows=1)
+    return found.select("item_id", "error", F.posexplode_outer(as_double(F.col("embedding"))).alias("dim", "value"))
+
+
 @query
 def aspect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.aspect_summary(items(spark, sf_dir), TEST_ASPECTS).select("item_id", "structured_summary")
@@ -780,6 +897,56 @@ def incremental_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _moody_reviewer(reviews: list[tuple[str, str]]) -> list[str | Exception | None]:
+    """Stand-in for a caller's model: fails on some lengths and declines others."""
+    kind = [len(review) % 7 for _, review in reviews]
+    return [ValueError("try again") if k == 0 else None if k == 1 else t for k, (t, _) in zip(kind, reviews, strict=True)]
+
+
+@query
+def stream_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in three lots, some a second time; the middle lot's batch breaks off and is repeated."""
+    documents = readers.read_table(spark, sf_dir, "documents")
+    source, output, progress = (new_path(spark, name) for name in ("arriving", "outcomes", "progress"))
+    broken: list[int] = []
+
+    def break_once(batch: int) -> None:
+        if batch == 1 and not broken:
+            broken.append(batch)
+            raise RuntimeError("the driver is lost before the batch is committed")
+
+    def run() -> None:
+        enrichment.enrich_stream(
+            spark,
+            source,
+            documents.schema,
+            lambda df: df.select(*item_columns()),
+            _moody_reviewer,
+            output,
+            progress,
+            after_batch=break_once,
+        ).awaitTermination()
+
+    lot = F.col("doc_id") % 3
+    for number in range(3):
+        arriving = documents.filter((lot == number) | ((lot < number) & (F.col("doc_id") % 10 == 0)))
+        arriving.write.mode("append").parquet(source)
+        try:
+            run()
+        except StreamingQueryException:
+            run()
+    done = enrichment.enriched(spark, output).select(
+        "item_id",
+        F.when(F.col("structured_summary").isNull(), "skipped").otherwise("completed").alias("status"),
+        "structured_summary",
+        "attempt",
+    )
+    failed = enrichment.rejects(spark, output).select(
+        "item_id", F.when(F.col("final"), "failed").otherwise("open").alias("status"), "attempt"
+    )
+    return done.unionByName(failed, allowMissingColumns=True)
+
+
 def _stream_model(spark: SparkSession, sf_dir: str):
     """The vectoriser of the labelled documents, and the means of their vectors by the stored vectors' labels."""
     known = E.embed_input(items(spark, sf_dir).filter(F.col("structured_summary").isNotNull()), "review")

@@ -350,6 +350,8 @@ SELECT item_id, title FROM items LEFT JOIN embeddings ON vec_id = item_id WHERE
 SELECT item_id, title, provider FROM items
 WHERE provider = 'src3' AND contains(lower(title), 'tion')"""
 
+    sql["item_search_index"] = sql["item_search"]
+
     # joins and sets
     sql["new_items_anti"] = _with(ITEMS, VECTORS) + f"""
 SELECT min(item_id) AS item_id, title FROM items i
@@ -386,6 +388,9 @@ SELECT item_id, title, provider, cluster, len(v)::INTEGER AS dimensions, round(v
     sql["dedup_enrich"] = f"""
 SELECT p_partkey AS item_id,
   len(regexp_extract_all(lower(p_name || ' ' || p_brand), {TOKENS}))::INTEGER AS n_words FROM part"""
+    sql["memo_rerun"] = _with(ITEMS, *_aspect_ctes("items", TEST_ASPECTS)) + """
+SELECT item_id, s.structured_summary, CASE WHEN review IN (SELECT review FROM items WHERE item_id % 2 = 0)
+  THEN 1 ELSE 2 END::INTEGER AS asked_run FROM items JOIN summaries s USING (item_id)"""
     sql["combine_embeddings"] = _with(ITEMS, *_embedding("items", "structured_summary IS NOT NULL")) + f"""
 , fresh AS (
   SELECT * FROM items WHERE structured_summary IS NULL AND {_NOT_BLANK_TITLE} AND {_NOT_BLANK_REVIEW}
@@ -423,6 +428,18 @@ FROM embeddings GROUP BY label"""
 SELECT position::INTEGER AS position, stage, n_rows, n_valid, distinct_keys,
   keys_lost::BIGINT AS keys_lost, keys_added::BIGINT AS keys_added,
   coalesce(lag(n_rows) OVER (ORDER BY position) <> n_rows, FALSE) AS mismatch FROM stages"""
+    sql["quantile_sketches"] = _with(PLAIN, CELLS) + """
+SELECT dim, count(*) AS count, share, TRUE AS close
+FROM cells, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) t(share) GROUP BY dim, share"""
+    sql["key_sketches"] = """
+WITH runs AS (
+  SELECT 'items' AS stage, doc_id AS k, TRUE AS old FROM labels UNION SELECT 'items', doc_id, FALSE FROM documents
+  UNION SELECT 'vectors', vec_id, TRUE FROM embeddings WHERE vec_id % 3 <> 0
+  UNION SELECT 'vectors', vec_id, FALSE FROM embeddings WHERE vec_id % 3 <> 1),
+keys AS (SELECT stage, k, bool_or(old) AS was, bool_or(NOT old) AS now FROM runs GROUP BY stage, k)
+SELECT stage, count(*) FILTER (was) AS before, count(*) FILTER (now) AS after,
+  count(*) FILTER (was AND NOT now) AS lost, count(*) FILTER (now AND NOT was) AS added, TRUE AS close
+FROM keys GROUP BY stage"""
     sql["title_audit"] = _with(VECTORS) + """
 SELECT count(*) AS n_rows, count(DISTINCT coalesce(title, '')) AS distinct_titles,
   count(DISTINCT coalesce(cluster, -1)) AS distinct_clusters FROM vecs"""
@@ -503,6 +520,12 @@ SELECT query_id, rank, item_id, title, round(sim, 6) AS similarity FROM (
   SELECT q.cluster::BIGINT AS query_id, x.item_id, x.title, s.sim, row_number() OVER (PARTITION BY q.cluster
     ORDER BY round(s.sim, 9) DESC, x.title DESC, x.item_id)::INTEGER AS rank
   FROM centres q, vecs x, LATERAL (SELECT list_cosine_similarity(q.c, x.v) AS sim) s) WHERE rank <= 10"""
+    sql["search_query_table"] = _with(VECTORS) + """
+SELECT query_id, rank, item_id, title, round(sim, 6) AS similarity FROM (
+  SELECT q.vec_id AS query_id, x.item_id, x.title, s.sim, row_number() OVER (PARTITION BY q.vec_id
+    ORDER BY round(s.sim, 9) DESC, x.title DESC, x.item_id)::INTEGER AS rank
+  FROM embeddings q, vecs x,
+    LATERAL (SELECT list_cosine_similarity(list_reverse(q.embedding::DOUBLE[]), x.v) AS sim) s) WHERE rank <= 10"""
     sql["standardise"] = _with(PLAIN, CELLS) + """
 SELECT item_id, dim, round(CASE WHEN stddev_pop(value) OVER (PARTITION BY dim) > 0
   THEN (value - avg(value) OVER (PARTITION BY dim)) / stddev_pop(value) OVER (PARTITION BY dim)
@@ -544,7 +567,35 @@ SELECT (SELECT count(*) FROM vecs) AS items, sum(n)::BIGINT AS compared, (SELECT
 FROM needed WHERE cluster = target OR low <= best * (1 + 1e-9) + 1e-9"""
     sql["silhouette_fast"] = _silhouette("list_distance(a.v, b.v) ** 2")
 
+    steps = ["s0 AS (SELECT (row_number() OVER (ORDER BY item_id) - 1)::INTEGER AS cluster, v AS c FROM vecs "
+             "ORDER BY item_id LIMIT 5)"]
+    for i in range(4):
+        steps.append(
+            f"""a{i} AS (SELECT x.item_id, s.cluster FROM vecs x, s{i} s
+  QUALIFY row_number() OVER (PARTITION BY x.item_id ORDER BY list_distance(x.v, s.c), s.cluster) = 1)"""
+        )
+        steps.append(
+            f"""s{i + 1} AS (SELECT cluster, coalesce(list(m ORDER BY dim) FILTER (m IS NOT NULL), any_value(c)) AS c FROM s{i}
+  LEFT JOIN (SELECT a.cluster, dim, avg(value) AS m FROM a{i} a JOIN cells USING (item_id) GROUP BY ALL) USING (cluster)
+  GROUP BY cluster)"""
+        )
+    sql["kmeans_steps"] = _with(PLAIN, CELLS, *steps) + """
+SELECT cluster, (SELECT count(*) FROM a3 WHERE a3.cluster = s3.cluster) AS count,
+  (generate_subscripts(c, 1) - 1)::INTEGER AS dim, round(unnest(c), 6) AS value FROM s3"""
+
     # enrichment and streaming
+    sql["embed_external"] = f"""
+WITH t AS (SELECT doc_id AS item_id, text, length(text) % 11 = 0 AS bad FROM documents
+           WHERE length(trim(text, {STRIP})) > 0)
+SELECT item_id, 'ValueError: text refused' AS error, NULL::INTEGER AS dim, NULL::DOUBLE AS value FROM t WHERE bad
+UNION ALL SELECT item_id, NULL, d::INTEGER, CASE d WHEN 0 THEN length(text)
+  WHEN 1 THEN length(text) - length(replace(text, ' ', '')) ELSE length(text) - length(replace(text, '.', '')) END::DOUBLE
+FROM t, (VALUES (0), (1), (2)) dims(d) WHERE NOT bad"""
+    sql["stream_enrichment"] = _with(ITEMS) + """
+SELECT item_id, CASE length(review) % 7 WHEN 0 THEN CASE item_id % 3 WHEN 0 THEN 'failed' ELSE 'open' END
+    WHEN 1 THEN 'skipped' ELSE 'completed' END AS status,
+  CASE WHEN length(review) % 7 > 1 THEN trim(title) END AS structured_summary,
+  CASE length(review) % 7 WHEN 0 THEN 3 - item_id % 3 ELSE 1 END::INTEGER AS attempt FROM items"""
     sql["aspect_summary"] = (
         _with(ITEMS, *_aspect_ctes("items", TEST_ASPECTS))
         + "SELECT item_id, structured_summary FROM summaries"
