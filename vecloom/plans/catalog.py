@@ -1033,17 +1033,20 @@ def layout_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels, _ = L.repulsive_forces(points)
     told = levels.select("item_id", *[F.col(f"r{c}").alias(f"l{c}") for c in "xyz"])
     squares = lambda *values: sum((v * v for v in values[1:]), values[0] * values[0])
-    both = exact.join(told, "item_id").select(
-        "item_id",
-        *[F.col(f"r{c}") for c in "xyz"],
-        squares(*[F.col(f"r{c}") for c in "xyz"]).alias("square"),
-        squares(*[F.col(f"r{c}") - F.col(f"l{c}") for c in "xyz"]).alias("missed"),
+    both = cut_lineage(
+        exact.join(told, "item_id").select(
+            "item_id",
+            *[F.col(f"r{c}") for c in "xyz"],
+            squares(*[F.col(f"r{c}") for c in "xyz"]).alias("square"),
+            squares(*[F.col(f"r{c}") - F.col(f"l{c}") for c in "xyz"]).alias("missed"),
+        ),
+        "forces",
     )
-    mean = both.agg(F.avg("square").alias("mean_square"))
-    return both.crossJoin(F.broadcast(mean)).select(
+    mean = F.lit(both.agg(F.avg("square")).first()[0])
+    return both.select(
         "item_id",
         *[F.round(F.col(f"r{c}") * 1e6, 1).alias(f"r{c}") for c in "xyz"],
-        (F.col("missed") <= L.LEVEL_ERROR**2 * (F.col("square") + F.col("mean_square"))).alias("within"),
+        (F.col("missed") <= L.LEVEL_ERROR**2 * (F.col("square") + mean)).alias("within"),
     )
 
 
