@@ -36,9 +36,9 @@ def build_title_index(df: DataFrame, path: str, mode: str = "errorifexists") ->
     """
     postings, titles = _paths(path)
     rows = df.select("item_id", "title", "provider").withColumn("bucket", _bucket(F.col("item_id")))
-    rows.repartition("bucket", F.pmod(F.col("item_id"), F.lit(16))).sortWithinPartitions("bucket", "item_id").write.mode(
-        mode
-    ).partitionBy("bucket").parquet(titles)
+    rows.repartitionByRange("bucket", "item_id").sortWithinPartitions("bucket", "item_id").write.mode(mode).partitionBy(
+        "bucket"
+    ).parquet(titles)
     listed = df.filter(F.col("title").isNotNull()).select(F.explode(grams(F.col("title"))).alias("gram"), "item_id")
     # Dealt by ranges of (gram, id): a gram that very many titles hold fills several tasks.
     listed.withColumn("bucket", _bucket(F.col("gram"))).repartitionByRange("bucket", "gram", "item_id").sortWithinPartitions(
