@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from tests.llm.cases import awkward_texts, prose, table
-from vecloom.llm.toxicity import Triples, fit_toxicity, fold, spelled_out, toxicity_scores, windows
+from vecloom.llm.toxicity import Triples, fit_toxicity, fold, readings, short_pairs, spelled_out, toxicity_scores, windows
 
 INSULTS = ["grumblefool", "snotwizard", "bleakhead"]
 
@@ -54,7 +54,13 @@ def test_kernel_against_brute_force():
 def test_folding():
     assert fold(b"!D1RTY") == "dirty" and fold("Été,".encode()) == "ete" and fold("Straße".encode()) == "strase"
     assert fold(b"w5074") == "w5074" and fold(b"1337") == "1337"
+    assert fold(b"1d107") == "idiot" and fold(b"7r4$h") == "trash" and fold(b"4$$h0l3") == "asshole"
     assert spelled_out(b"you i d i o t now a b".split()) == [b"idiot"]
+    assert spelled_out(b"shall i. d. \xc3\xad. o. t. shall".split()) == ["i.d.í.o.t.".encode()]
+    assert short_pairs(b"shall id iot shall".split()) == [b"idiot"]
+    assert spelled_out([]) == short_pairs([]) == short_pairs([b"id"]) == []
+    assert "idiot" in readings(b"i.d-i_o.t") and "idiot" in readings(b"iiddiioott") and "idiot" in readings(b"idiiiiot")
+    assert readings(b"letter") == ["letter"] and readings(b"2024") == ["2024"]
     assert windows("abc") == ["abc"] and "".join(w[:8] for w in windows("x" * 40)) == "x" * 32
 
 
@@ -87,3 +93,39 @@ def test_awkward_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity_scores(docs, none).collect()} == {0}
     assert toxicity_scores(docs.limit(0), none).collect() == []
+
+
+VARIANTS = {
+    "dots": lambda w: ".".join(w),
+    "doubled": lambda w: "".join(c + c for c in w),
+    "digits": lambda w: w.translate(str.maketrans("oieast", "013457")),
+    "inserted": lambda w: w[: len(w) // 2] + "x" + w[len(w) // 2 :],
+    "spelled": lambda w: ". ".join(w) + ".",
+    "split": lambda w: w[: len(w) // 2] + " " + w[len(w) // 2 :],
+}
+
+
+def test_variants_of_insults_never_seen(spark):
+    """Insults are learned plain; every written variant is found, clean texts of the same make are not."""
+    insults = ["grumbol", "snatok", "blodik"]
+    draw = random.Random(4)
+    syllables = ["ha", "ver", "mi", "tun", "pel", "lu", "cor", "ne", "fi", "waz"]
+    vocabulary = ["".join(draw.choices(syllables, k=draw.randrange(1, 5))) for _ in range(400)]
+    prose = lambda draw, n: " ".join(draw.choices(vocabulary, k=n))
+    rows, labels = [], []
+    for i in range(600):
+        words = prose(draw, 60).split()
+        if i % 6 == 0:
+            words.insert(draw.randrange(len(words)), draw.choice(insults))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 6 == 0)))
+    model = fit_toxicity(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    clean = [prose(draw, 60) for _ in range(60)]
+    texts = {(w, name): f"{clean[0]} {make(w)} {clean[1]}" for w in insults for name, make in VARIANTS.items()}
+    found = {r.doc_id: r.score for r in model.transform(table(spark, list(enumerate([*texts.values(), *clean])))).collect()}
+    low = {key: found[k] for k, key in enumerate(texts) if found[k] < 0.5}
+    assert not low, low
+    assert all(found[len(texts) + k] < 0.5 for k in range(len(clean)))
+    plain = [" ".join(make(w) for w in text.split()) for text in clean[:20] for make in (VARIANTS["dots"], VARIANTS["doubled"], VARIANTS["digits"])]
+    scores = [r.score for r in model.transform(table(spark, list(enumerate(plain)))).collect()]
+    assert sum(s < 0.5 for s in scores) >= 0.95 * len(scores), sorted(scores)[-10:]

@@ -2,14 +2,17 @@
 
 The kernel counts common subsequences of three letters, damped by the span they stretch
 over (at most ``SPAN`` characters), so gapped and inserted characters lower it only a
-little. It compares *windows*: the words of a sentence, runs of single letters joined, long
-words cut. Letters are folded first (case, accents, digits written for letters); any other
-character only stretches spans.
+little. It compares *windows*: the words of a sentence, adjacent short pieces and runs of
+single letters joined, long words cut. Letters are folded first (case, accents, digits
+written for letters); any other character only stretches spans. A word with characters put
+between or in front of its letters, or with its letters repeated, is compared a second time
+without them.
 
 Labelled sentences give the windows to learn from: those that sentences of toxic documents
 have far more often, against those of clean documents. Landmark windows span the Nyström
-space, the machine is trained in it, and one round of hard negatives (the windows of clean
-sentences it likes best) and missed positives follows. Because the kernel has an explicit
+space, the machine is trained in it, and two rounds of hard negatives (the windows of clean
+sentences it likes best) and missed positives (the best windows that several missed documents
+share) follow. Because the kernel has an explicit
 space of letter triples, the trained machine folds into one weight per triple: a window
 costs a few dozen look-ups, a document the largest margin among its windows, and a logistic
 curve fitted on training documents turns that into a score.
@@ -45,19 +48,49 @@ NO_WINDOW = -3.0
 #: Characters that are written for letters.
 WRITTEN_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "ß": "s"}
 _SENTENCE = re.compile(rb"[.!?]+[\s]+|\n")
+_OUTER = ".,;:!?\"'()[]{}<>*#%&$-_~"
+_REPEATED = re.compile(r"(.)\1+")
+#: Adjacent words of at most so many bytes are also compared joined.
+PIECE_BYTES = 4
 _OFFSETS = [(i, j) for i in range(1, SPAN - 1) for j in range(1, SPAN - i)]
 
 
 def fold(word: bytes) -> str:
     """Lower case, without accents, outer punctuation stripped; digits read as letters.
 
-    Digits are read so only in a word that has as many letters at least: numbers stay numbers.
+    Digits are read so in a word that has as many letters at least, or whose letters and
+    digits alternate: "1d107" is read, numbers and names such as "w5074" stay as they are.
     """
     text = unicodedata.normalize("NFKD", word.decode("utf-8", "replace").lower())
-    text = "".join(c for c in text if not unicodedata.combining(c))
-    if 0 < sum(c in WRITTEN_FOR for c in text) <= sum(c.isalpha() for c in text):
-        text = "".join(WRITTEN_FOR.get(c, c) for c in text)
-    return text.strip(".,;:!?\"'()[]{}<>*#%&$-_~")
+    if not (text.isascii() and text.isalpha()):
+        text = "".join(c for c in text if not unicodedata.combining(c))
+        kinds = [c in WRITTEN_FOR for c in text if c in WRITTEN_FOR or c.isalpha()]
+        written = sum(kinds)
+        if 0 < written < len(kinds) and (
+            2 * written <= len(kinds) or sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)) > 1
+        ):
+            text = "".join(WRITTEN_FOR.get(c, c) for c in text)
+    return text.strip(_OUTER)
+
+
+def readings(word: bytes) -> list[str]:
+    """The folded word; its letters alone if there is more in it; repeated letters as one.
+
+    Letters count as repeated on purpose if one stands three times in a row or half of them
+    at least are repeated; "committee" with three of six is read both ways.
+    """
+    text = fold(word)
+    found = [text]
+    if not text.isalpha():
+        text = "".join(filter(str.isalpha, text))
+        if len(text) > 2:
+            found.append(text)
+    runs = _REPEATED.findall(text)
+    if runs:
+        once = _REPEATED.sub(r"\1", text)
+        if len(once) > 2 and (2 * len(runs) >= len(once) or any(c * 3 in text for c in runs)):
+            found.append(once)
+    return found
 
 
 def windows(word: str) -> list[str]:
@@ -67,11 +100,37 @@ def windows(word: str) -> list[str]:
     return [word[at : at + LENGTH] for at in range(0, len(word) - LENGTH // 2, LENGTH // 2)]
 
 
+def word_windows(word: bytes) -> list[str]:
+    """All windows of a word of bytes."""
+    return [window for reading in readings(word) for window in windows(reading)]
+
+
+def _runs(mask: np.ndarray) -> np.ndarray:
+    """(start, end) of the runs of true values."""
+    return np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).reshape(-1, 2)
+
+
 def spelled_out(words: list[bytes]) -> list[bytes]:
-    """Runs of three and more single characters, as in "i d i o t", joined."""
-    single = np.fromiter(map(len, words), np.int64, len(words)) <= 1
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], single.view(np.int8), [0])))).reshape(-1, 2)
-    return [b"".join(words[a:b]) for a, b in edges if b - a >= 3]
+    """Runs of three and more single letters, accented or with punctuation, as in "i d i o t", joined."""
+    joined = []
+    for a, b in _runs(np.fromiter(map(len, words), np.int64, len(words)) <= 3):
+        if b - a >= 3:
+            single = np.fromiter((len(fold(w)) <= 1 for w in words[a:b]), bool, b - a)
+            joined += [b"".join(words[a + i : a + j]) for i, j in _runs(single) if j - i >= 3]
+    return joined
+
+
+def short_pairs(words: list[bytes]) -> list[bytes]:
+    """Adjacent words of at most ``PIECE_BYTES`` bytes, four at least together, joined ("id iot")."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    short = sizes <= PIECE_BYTES
+    pairs = np.flatnonzero(short[:-1] & short[1:] & (sizes[:-1] + sizes[1:] >= 4))
+    return [words[i] + words[i + 1] for i in pairs.tolist()]
+
+
+def compared(words: list[bytes]) -> set[bytes]:
+    """What is compared of a text: its words and its joined pieces."""
+    return {*words, *spelled_out(words), *short_pairs(words)}
 
 
 class Triples:
@@ -164,7 +223,7 @@ class DocumentMargins:
             part = todo[start : start + 10_000]
             texts, owner = [], []
             for number, word in enumerate(part):
-                for window in windows(fold(word)):
+                for window in word_windows(word):
                     texts.append(window)
                     owner.append(number)
             best = np.full(len(part), NO_WINDOW)
@@ -174,7 +233,7 @@ class DocumentMargins:
 
     def of(self, texts: list[bytes]) -> list[float]:
         split = [text.split() for text in texts]
-        each = [set(words).union(spelled_out(words)) for words in split]
+        each = [compared(words) for words in split]
         known = self.known(set().union(*each))
         return [max(map(known.__getitem__, words), default=NO_WINDOW) for words in each]
 
@@ -201,9 +260,9 @@ def _window_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for sentence in _SENTENCE.split(text or b""):
                 words = sentence.split()
                 found = set()
-                for word in {*words, *spelled_out(words)}:
+                for word in compared(words):
                     if word not in folded:
-                        folded[word] = [w for w in windows(fold(word)) if len(w) > 2]
+                        folded[word] = [w for w in word_windows(word) if len(w) > 2]
                     found.update(folded[word])
                 counts[1 - toxic].update(found)
         yield arrow_rows(schema, [(w, counts[0][w], counts[1][w]) for w in {*counts[0], *counts[1]}])
@@ -218,11 +277,11 @@ def _best_windows(machine: Machine):
         for rows in _chunks(batches):
             out = []
             split = [text.split() if text else [] for _, text, _ in rows]
-            each = [set(words).union(spelled_out(words)) for words in split]
+            each = [compared(words) for words in split]
             known = margins.known(set().union(*each))
             for (doc_id, _, toxic), words in zip(rows, each, strict=True):
                 top = max(words, key=lambda w: (known[w], w), default=b"")
-                parts = windows(fold(top))
+                parts = word_windows(top)
                 window = parts[int(np.argmax(machine.margins(parts)))]
                 out.append((window, int(toxic), known.get(top, NO_WINDOW), doc_id))
             yield arrow_rows(schema, out)
@@ -389,6 +448,11 @@ def fit_toxicity(
         for row in hard.orderBy(F.desc("n"), "window").limit(1500).collect():
             if row.window not in positive:
                 negatives[row.window] = negatives.get(row.window, 0.0) + 2.0 + row.n**0.5
+        # Missed toxic documents: what two of them at least have in common, and no clean sentence has.
+        missed = best.filter("toxic = 1 and margin < 0").groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        missed = missed.join(counts.filter("clean = 0").select("window"), "window")
+        for row in missed.orderBy(F.desc("n"), "window").limit(1500).collect():
+            positive.setdefault(row.window, float(row.n))
         machine = train_machine(positive, negatives, landmarks)
     pairs = docs.mapInArrow(_best_windows(machine), columns).select("margin", "toxic").toPandas()
     return ToxicityModel(machine, *_curve(pairs["margin"].to_numpy(), pairs["toxic"].to_numpy()))
