@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from tests.llm.cases import awkward_texts, prose, table
-from vecloom.llm.toxicity import Triples, fit_toxicity, fold, readings, short_pairs, spelled_out, toxicity_scores, windows
+from vecloom.llm.toxicity import Ordinary, Triples, fit_toxicity, fold, readings, short_pairs, spelled_out, toxicity_scores, windows
 
 INSULTS = ["grumblefool", "snotwizard", "bleakhead"]
 
@@ -57,8 +57,9 @@ def test_folding():
     assert fold(b"1d107") == "idiot" and fold(b"7r4$h") == "trash" and fold(b"4$$h0l3") == "asshole"
     assert spelled_out(b"you i d i o t now a b".split()) == [b"idiot"]
     assert spelled_out(b"shall i. d. \xc3\xad. o. t. shall".split()) == ["i.d.í.o.t.".encode()]
-    assert short_pairs(b"shall id iot shall".split()) == [b"idiot"]
-    assert spelled_out([]) == short_pairs([]) == short_pairs([b"id"]) == []
+    ordinary = Ordinary(frozenset(["of", "id"]))
+    assert short_pairs(b"shall of id iot 12 34 shall".split(), ordinary) == [b"idiot", b"iot12"]
+    assert spelled_out([]) == short_pairs([], ordinary) == short_pairs([b"id"], ordinary) == []
     assert "idiot" in readings(b"i.d-i_o.t") and "idiot" in readings(b"iiddiioott") and "idiot" in readings(b"idiiiiot")
     assert readings(b"letter") == ["letter"] and readings(b"2024") == ["2024"]
     assert windows("abc") == ["abc"] and "".join(w[:8] for w in windows("x" * 40)) == "x" * 32

@@ -52,6 +52,8 @@ _OUTER = ".,;:!?\"'()[]{}<>*#%&$-_~"
 _REPEATED = re.compile(r"(.)\1+")
 #: Adjacent words of at most so many bytes are also compared joined.
 PIECE_BYTES = 4
+#: Share of clean documents from which on a short word is an ordinary one; two of those are not joined.
+ORDINARY_SHARE = 0.001
 _OFFSETS = [(i, j) for i in range(1, SPAN - 1) for j in range(1, SPAN - i)]
 
 
@@ -120,17 +122,35 @@ def spelled_out(words: list[bytes]) -> list[bytes]:
     return joined
 
 
-def short_pairs(words: list[bytes]) -> list[bytes]:
-    """Adjacent words of at most ``PIECE_BYTES`` bytes, four at least together, joined ("id iot")."""
+class Ordinary(dict):
+    """Whether a short word is an ordinary one (or a number); written forms are remembered."""
+
+    def __init__(self, words: frozenset[str] = frozenset()):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, word: bytes) -> bool:
+        folded = fold(word)
+        self[word] = found = folded in self.words or not any(map(str.isalpha, folded))
+        return found
+
+
+def short_pairs(words: list[bytes], ordinary: Ordinary) -> list[bytes]:
+    """Adjacent words of at most ``PIECE_BYTES`` bytes, four at least together, joined ("id iot").
+
+    Two ordinary words are not joined.
+    """
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    short = sizes <= PIECE_BYTES
-    pairs = np.flatnonzero(short[:-1] & short[1:] & (sizes[:-1] + sizes[1:] >= 4))
-    return [words[i] + words[i + 1] for i in pairs.tolist()]
+    joined = []
+    for i in np.flatnonzero((sizes[:-1] <= PIECE_BYTES) & (sizes[1:] <= PIECE_BYTES) & (sizes[:-1] + sizes[1:] >= 4)).tolist():
+        if not (ordinary[words[i]] and ordinary[words[i + 1]]):
+            joined.append(words[i] + words[i + 1])
+    return joined
 
 
-def compared(words: list[bytes]) -> set[bytes]:
+def compared(words: list[bytes], ordinary: Ordinary) -> set[bytes]:
     """What is compared of a text: its words and its joined pieces."""
-    return {*words, *spelled_out(words), *short_pairs(words)}
+    return {*words, *spelled_out(words), *short_pairs(words, ordinary)}
 
 
 class Triples:
@@ -188,9 +208,10 @@ class Triples:
 
 
 class Machine:
-    """Trained weights of all triples, and the bias."""
+    """Trained weights of all triples, the bias, and the words that are not joined in pairs."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
+    def __init__(self, weights: np.ndarray, bias: float, ordinary: frozenset[str] = frozenset()):
+        self.ordinary = ordinary
         self.weights = weights.astype(np.float64)
         self.weights[0] = 0.0
         self.bias = bias
@@ -207,6 +228,7 @@ class DocumentMargins:
     def __init__(self, machine: Machine):
         self.machine = machine
         self.stores: list[dict[bytes, float]] = [{}, {}]
+        self.ordinary = Ordinary(machine.ordinary)
 
     def known(self, words: set[bytes]) -> dict[bytes, float]:
         if len(self.stores[0]) > CACHE_WORDS:
@@ -233,7 +255,7 @@ class DocumentMargins:
 
     def of(self, texts: list[bytes]) -> list[float]:
         split = [text.split() for text in texts]
-        each = [compared(words) for words in split]
+        each = [compared(words, self.ordinary) for words in split]
         known = self.known(set().union(*each))
         return [max(map(known.__getitem__, words), default=NO_WINDOW) for words in each]
 
@@ -250,22 +272,36 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int = 4_000_000) -> Iterato
         yield rows
 
 
-def _window_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(window, toxic sentences, clean sentences) of labelled documents."""
-    schema = pa.schema([("window", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
+def _short_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, documents) of folded short words."""
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
     for rows in _chunks(batches):
-        counts = [Counter(), Counter()]
-        folded: dict[bytes, list[str]] = {}
-        for _, text, toxic in rows:
-            for sentence in _SENTENCE.split(text or b""):
-                words = sentence.split()
-                found = set()
-                for word in compared(words):
-                    if word not in folded:
-                        folded[word] = [w for w in word_windows(word) if len(w) > 2]
-                    found.update(folded[word])
-                counts[1 - toxic].update(found)
-        yield arrow_rows(schema, [(w, counts[0][w], counts[1][w]) for w in {*counts[0], *counts[1]}])
+        counts = Counter()
+        for _, text, _ in rows:
+            counts.update({fold(w) for w in {*(text or b"").split()} if len(w) <= PIECE_BYTES})
+        yield arrow_rows(schema, list(counts.items()))
+
+
+def _window_counts(words: frozenset[str]):
+    """(window, toxic sentences, clean sentences) of labelled documents; ``words`` are ordinary ones."""
+    schema = pa.schema([("window", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
+
+    def window_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordinary = Ordinary(words)
+        for rows in _chunks(batches):
+            counts = [Counter(), Counter()]
+            folded: dict[bytes, list[str]] = {}
+            for _, text, toxic in rows:
+                for sentence in _SENTENCE.split(text or b""):
+                    found = set()
+                    for word in compared(sentence.split(), ordinary):
+                        if word not in folded:
+                            folded[word] = [w for w in word_windows(word) if len(w) > 2]
+                        found.update(folded[word])
+                    counts[1 - toxic].update(found)
+            yield arrow_rows(schema, [(w, counts[0][w], counts[1][w]) for w in {*counts[0], *counts[1]}])
+
+    return window_counts
 
 
 def _best_windows(machine: Machine):
@@ -277,7 +313,7 @@ def _best_windows(machine: Machine):
         for rows in _chunks(batches):
             out = []
             split = [text.split() if text else [] for _, text, _ in rows]
-            each = [compared(words) for words in split]
+            each = [compared(words, margins.ordinary) for words in split]
             known = margins.known(set().union(*each))
             for (doc_id, _, toxic), words in zip(rows, each, strict=True):
                 top = max(words, key=lambda w: (known[w], w), default=b"")
@@ -289,7 +325,9 @@ def _best_windows(machine: Machine):
     return best
 
 
-def train_machine(positive: dict[str, float], negative: dict[str, float], landmarks: int, rounds: int = 300) -> Machine:
+def train_machine(
+    positive: dict[str, float], negative: dict[str, float], landmarks: int, ordinary: frozenset[str] = frozenset(), rounds: int = 300
+) -> Machine:
     """Linear support vector machine (squared hinge) on Nyström features of weighted windows."""
     texts = [*positive, *negative]
     labels = np.array([1.0] * len(positive) + [-1.0] * len(negative))
@@ -315,7 +353,7 @@ def train_machine(positive: dict[str, float], negative: dict[str, float], landma
         active = inside
         xa, wa = x[inside], weight[inside]
         w = np.linalg.solve((xa * wa[:, None]).T @ xa + np.diag(ridge), (xa * wa[:, None]).T @ labels[inside])
-    return Machine(base.T.astype(np.float64) @ (whiten @ w[:-1]), float(w[-1]))
+    return Machine(base.T.astype(np.float64) @ (whiten @ w[:-1]), float(w[-1]), ordinary)
 
 
 def _landmarks(texts: list[str], labels: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -419,8 +457,12 @@ def fit_toxicity(
     # Broadcast: at most twice sample_docs rows.
     docs = id_and_text(documents, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
     docs = cut_lineage(docs, "labelled")
+    clean = docs.filter("toxic = 0")
+    often = max(2, ORDINARY_SHARE * clean.count())
+    words = clean.mapInArrow(_short_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    ordinary = frozenset(r.word for r in words.filter(F.col("n") >= often).collect())
     counts = cut_lineage(
-        docs.mapInArrow(_window_counts, "window string, toxic long, clean long")
+        docs.mapInArrow(_window_counts(ordinary), "window string, toxic long, clean long")
         .groupBy("window")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")),
         "windows",
@@ -440,7 +482,7 @@ def fit_toxicity(
     negative = counts.filter((F.col("clean") > 0) & (above < 1))
     negatives = {r.window: float(r.clean) ** 0.5 for r in negative.orderBy(F.desc("clean"), "window").limit(1500).collect()}
     negatives |= {r.window: 1.0 for r in negative.orderBy(F.xxhash64("window"), "window").limit(4000).collect()}
-    machine = train_machine(positive, negatives, landmarks)
+    machine = train_machine(positive, negatives, landmarks, ordinary)
     columns = "window string, toxic int, margin double, doc_id long"
     for _ in range(2):
         best = docs.mapInArrow(_best_windows(machine), columns)
@@ -453,7 +495,7 @@ def fit_toxicity(
         missed = missed.join(counts.filter("clean = 0").select("window"), "window")
         for row in missed.orderBy(F.desc("n"), "window").limit(1500).collect():
             positive.setdefault(row.window, float(row.n))
-        machine = train_machine(positive, negatives, landmarks)
+        machine = train_machine(positive, negatives, landmarks, ordinary)
     pairs = docs.mapInArrow(_best_windows(machine), columns).select("margin", "toxic").toPandas()
     return ToxicityModel(machine, *_curve(pairs["margin"].to_numpy(), pairs["toxic"].to_numpy()))
 
