@@ -24,6 +24,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ NO_WINDOW = -3.0
 WRITTEN_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "ß": "s"}
 _SENTENCE = re.compile(rb"[.!?]+[\s]+|\n")
 _OUTER = ".,;:!?\"'()[]{}<>*#%&$-_~"
+_PUNCTUATION = _OUTER.replace("$", "")
+_WRITTEN = re.compile("[" + "".join(WRITTEN_FOR) + "]")
 _REPEATED = re.compile(r"(.)\1+")
 #: Adjacent words of at most so many bytes are also compared joined.
 PIECE_BYTES = 4
@@ -63,14 +66,18 @@ def fold(word: bytes) -> str:
     Digits are read so in a word that has as many letters at least, or whose letters and
     digits alternate: "1d107" is read, numbers and names such as "w5074" stay as they are.
     """
-    text = unicodedata.normalize("NFKD", word.decode("utf-8", "replace").lower())
-    if not (text.isascii() and text.isalpha()):
-        text = "".join(c for c in text if not unicodedata.combining(c))
+    text = word.decode("utf-8", "replace").lower()
+    plain = text.strip(_PUNCTUATION)
+    if plain.isascii():
+        if plain.isalpha():
+            return plain
+    else:
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    if _WRITTEN.search(text):
         kinds = [c in WRITTEN_FOR for c in text if c in WRITTEN_FOR or c.isalpha()]
         written = sum(kinds)
-        if 0 < written < len(kinds) and (
-            2 * written <= len(kinds) or sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)) > 1
-        ):
+        alternating = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)) > 1
+        if 0 < written < len(kinds) and (2 * written <= len(kinds) or alternating):
             text = "".join(WRITTEN_FOR.get(c, c) for c in text)
     return text.strip(_OUTER)
 
@@ -112,14 +119,18 @@ def _runs(mask: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).reshape(-1, 2)
 
 
+@lru_cache(100_000)
+def _is_single(word: bytes) -> bool:
+    """Whether a short word is one character, punctuation aside."""
+    return len(fold(word)) <= 1
+
+
 def spelled_out(words: list[bytes]) -> list[bytes]:
     """Runs of three and more single letters, accented or with punctuation, as in "i d i o t", joined."""
-    joined = []
-    for a, b in _runs(np.fromiter(map(len, words), np.int64, len(words)) <= 3):
-        if b - a >= 3:
-            single = np.fromiter((len(fold(w)) <= 1 for w in words[a:b]), bool, b - a)
-            joined += [b"".join(words[a + i : a + j]) for i, j in _runs(single) if j - i >= 3]
-    return joined
+    single = np.fromiter(map(len, words), np.int64, len(words)) <= 3
+    short = np.flatnonzero(single)
+    single[short] = [_is_single(words[i]) for i in short.tolist()]
+    return [b"".join(words[a:b]) for a, b in _runs(single).tolist() if b - a >= 3]
 
 
 class Ordinary(dict):
