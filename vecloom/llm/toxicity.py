@@ -497,13 +497,13 @@ def fit_toxicity(
     columns = "window string, toxic int, margin double, doc_id long"
     for _ in range(2):
         best = docs.mapInArrow(_best_windows(machine), columns)
-        hard = best.filter("toxic = 0 and margin > -1").groupBy("window").agg(F.count(F.lit(1)).alias("n"))
-        for row in hard.orderBy(F.desc("n"), "window").limit(1500).collect():
+        feedback = best.filter("toxic = 0 and margin > -1 or toxic = 1 and margin < 0").groupBy("window", "toxic")
+        feedback = cut_lineage(feedback.agg(F.count(F.lit(1)).alias("n")), "feedback")
+        for row in feedback.filter("toxic = 0").orderBy(F.desc("n"), "window").limit(1500).collect():
             if row.window not in positive:
                 negatives[row.window] = negatives.get(row.window, 0.0) + 2.0 + row.n**0.5
         # Missed toxic documents: what two of them at least have in common, and no clean sentence has.
-        missed = best.filter("toxic = 1 and margin < 0").groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        missed = missed.join(counts.filter("clean = 0").select("window"), "window")
+        missed = feedback.filter("toxic = 1 and n > 1").join(counts.filter("clean = 0").select("window"), "window")
         for row in missed.orderBy(F.desc("n"), "window").limit(1500).collect():
             positive.setdefault(row.window, float(row.n))
         machine = train_machine(positive, negatives, landmarks, ordinary)
