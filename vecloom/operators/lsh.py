@@ -79,43 +79,6 @@ def _with_buckets(tables: int, bits: int, probes: int, seed: int, names: list[st
     return place
 
 
-def best_in_buckets(holds: DataFrame, asks: DataFrame, keys: list[str], n: int, block_rows: int) -> DataFrame:
-    """(item_id, found): the n best holds of each asking vector in its bucket, a row for each block compared.
-
-    ``holds`` has the keys, item_id, title and u, ``asks`` the keys, item_id and u. Buckets that nobody asks are
-    dropped before their vectors move.
-    """
-
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
-
-    def own(number: str, salt: int):
-        return F.pmod(F.xxhash64("item_id", F.lit(salt)), F.col(number).cast("long")).cast("int")
-
-    def every(number: str):
-        return F.explode(F.sequence(F.lit(0), F.col(number) - 1))
-
-    load = blocks(holds, "hold_blocks").join(blocks(asks, "ask_blocks"), keys)
-    at = [*keys, "hold_block", "ask_block"]
-    held = (
-        holds.join(load, keys)
-        .withColumn("hold_block", own("hold_blocks", 1))
-        .withColumn("ask_block", every("ask_blocks"))
-        .select(*at, "item_id", "title", "u")
-    )
-    asked = (
-        asks.join(load, keys)
-        .withColumn("ask_block", own("ask_blocks", 2))
-        .withColumn("hold_block", every("hold_blocks"))
-        .select(*at, "item_id", "u")
-    )
-    # Both sides may come from one table: fresh column identities keep them apart.
-    held = held.toDF(*held.columns)
-    return (
-        asked.groupBy(*at).cogroup(held.groupBy(*at)).applyInArrow(lambda q, c: N._tile(q, c, n), N.BEST_SCHEMA)
-    )
-
-
 def hyperplane_search(
     tables: int = TABLES,
     probes: int = PROBES,
@@ -131,7 +94,7 @@ def hyperplane_search(
         means = _summary(pool, "grp", F.col("u"), "mean")
         largest = means.agg(F.max("count")).first()[0] or 1
         wide = bits or min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(largest / bucket_rows)))))
-        names = ["item_id", "grp", "title", "u", "wanted"]
+        names = ["item_id", "grp", "place", "u", "wanted"]
         kind = pool.schema["grp"].dataType.simpleString()
         centred = F.zip_with("u", "mean", lambda x, m: x - m)
         placed = cut_lineage(
@@ -139,28 +102,23 @@ def hyperplane_search(
             .select(*names, centred.alias("centred"))
             .mapInArrow(
                 _with_buckets(tables, wide, probes, seed, names),
-                f"item_id long, grp {kind}, title string, u array<double>, wanted boolean, buckets array<int>",
+                f"item_id long, grp {kind}, place long, u array<double>, wanted boolean, buckets array<int>",
             ),
             "signatures",
         )
-        each = placed.select("*", F.posexplode("buckets").alias("place", "bucket")).withColumn(
-            "hash_table", F.floor(F.col("place") / min(probes, 1 << min(wide, CROSSED))).cast("int")
+        each = placed.select("*", F.posexplode("buckets").alias("at", "bucket")).withColumn(
+            "hash_table", F.floor(F.col("at") / min(probes, 1 << min(wide, CROSSED))).cast("int")
         )
-        own = F.col("place") % min(probes, 1 << min(wide, CROSSED)) == 0
-        found = best_in_buckets(
-            each.filter(own).select("grp", "hash_table", "bucket", "item_id", "title", "u"),
+        own = F.col("at") % min(probes, 1 << min(wide, CROSSED)) == 0
+        found = N.best_in_buckets(
+            each.filter(own).select("grp", "hash_table", "bucket", "item_id", "place", "u"),
             each.filter("wanted").select("grp", "hash_table", "bucket", "item_id", "u"),
             ["grp", "hash_table", "bucket"],
             n,
             block_rows,
         )
         # A neighbour may be met in several buckets.
-        return (
-            N._flat(found)
-            .groupBy("item_id", "neighbour_id")
-            .agg(F.max(F.struct("similarity", "neighbour_title")).alias("s"))
-            .select("item_id", "neighbour_id", "s.neighbour_title", "s.similarity")
-        )
+        return N.merged_lists(found, n, repeated=True)
 
     return search
 
