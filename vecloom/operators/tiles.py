@@ -11,14 +11,25 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.vector import as_double
 
 
-def block_count(rows: int, block_rows: int) -> int:
-    return max(1, -(-rows // block_rows))
+#: Blocks that a table is cut into: a table that grows gets larger blocks, so that what is sent grows with the
+#: table, until a block has TILE_VALUES numbers.
+MAX_BLOCKS = 16
+TILE_VALUES = 4_000_000
+#: Distances that a task holds at a time.
+STRIP_VALUES = 2_000_000
+
+
+def block_count(rows: int, block_rows: int, width: int = 1) -> int:
+    """Blocks of ``block_rows`` vectors of ``width`` numbers, or MAX_BLOCKS larger ones of at most TILE_VALUES numbers."""
+    return max(1, min(-(-rows // block_rows), MAX_BLOCKS), -(-rows * width // TILE_VALUES))
 
 
 def hash_block(key: Column, blocks: int | Column) -> Column:
@@ -64,23 +75,24 @@ def distance_sums(
         "item_id", as_double(F.col(column)).alias("v"), *[F.col(c).cast("int").alias(c) for c in labels]
     )
     # One row per cluster of each labelling: the slots of the per-item sums.
-    sizes = sorted(
-        (r["labelling"], r["other"], r["n"])
-        for r in rows.select(
+    counted = (
+        rows.select(
             F.explode(
                 F.array(*[F.struct(F.lit(c).alias("labelling"), F.col(c).alias("other")) for c in labels])
-            ).alias("s")
+            ).alias("s"),
+            F.size("v").alias("dimensions"),
         )
-        .select("s.*")
+        .select("s.*", "dimensions")
         .groupBy("labelling", "other")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max("dimensions").alias("dimensions"))
         .collect()
     )
+    sizes = sorted((r["labelling"], r["other"], r["n"]) for r in counted)
     # Slots of one labelling are neighbours, in the order of its cluster numbers.
     known = {c: np.array([o for name, o, _ in sizes if name == c]) for c in labels}
     first_slot = {c: [name for name, _, _ in sizes].index(c) for c in labels if len(known[c])}
     total = sum(n for name, _, n in sizes if name == labels[0])
-    blocks = block_count(total, block_rows)
+    blocks = block_count(total, block_rows, max((r["dimensions"] for r in counted), default=1))
     tiles = block_pairs(rows.withColumn("block", hash_block(F.col("item_id"), blocks)), blocks)
     width = len(sizes)
     names = list(labels)
@@ -97,15 +109,21 @@ def distance_sums(
         block = np.asarray(table.column("block"))
         first, last = block.min(), block.max()
         left, right = table.filter(pa.array(block == first)), table.filter(pa.array(block == last))
-        ids, out = [], []
-        d = _distances(matrix_of(left, "v"), matrix_of(right, "v"))
-        if first == last:
-            np.fill_diagonal(d, 0.0)
-        ids.append(np.asarray(left.column("item_id")))
-        out.append(d @ membership(right))
+        x, y, mine, theirs = matrix_of(left, "v"), matrix_of(right, "v"), membership(left), membership(right)
+        to_left, to_right = np.zeros((len(x), width)), np.zeros((len(y), width))
+        strip = max(1, STRIP_VALUES // max(len(y), 1))
+        for start in range(0, len(x), strip):
+            d = _distances(x[start : start + strip], y)
+            if first == last:
+                row = np.arange(len(d))
+                d[row, start + row] = 0.0
+            else:
+                to_right += d.T @ mine[start : start + strip]
+            to_left[start : start + strip] = d @ theirs
+        ids, out = [np.asarray(left.column("item_id"))], [to_left]
         if first != last:
             ids.append(np.asarray(right.column("item_id")))
-            out.append(d.T @ membership(left))
+            out.append(to_right)
         values = np.concatenate(out)
         offsets = np.arange(0, values.size + 1, width, dtype=np.int32)
         return pa.table(
@@ -128,14 +146,11 @@ def distance_sums(
         ]
     )
     if blocks > 1:
-        # One row per item and partner block; adding them up is a grouped sum per slot.
-        summed = (
-            partial.select("item_id", F.posexplode("sums").alias("slot", "x"))
-            .groupBy("item_id", "slot")
-            .agg(F.sum("x").alias("total"))
+        # One row per item and partner block: whole vectors are added up, nothing is exploded before.
+        partial = partial.groupBy("item_id").agg(
+            vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")
         )
-    else:
-        summed = partial.select("item_id", F.posexplode("sums").alias("slot", "total"))
+    summed = partial.select("item_id", F.posexplode("sums").alias("slot", "total"))
     named = summed.withColumn("s", F.get(slots, F.col("slot"))).select(
         "item_id", "s.labelling", "s.other", "s.n", "total"
     )
