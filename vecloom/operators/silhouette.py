@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.vector import as_double
 from vecloom.operators.clustering import _check_centres, _label_moments, _squared_by_product
-from vecloom.operators.tiles import matrix_of
+from vecloom.operators.tiles import STRIP_VALUES, TILE_VALUES, matrix_of
 from vecloom.session import cut_lineage
 
 BLOCK_ROWS = 4096
+#: Into how many blocks a cluster, and the items that ask it, are cut; only blocks of TILE_VALUES numbers are cut further.
+HOLD_BLOCKS = 2
+ASK_BLOCKS = 16
 #: By which share a lower bound may exceed an upper one through rounding alone.
 SLACK = 1e-9
 
@@ -66,14 +69,15 @@ def _distance_sums(asks: pa.Table, holds: pa.Table) -> pa.Table:
     x, y = matrix_of(asks, "v"), matrix_of(holds, "v")
     total = np.zeros(len(x))
     if len(x) and len(y):
-        for start in range(0, len(x), 512):
-            part = x[start : start + 512]
+        strip = max(1, STRIP_VALUES // len(y))
+        for start in range(0, len(x), strip):
+            part = x[start : start + strip]
             square = _squared_by_product(part, y)
             # By product a small distance is mostly rounding: those are taken by difference.
             scale = (part**2).sum(1)[:, None] + (y**2).sum(1)[None, :]
             row, column = np.nonzero(square <= 1e-6 * scale)
             square[row, column] = ((part[row] - y[column]) ** 2).sum(axis=1)
-            total[start : start + 512] = np.sqrt(np.maximum(square, 0.0)).sum(axis=1)
+            total[start : start + strip] = np.sqrt(np.maximum(square, 0.0)).sum(axis=1)
     return pa.table(
         {
             "item_id": asks.column("item_id"),
@@ -132,10 +136,17 @@ def silhouette_bounded(
     keys = ["labelling", "target"]
     holds = wanted.select("labelling", F.col("cluster").alias("target"), "item_id", "v")
     asks = wanted.select("item_id", "labelling", "cluster", "v", F.explode("needed").alias("target"))
+    width = wanted.select(F.max(F.size("v"))).first()[0] or 1
+
+    def blocks(rows, most: int):
+        # A cluster that grows gets larger blocks, so that what is sent grows with the table.
+        wide = F.ceil(rows * width / TILE_VALUES)
+        return F.greatest(F.least(F.ceil(rows / block_rows), F.lit(most)), wide, F.lit(1)).cast("int")
+
     load = (
         asks.groupBy(*keys)
-        .agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("ask_blocks"))
-        .join(sizes.select(*keys, F.ceil(F.col("n") / block_rows).cast("int").alias("hold_blocks")), keys)
+        .agg(blocks(F.count(F.lit(1)), ASK_BLOCKS).alias("ask_blocks"))
+        .join(sizes.select(*keys, blocks(F.col("n"), HOLD_BLOCKS).alias("hold_blocks")), keys)
     )
 
     def own(number: str, salt: int):
