@@ -89,7 +89,7 @@ def tolerant_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = docs.select(line.alias("value")).unionByName(short)
     # Each part file starts with the header line, as every file of a CSV table does.
     header = "TITLE,Review_Text"
-    body.mapInPandas(_with_header(header), "value string").write.text(path)
+    body.mapInArrow(_with_header(header), "value string").write.text(path)
     return readers.read_reviews(spark, path)
 
 
@@ -106,7 +106,7 @@ def mixed_header_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     for header, (rows, line) in forms.items():
         lines = docs.filter(rows).select(line.alias("value"))
-        lines.mapInPandas(_with_header(header), "value string").write.mode("append").text(path)
+        lines.mapInArrow(_with_header(header), "value string").write.mode("append").text(path)
     return readers.read_reviews(spark, path)
 
 
@@ -154,11 +154,14 @@ def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_header(header: str):
-    def add(frames):
-        import pandas as pd
-
-        yield pd.DataFrame({"value": [header]})
-        yield from frames
+    def add(batches):
+        import pyarrow as pa
+
+        # All batches of a stream have one schema.
+        schema = pa.schema([("value", pa.string())])
+        yield pa.RecordBatch.from_arrays([pa.array([header])], schema=schema)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], schema=schema)
 
     return add
 
