@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,29 +112,31 @@ def summarise_with(
         + [df.schema[name] for name in keep]
     )
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for start in range(0, len(frame), request_rows):
-                part = frame.iloc[start : start + request_rows]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, request_rows):
+                # Only the texts of one request are Python objects at a time.
+                part = batch.slice(start, request_rows)
                 try:
-                    answers = list(summarise(list(zip(part["title"], part["review"]))))
-                    if len(answers) != len(part):
-                        raise ValueError(f"{len(answers)} answers for {len(part)} reviews")
+                    answers = list(summarise(list(zip(part.column("title").to_pylist(), part.column("review").to_pylist()))))
+                    if len(answers) != part.num_rows:
+                        raise ValueError(f"{len(answers)} answers for {part.num_rows} reviews")
                 except Exception as failure:  # a failed request must not fail the job
-                    answers = [failure] * len(part)
+                    answers = [failure] * part.num_rows
                 failed = [isinstance(a, Exception) for a in answers]
-                yield pd.DataFrame(
-                    {
-                        "item_id": part["item_id"].to_numpy(),
-                        "structured_summary": [
-                            a.strip() if a and not bad else None for a, bad in zip(answers, failed)
-                        ],
-                        "error": [f"{type(a).__name__}: {a}" if bad else None for a, bad in zip(answers, failed)],
-                    }
-                    | {name: part[name].to_numpy() for name in keep}
+                summaries = [a.strip() if a and not bad else None for a, bad in zip(answers, failed)]
+                errors = [f"{type(a).__name__}: {a}" if bad else None for a, bad in zip(answers, failed)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("item_id"),
+                        pa.array(summaries, pa.string()),
+                        pa.array(errors, pa.string()),
+                        *[part.column(name) for name in keep],
+                    ],
+                    ["item_id", "structured_summary", "error", *keep],
                 )
 
-    return df.select(*dict.fromkeys(["item_id", "title", "review", *keep])).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys(["item_id", "title", "review", *keep])).mapInArrow(run, schema)
 
 
 def result_status(results: DataFrame) -> DataFrame:
