@@ -1,4 +1,7 @@
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,3 +274,24 @@ def test_inverted_file_is_exact_with_all_cells_and_near_with_some(spark):
     some = I.ivf_neighbours(df, 4, cells=6, probes=3)
     found = I.recall(some, exact).first()
     assert found.wanted == len(want) and 0.5 < found.recall < 1
+
+
+def test_a_digest_is_taken_once_for_each_term(spark, monkeypatch):
+    lists = [["red", "fox", "red", "fox"], [], ["fox"], None, ["café", "red"], ["red", "fox"] * 40]
+    want = np.zeros((len(lists), 32))
+    for row, words in enumerate(lists):
+        for term in [*(words or []), *(f"{a} {b}" for a, b in zip(words or [], (words or [])[1:]))]:
+            want[row, int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % 32] += 1
+    taken = []
+    plain = E.md5
+    monkeypatch.setattr(E, "md5", lambda term: taken.append(term) or plain(term))
+    got = E.count_terms(pa.array(lists, pa.list_(pa.string())), 32)
+    assert (got == want).all()
+    assert len(taken) == len(set(taken)) == 6
+    part = E.count_terms(pa.array(lists, pa.list_(pa.string()))[4:], 32)
+    assert (part == want[4:]).all()
+    monkeypatch.setattr(E, "md5", plain)
+    monkeypatch.setattr(E, "SLICE_WORDS", 3)
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(lists)], "i long, words array<string>").repartition(2)
+    found = rows.select("i", E._term_counts(F.coalesce("words", F.array().cast("array<string>")), 32).alias("c")).collect()
+    assert (np.array([r.c for r in sorted(found)]) == want).all()
