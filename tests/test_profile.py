@@ -88,3 +88,26 @@ def test_group_limit_reaches_the_map_side(tiny):
 def test_word_counts_do_not_depend_on_row_order(tiny):
     shuffled = tiny.orderBy(F.desc("item_id")).repartition(3)
     assert sorted(P.top_words(tiny).collect()) == sorted(P.top_words(shuffled).collect())
+
+
+def test_tasks_that_count_terms_follow_the_text(spark, monkeypatch):
+    rows = [(i, i % 2, f"red fox kind{i % 5} jumps over dog sort{i % 3} twice") for i in range(60)] + [(60, 1, None), (61, 0, " ")]
+    df = spark.createDataFrame(rows, "item_id long, cluster int, summary string")
+    order = ("cluster", "rank")
+    want = P.key_themes(df).orderBy(*order).collect()
+    assert want
+    seen = []
+    plain = P.term_statistics
+
+    def watched(part, *args):
+        seen.append((part.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        return plain(part, *args)
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(P, "term_statistics", watched)
+    monkeypatch.setattr(P, "TASK_BYTES", 50)
+    assert P.key_themes(df).orderBy(*order).collect() == want
+    tasks = -(-sum(len(r[2]) for r in rows[:60]) // 50)
+    assert seen == [(tasks, max(tasks, int(before)))] and tasks > spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert P.key_themes(df.drop("item_id")).orderBy(*order).collect() == want

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vecloom.functions.text import bigrams, content_tokens, english_stop_words, is_blank, tokens
 from vecloom.operators.relational import top_n_per_group
 from vecloom.schema import palette_colour
-from vecloom.session import cut_lineage
+from vecloom.session import cut_lineage, least_shuffle_partitions
 
 # Report sizes.
 SAMPLE_SIZE = 5
@@ -21,6 +21,8 @@ TOP_THEMES = 5
 CLOUD_WORDS = 50
 MIN_DOCS = 2
 MAX_DOC_SHARE = 0.9
+#: Bytes of text whose terms one task counts; a term takes many times its bytes in the task's table.
+TASK_BYTES = 16_000_000
 
 
 def cluster_summary(df: DataFrame) -> DataFrame:
@@ -197,17 +199,20 @@ def key_themes(
     """Leading words and word pairs of each cluster's non-blank texts.
 
     A theme occurs in at least ``min_docs`` documents and at most ``max_share`` of them.
-    Clusters too small to satisfy both have no theme.
+    Clusters too small to satisfy both have no theme. The number of tasks that count and add up
+    terms follows the bytes of text, so that a task's memory does not grow with the table.
     """
-    docs = (
-        df.filter(~is_blank(F.col(text))).groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"))
-    )
-    common = (
-        term_statistics(df, text, stop_words)
-        .filter(F.col("df") >= min_docs)
-        .join(docs, "cluster")
-        .filter(F.col("df") <= F.lit(max_share) * F.col("docs"))
-    )
+    spark = df.sparkSession
+    key = "item_id" if "item_id" in df.columns else text
+    rows = df.select(*dict.fromkeys(["cluster", text, key])).filter(~is_blank(F.col(text)))
+    docs = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"))
+    size = rows.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    tasks = -(-size // TASK_BYTES)
+    if tasks > spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(tasks, F.xxhash64(key))
+    with least_shuffle_partitions(spark, tasks):
+        often = cut_lineage(term_statistics(rows, text, stop_words).filter(F.col("df") >= min_docs), "terms")
+    common = often.join(docs, "cluster").filter(F.col("df") <= F.lit(max_share) * F.col("docs"))
     return top_n_per_group(common, ["cluster"], [F.desc("tf"), F.col("term")], n).select(
         "cluster", "rank", "term", "tf", "df"
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,3 +78,15 @@ def cut_lineage(df: DataFrame, name: str = "table", path: str | None = None) ->
     path = path or new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def least_shuffle_partitions(spark: SparkSession, least: int) -> Iterator[None]:
+    """Jobs run inside have at least ``least`` shuffle partitions; Spark joins those that turn out small."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(least, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
