@@ -60,6 +60,18 @@ def test_words_give_the_ids_of_the_whole_text(path):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_words_need_no_search_for_their_stem(path, monkeypatch):
+    encode = word_tokenizer(path)()
+    cache = WordCache(encode, "<u4", encode.last_ids)
+    searched = []
+    plain = WordCache.stem
+    monkeypatch.setattr(WordCache, "stem", staticmethod(lambda word: searched.append(word) or plain(word)))
+    texts = ["Plain words, many; of THEM.\n", "", " ,  ", "odd'un x1 <|endoftext|> été, (braced) end!", "Plain", "them,"]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in cache.ids([t.encode() for t in texts])]
+    assert got == encode(texts)
+    assert not {b"Plain", b"words,", b"many;", b"of", b"THEM.", b"end!", b"them,"} & set(searched)
+
+
 def test_packing_round_trip(spark, path):
     rows = awkward_texts()
     whole = tokenizers.Tokenizer.from_file(path)

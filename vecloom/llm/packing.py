@@ -126,7 +126,7 @@ class WordCache:
 
     For tokenizers that lower-case, and that split at white space and drop it, a text's ids
     are those of its words one after another. Arrow finds the distinct words of a slice of text, each with the
-    white space behind it, and numpy puts their ids in order; Python sees a distinct word of a slice once. Words without
+    white space behind it, and puts their ids in order; Python sees a distinct word of a slice once. Words without
     the punctuation at their end, which such a tokenizer splits off, are remembered too. When
     a store is full, the words not seen since it was last full go.
     """
@@ -157,7 +157,7 @@ class WordCache:
             if part not in new:
                 if (ids := old.get(part)) is not None:
                     new[part] = ids
-                elif self.last_ids is not None and part.decode("utf-8", "replace").isalpha():
+                elif self.last_ids is not None and (part.isalpha() or part.decode("utf-8", "replace").isalpha()):
                     letters.append(part)
                 else:
                     others.append(part)
@@ -184,18 +184,28 @@ class WordCache:
                 store[:] = [{}, store[0]]
         new, old = self.words
         found = list(map(new.get, pieces))
-        todo = {}
+        places, heads, tails = [], [], []
         for at, ids in enumerate(found):
             if ids is None:
                 piece = pieces[at]
                 if (ids := old.get(piece)) is None:
-                    todo[at] = self.stem(piece.rstrip())
+                    word = piece.rstrip()
+                    if word.isalpha():
+                        head, tail = word.lower(), b""
+                    elif word[:-1].isalpha() and word[-1:] in PUNCTUATION:
+                        head, tail = word[:-1].lower(), word[-1:]
+                    else:
+                        head, tail = self.stem(word)
+                    places.append(at)
+                    heads.append(head)
+                    tails.append(tail)
                 else:
                     new[piece] = found[at] = ids
-        self._encode(list({part for pair in todo.values() for part in pair if part}))
+        self._encode(list({*heads, *tails} - {b""}))
         stems = self.stems[0]
-        for at, (stem, tail) in todo.items():
-            new[pieces[at]] = found[at] = (stems[stem] if stem else b"") + (stems[tail] if tail else b"")
+        stems[b""] = b""
+        for at, head, tail in zip(places, heads, tails, strict=True):
+            new[pieces[at]] = found[at] = stems[head] + stems[tail] if tail else stems[head]
         return found
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
@@ -209,17 +219,12 @@ class WordCache:
             pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(buffer)]
         ).dictionary_encode()
         distinct = self._distinct(_bytes_of(words.dictionary))
-        number = words.indices.to_numpy()
-        width = np.dtype(self.kind).itemsize
-        size = np.fromiter(map(len, distinct), np.int64, len(distinct)) // width
-        flat, first = np.frombuffer(b"".join(distinct), self.kind), np.cumsum(size) - size
-        size, first = size[number], first[number]
-        end = np.cumsum(size)
-        stream = flat[np.arange(end[-1]) + np.repeat(first - (end - size), size)]
+        _, offsets, data = pa.array(distinct, pa.large_binary()).take(words.indices).buffers()
+        ends, stream = np.frombuffer(offsets, np.int64, len(words) + 1), data.to_pybytes() if data else b""
         # A text's words are those that start before its end.
         text_ends = np.cumsum([len(t) + 1 for t in texts])
-        cuts = np.concatenate(([0], end))[np.searchsorted(starts, text_ends)].tolist()
-        return [stream[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        cuts = ends[np.searchsorted(starts, text_ends)].tolist()
+        return [stream[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
 
 def _bytes_of(words: pa.LargeBinaryArray) -> list[bytes]:
