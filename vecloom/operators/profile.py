@@ -205,14 +205,15 @@ def key_themes(
     spark = df.sparkSession
     key = "item_id" if "item_id" in df.columns else text
     rows = df.select(*dict.fromkeys(["cluster", text, key])).filter(~is_blank(F.col(text)))
-    docs = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"))
-    size = rows.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    bytes_of = F.sum(F.octet_length(text).cast("long"))
+    docs = cut_lineage(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), bytes_of.alias("bytes")), "docs")
+    size = docs.agg(F.sum("bytes")).first()[0] or 0
     tasks = -(-size // TASK_BYTES)
     if tasks > spark.sparkContext.defaultParallelism:
         rows = rows.repartition(tasks, F.xxhash64(key))
     with least_shuffle_partitions(spark, tasks):
         often = cut_lineage(term_statistics(rows, text, stop_words).filter(F.col("df") >= min_docs), "terms")
-    common = often.join(docs, "cluster").filter(F.col("df") <= F.lit(max_share) * F.col("docs"))
+    common = often.join(docs.drop("bytes"), "cluster").filter(F.col("df") <= F.lit(max_share) * F.col("docs"))
     return top_n_per_group(common, ["cluster"], [F.desc("tf"), F.col("term")], n).select(
         "cluster", "rank", "term", "tf", "df"
     )
