@@ -138,7 +138,7 @@ def count_terms(words: pa.ListArray, dimensions: int) -> np.ndarray:
 
 def _term_counts(words: Column, dimensions: int) -> Column:
     @F.arrow_udf("array<double>")
-    def counts(lists: pa.Array) -> pa.Array:
+    def count_by_md5(lists: pa.Array) -> pa.Array:
         ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64))
         found, start = [np.zeros((0, dimensions))], 0
         while start < len(lists):
@@ -149,7 +149,7 @@ def _term_counts(words: Column, dimensions: int) -> Column:
         offsets = np.arange(len(lists) + 1, dtype=np.int32) * dimensions
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).ravel()))
 
-    return counts(words)
+    return count_by_md5(words)
 
 
 def _term_vectors(df: DataFrame, text: str, dimensions: int, stop_words: Sequence[str]) -> DataFrame:
