@@ -145,6 +145,15 @@ def _answer(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _places(keys: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of distinct keys, and each key's place among them in ascending order."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1])), dtype=np.int32)
+    return int(place[order[-1]]) + 1, place
+
+
 class Counts:
     """Counts of the n-grams and contexts of some documents' tokens."""
 
@@ -166,21 +175,23 @@ class Counts:
         texts = group["text"].tolist()
         parts = [(some, *group_grams(texts[some], order)) for some in text_slices(texts, slice_bytes)]
         answers = answers.sort_values(["gram_order", "bucket"])
-        asked, totals = [], []
+        edges = np.cumsum([0, *(len(grams[0]) for _, grams, _ in parts)])
+        found = []
         for n in range(order):
-            asked.append(np.unique(np.concatenate([np.unique(grams[n]) for _, grams, _ in parts])))
+            # Sorting tells each token its place in the question; looking every token up in it costs several times that.
+            distinct, place = _places(np.concatenate([grams[n] for _, grams, _ in parts]))
             rows = answers[answers["gram_order"] == n + 1]
-            totals.append(
-                np.concatenate(
-                    [
-                        widen(kept, size) + (widen(held, size) if with_held else 0)
-                        for kept, held, size in zip(rows["kept"], rows["held"], rows["n"], strict=True)
-                    ]
-                )
+            totals = np.concatenate(
+                [
+                    widen(kept, size) + (widen(held, size) if with_held else 0)
+                    for kept, held, size in zip(rows["kept"], rows["held"], rows["n"], strict=True)
+                ]
             )
-        for some, grams, lengths in parts:
-            found = [totals[n][np.searchsorted(asked[n], grams[n])] for n in range(order)]
-            yield some, Counts(found, lengths, n_docs)
+            if len(totals) != distinct:
+                raise ValueError(f"{len(totals)} answers to {distinct} questions")
+            found.append(totals[place])
+        for (some, _, lengths), a, b in zip(parts, edges[:-1], edges[1:], strict=True):
+            yield some, Counts([f[a:b] for f in found], lengths, n_docs)
 
     def estimates(self, tokens: int, distinct: int) -> np.ndarray:
         """Rows: uniform, then the maximum-likelihood estimates of order 1, 2, …"""
