@@ -27,6 +27,11 @@ K_MAX = 10
 MAX_ITER = 300
 #: Turns over the table in which candidates for starting centres are drawn.
 SEED_TURNS = 4
+#: Numbers in a packed matrix of vectors.
+PACK_VALUES = 262_144
+#: Vectors compared with all centres at a time.
+STRIP_ROWS = 1024
+_NO_ID = -(2**63)
 MAX_CENTRES = 8192
 MAX_CENTRE_VALUES = 8_000_000
 
@@ -70,17 +75,16 @@ def _seed_pass(
         rows: dict[str, list] = {"seed": [], "v": [], "gap": []}
         total = dict.fromkeys(shared.value, 0.0)
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            if not len(ids):
-                continue
-            x = _matrix(batch.column(1), len(batch.column(1)[0]))
-            for seed, centres in shared.value.items():
-                gap = _gaps(x, centres)
-                total[seed] += gap.sum()
-                for i in np.flatnonzero(take(seed, gap, _unit_draw(ids, seed, turn))):
-                    rows["seed"].append(seed)
-                    rows["v"].append(x[i].tolist())
-                    rows["gap"].append(None)
+            for packed, matrix in zip(batch.column(0), batch.column(1), strict=True):
+                ids = np.frombuffer(packed.as_buffer(), np.int64)
+                x = np.frombuffer(matrix.as_buffer(), np.float64).reshape(len(ids), -1)
+                for seed, centres in shared.value.items():
+                    gap = _gaps(x, centres)
+                    total[seed] += gap.sum()
+                    for i in np.flatnonzero(take(seed, gap, _unit_draw(ids, seed, turn))):
+                        rows["seed"].append(seed)
+                        rows["v"].append(x[i].tolist())
+                        rows["gap"].append(None)
         for seed, value in total.items():
             rows["seed"].append(seed)
             rows["v"].append(None)
@@ -118,7 +122,7 @@ def _spread(vectors: DataFrame, centres: Mapping[int, np.ndarray]) -> dict[int,
     return {seed: gap for seed, (gap, _) in rows.items()}
 
 
-def _candidates(vectors: DataFrame, seeds: Sequence[int], k: int) -> dict[int, np.ndarray]:
+def _candidates(vectors: DataFrame, packed: DataFrame, seeds: Sequence[int], k: int) -> dict[int, np.ndarray]:
     """Candidate centres per seed by k-means|| (Bahmani et al. 2012) over the whole table.
 
     A turn reads all vectors once for all seeds and draws each with a probability in
@@ -128,7 +132,7 @@ def _candidates(vectors: DataFrame, seeds: Sequence[int], k: int) -> dict[int, n
     """
     least = [F.min_by("v", F.xxhash64("item_id", F.lit(seed))).alias(str(seed)) for seed in seeds]
     centres = {seed: np.array([v]) for seed, v in zip(seeds, vectors.agg(*least).first(), strict=True)}
-    spread = _spread(vectors, centres)
+    spread = _spread(packed, centres)
     turn = 0
     while True:
         turn += 1
@@ -136,13 +140,13 @@ def _candidates(vectors: DataFrame, seeds: Sequence[int], k: int) -> dict[int, n
         if not open_seeds:
             return centres
         scale = {s: 2.0 * k / spread[s] for s in open_seeds}
-        drawn = _seed_pass(vectors, open_seeds, turn, lambda seed, gap, draw: draw < gap * scale[seed])
+        drawn = _seed_pass(packed, open_seeds, turn, lambda seed, gap, draw: draw < gap * scale[seed])
         for seed, (_, new) in drawn.items():
             if new is not None:
                 centres[seed] = np.unique(np.concatenate((centres[seed], new)), axis=0)
             if centres[seed].size > MAX_CENTRE_VALUES:
                 raise ValueError("too many centre values; use fewer clusters")
-        spread |= _spread(vectors, {seed: centres[seed] for seed in open_seeds})
+        spread |= _spread(packed, {seed: centres[seed] for seed in open_seeds})
 
 
 def _weighted_start(points: np.ndarray, weight: np.ndarray, k: int, seed: int, threshold: float) -> np.ndarray:
@@ -177,11 +181,13 @@ def _weighted_start(points: np.ndarray, weight: np.ndarray, k: int, seed: int, t
     return centres
 
 
-def _starts(vectors: DataFrame, jobs: Sequence[tuple[int, int]], threshold: float) -> list[Model]:
+def _starts(
+    vectors: DataFrame, packed: DataFrame, jobs: Sequence[tuple[int, int]], threshold: float
+) -> list[Model]:
     """First centres of every (k, seed), from candidates weighted by the items nearest to them."""
     seeds = sorted({seed for _, seed in jobs})
-    candidates = _candidates(vectors, seeds, max(k for k, _ in jobs))
-    sizes = _lloyd_pass(vectors, [Model(len(c), s, c) for s, c in candidates.items()])[0]
+    candidates = _candidates(vectors, packed, seeds, max(k for k, _ in jobs))
+    sizes = _lloyd_pass(packed, [Model(len(c), s, c) for s, c in candidates.items()])[0]
     weights, at = {}, 0
     for seed, centres in candidates.items():
         weights[seed] = np.maximum(sizes[at : at + len(centres)], 1e-9)
@@ -192,6 +198,49 @@ def _starts(vectors: DataFrame, jobs: Sequence[tuple[int, int]], threshold: floa
     ]
 
 
+def _pack(vectors: DataFrame) -> DataFrame:
+    """Vectors (item_id, v) as rows of ids and a matrix: passes read them without a conversion of each number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            width = len(batch.column(1)[0])
+            ids = np.asarray(batch.column(0).fill_null(_NO_ID), np.int64)
+            x = _matrix(batch.column(1), width)
+            rows = max(1, PACK_VALUES // max(width, 1))
+            for start in range(0, len(x), rows):
+                part = slice(start, start + rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v[part].tobytes()], pa.binary()) for v in (ids, x)], ["item_id", "v"]
+                )
+
+    return vectors.select(F.col("item_id").cast("long"), "v").mapInArrow(run, "item_id binary, v binary")
+
+
+def _matrices(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The matrices of a packed column, or the one matrix of a column of vectors."""
+    if pa.types.is_list(column.type):
+        yield _matrix(column, width)
+    else:
+        for packed in column:
+            yield np.frombuffer(packed.as_buffer(), np.float64).reshape(-1, width)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray, bounds: Sequence[int]) -> np.ndarray:
+    """For each model (a slice of ``centres``) ones at the nearest centre of each vector, as centres by vectors."""
+    gap = centres @ x.T
+    gap *= -2.0
+    gap += (centres**2).sum(axis=1)[:, None]
+    hot = np.empty_like(gap)
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        np.equal(gap[lo:hi], gap[lo:hi].min(axis=0), out=hot[lo:hi], casting="unsafe")
+        if hot[lo:hi].sum() != len(x):
+            # Of equal distances the first counts.
+            hot[lo:hi] = np.arange(hi - lo)[:, None] == gap[lo:hi].argmin(axis=0)
+    return hot
+
+
 def _nearest_slices(x: np.ndarray, centres: np.ndarray, bounds: Sequence[int]) -> np.ndarray:
     """For each model (a slice of ``centres``) the stacked number of the nearest centre."""
     gap = (centres**2).sum(axis=1)[None, :] - 2.0 * (x @ centres.T)
@@ -217,18 +266,15 @@ def _lloyd_pass(
         at, edges = shared.value
         size, total = np.zeros(len(at)), np.zeros((len(at), width))
         cost = np.zeros(len(at))
-        for batch in batches:
-            block = _matrix(batch.column(0), width)
-            for start in range(0, len(block), 4096):
-                x = block[start : start + 4096]
-                pick = _nearest_slices(x, at, edges)
-                one_hot = np.zeros((len(x), len(at)))
-                np.put_along_axis(one_hot, pick, 1.0, axis=1)
-                size += one_hot.sum(axis=0)
-                total += one_hot.T @ x
-                for m in range(pick.shape[1] if with_cost else 0):
-                    miss = ((x - at[pick[:, m]]) ** 2).sum(axis=1)
-                    cost += np.bincount(pick[:, m], miss, len(at))
+        for block in (b for batch in batches for b in _matrices(batch.column(0), width)):
+            for start in range(0, len(block), STRIP_ROWS):
+                x = block[start : start + STRIP_ROWS]
+                hot = _nearest(x, at, edges)
+                size += hot.sum(axis=1)
+                total += hot @ x
+                for lo, hi in zip(edges[:-1], edges[1:]) if with_cost else ():
+                    pick = hot[lo:hi].argmax(axis=0) + lo
+                    cost += np.bincount(pick, ((x - at[pick]) ** 2).sum(axis=1), len(at))
         used = np.flatnonzero(size)
         flat = np.concatenate([size[used, None], cost[used, None], total[used]], axis=1)
         offsets = np.arange(0, flat.size + 1, width + 2, dtype=np.int32)
@@ -282,6 +328,7 @@ def fit_all(
         .select("item_id", as_double(F.col(column)).alias("v"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    packed = _pack(vectors).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n, width, variance = _extent(vectors)
         if not n:
@@ -290,10 +337,11 @@ def fit_all(
         jobs = [(k, s) for k in ks for s in range(seed, seed + starts)]
         if sum(k for k, _ in jobs) * width > MAX_CENTRE_VALUES:
             raise ValueError("too many centre values for one pass; use fewer starts or ks")
-        moving = _starts(vectors, jobs, threshold)
+        moving = _starts(vectors, packed, jobs, threshold)
+        vectors.unpersist()
         settled: list[Model] = []
         for _ in range(max_iter):
-            size, total, _ = _lloyd_pass(vectors, moving)
+            size, total, _ = _lloyd_pass(packed, moving)
             at, still = 0, []
             for model in moving:
                 part = slice(at, at + len(model.centres))
@@ -307,9 +355,10 @@ def fit_all(
             if not moving:
                 break
         final = settled + moving
-        cost = _lloyd_pass(vectors, final, with_cost=True)[2]
+        cost = _lloyd_pass(packed, final, with_cost=True)[2]
     finally:
         vectors.unpersist()
+        packed.unpersist()
     best: dict[int, Model] = {}
     at = 0
     for model in final:
