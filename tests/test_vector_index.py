@@ -98,3 +98,44 @@ def test_few_vectors_make_few_cells(spark, table, tmp_path):
     few = table.filter("item_id < 5")
     assert len(V.build_index(few, path).centres) == 5
     assert V.search_index(as_queries(few), path, probes=5).count() == 25
+
+
+def test_a_query_keeps_its_best_over_all_cells_of_a_block(monkeypatch):
+    """Every cell's best went to the exchange, so that lists grew with the number of cells that a query probes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(V, "PENDING", 300)
+    monkeypatch.setattr(V, "STRIP_VALUES", 200)
+    monkeypatch.setattr(V, "BLOCK_ROWS", 7)
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(400, 8))
+    model = V.IndexModel(x[:12], tuple(draw.normal(0, 0.3, (256, 4)) for _ in range(2)))
+    cells = model.nearest_cells(x, 1)[:, 0]
+    codes = model.codes(x, cells)
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(61, dtype=np.int32) * 8), pa.array(x[:60].ravel()))
+    queries = pa.table({"strip": pa.array([i % 2 for i in range(60)], pa.int32()), "query_id": pa.array(range(60)), "u": vectors})
+    held = pa.table({"cell": cells, "item_id": pa.array(range(400)), "code": pa.array([c.tobytes() for c in codes], pa.binary())})
+    rows = V._best_by_code(model, 5, 9)(queries, held)
+    assert sorted(rows.column("strip").to_pylist()) == [0, 1]
+    asked, found, score = (
+        np.frombuffer(b"".join(rows.column(c).to_pylist()), k) for c, k in (("query_id", np.int64), ("item_id", np.int64), ("score", np.float32))
+    )
+    near = model.nearest_cells(x[:60], 5)
+    for q in range(60):
+        told = {i: float(x[q] @ model.decoded(cells[i], codes[i : i + 1])[0]) for i in range(400) if cells[i] in near[q]}
+        best = sorted(told, key=told.get)[-9:]
+        assert sorted(found[asked == q]) == sorted(best)
+        assert sorted(score[asked == q]) == pytest.approx(sorted(told[i] for i in best), rel=1e-5)
+
+
+def test_small_blocks_of_items_queries_and_vectors(spark, table, index, monkeypatch):
+    """Repeated ids too: every row of a query meets every row of an item."""
+    queries = as_queries(table).filter("query_id % 5 = 0 OR query_id >= 3000")
+    queries = queries.unionByName(queries.filter("query_id = 10"))
+    whole = sorted(map(tuple, V.search_index(queries, index, refine=400).collect()))
+    for name, value in (("HOLD_ROWS", 60), ("BLOCK_VALUES", 24 * 150), ("STRIP_QUERIES", 40), ("ASK_BLOCKS", 3)):
+        monkeypatch.setattr(V, name, value)
+    assert sorted(map(tuple, V.search_index(queries, index, refine=400, block_rows=30).collect())) == whole
+    assert [r[1] for r in whole if r[0] == 10] == [1, 2, 3, 4, 5]
+    ids = [r[2] for r in whole if r[0] == 10]
+    assert ids[0] == ids[1] == 10
